@@ -22,9 +22,25 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 """
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import encode
+
+    return encode(read(spark, sf_dir, "documents"), keep_ids=False)
+
+
+QUERIES = [op2_best_fit_packing, op9_piece_codec, op10_exact_dedup]
+SQL = {"op10_exact_dedup": OP10_SQL}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return dict(SQL)
