@@ -48,8 +48,11 @@ def shuffles(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a batch into runs of rows of about max_bytes of text: (first row, rows, bytes, offsets). Null is empty text."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000, max_rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a batch into runs of at most max_rows rows and about max_bytes of text: (first row, rows, bytes, offsets).
+
+    A text longer than that is a run of its own, whole. Null is empty text.
+    """
     text = batch.column(column)
     if text.null_count:
         text = pc.fill_null(text, "")
@@ -61,7 +64,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> It
     first = 0
     while first < rows:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + max_bytes, "right")) - 1)
-        last = min(last, rows)
+        last = min(last, rows, first + max_rows)
         own = offsets[first : last + 1]
         yield first, last - first, data[own[0] : own[-1]], own - own[0]
         first = last

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read
+from .common import crc_mod, read
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,14 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 """
 
 
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_knn import Voters
+
+    docs, rest = read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5)
+    scored = Voters(docs, read(spark, sf_dir, "labels"), rest != 0).score(docs)
+    return scored.select("doc_id", (rest == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -34,7 +43,29 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"), keep_ids=False)
 
 
-QUERIES = [op2_best_fit_packing, op9_piece_codec, op10_exact_dedup]
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import Languages
+
+    docs, rest = read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4)
+    return Languages(docs, rest != 2).predict(docs).select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digests, format_log, messages_log
+
+    planted = "\\### Assistant: </turn> ok"
+    table = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], table.schema)
+    return digests(format_log(messages_log(table.unionByName(extra))))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import Rules
+
+    return Rules(read(spark, sf_dir, "documents")).score()
+
+
+QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op5_chat_format, op6_quality_rules, op9_piece_codec, op10_exact_dedup]
 SQL = {"op10_exact_dedup": OP10_SQL}
 
 
