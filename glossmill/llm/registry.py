@@ -37,6 +37,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import assign
+
+    return assign(read(spark, sf_dir, "documents"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import encode
 
@@ -65,7 +71,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Rules(read(spark, sf_dir, "documents")).score()
 
 
-QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op5_chat_format, op6_quality_rules, op9_piece_codec, op10_exact_dedup]
+QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op5_chat_format, op6_quality_rules, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup]
 SQL = {"op10_exact_dedup": OP10_SQL}
 
 
