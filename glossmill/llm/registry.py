@@ -37,6 +37,24 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score
+
+    return score(read(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+b AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM t),
+c1 AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+c2 AS (SELECT before, word, count(*) AS n FROM b WHERE before IS NOT NULL GROUP BY before, word),
+s AS (SELECT doc_id, CASE WHEN c2.n >= 2 THEN ln(c2.n) - ln(p.n) ELSE (CASE WHEN b.before IS NULL THEN 0 ELSE ln(0.4) END) + ln(c1.n) - ln((SELECT count(*) FROM t)) END AS v
+      FROM b JOIN c1 ON b.word = c1.word LEFT JOIN c2 ON b.before = c2.before AND b.word = c2.word LEFT JOIN c1 p ON b.before = p.word)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, round(coalesce(x.v, 0), 3) AS log_score FROM w LEFT JOIN (SELECT doc_id, sum(v) AS v FROM s GROUP BY doc_id) x USING (doc_id)
+"""
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import assign
 
@@ -71,8 +89,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Rules(read(spark, sf_dir, "documents")).score()
 
 
-QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op5_chat_format, op6_quality_rules, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup]
-SQL = {"op10_exact_dedup": OP10_SQL}
+QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op5_chat_format, op6_quality_rules, op7_lm_score, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup]
+SQL = {"op7_lm_score": OP7_SQL, "op10_exact_dedup": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
