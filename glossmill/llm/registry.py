@@ -74,6 +74,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Languages(docs, rest != 2).predict(docs).select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import digests, format_log, messages_log
 
@@ -89,7 +95,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Rules(read(spark, sf_dir, "documents")).score()
 
 
-QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op5_chat_format, op6_quality_rules, op7_lm_score, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup]
+QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op4_html_extract, op5_chat_format, op6_quality_rules, op7_lm_score, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup]
 SQL = {"op7_lm_score": OP7_SQL, "op10_exact_dedup": OP10_SQL}
 
 
