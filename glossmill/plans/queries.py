@@ -642,7 +642,7 @@ GLOSSED = f"""WITH c AS ({COMPLETIONS}), k AS (SELECT *, CASE WHEN doc_id % 8 <
 m AS (SELECT doc_id, CASE WHEN said1 IS NULL OR gloss1 = '' THEN NULL ELSE {_margin(1)} END AS m1, CASE WHEN said2 IS NULL OR gloss2 = '' THEN NULL ELSE {_margin(2)} END AS m2 FROM k)"""
 
 
-@query(GLOSSED + " SELECT doc_id, round(0.15 * coalesce((greatest(-1, least(1, m1 / 0.2)) + greatest(-1, least(1, m2 / 0.2))) / 2, 0), 9)::DOUBLE AS reward FROM m")
+@query(GLOSSED + " SELECT doc_id, round(CASE WHEN m1 IS NULL OR m2 IS NULL THEN 0 ELSE 0.15 * (greatest(-1, least(1, m1 / 0.2)) + greatest(-1, least(1, m2 / 0.2))) / 2 END, 9)::DOUBLE AS reward FROM m")
 def reward_gloss(spark, d):
     return _reward("gloss", spark, d)
 
