@@ -70,3 +70,11 @@ def dump(rows: DataFrame, every: int, order: list[str], first: int = 8) -> DataF
 
 def correct_rollouts(rows: DataFrame, threshold: float, reward: str = "reward") -> DataFrame:
     return rows.filter(F.col(reward) >= threshold)
+
+
+def check_batch(batch: int, group: int, devices: int = 1, accumulate: int = 1) -> int:
+    """Prompts per step; a batch that groups don't divide raises."""
+    total = batch * devices * accumulate
+    if group < 2 or total % group:
+        raise ValueError(f"a batch of {total} can't be cut into groups of {group}")
+    return total // group

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,3 +106,47 @@ def teacher_row(rows: DataFrame, output: str = "output") -> DataFrame:
             "reasonings": F.when(good, F.array(think)).otherwise(empty),
         }
     ).drop("_a")
+
+
+def ballots(answers: Column) -> Column:
+    """Votes of an array of answer texts, by JSON truthiness of the verdict; null where an answer has none."""
+    @F.pandas_udf("array<boolean>")
+    def read(values: pd.Series) -> pd.Series:
+        def one(text: str | None) -> bool | None:
+            made = A.parse_answer(text)
+            return None if made is None or "same_sense" not in made else bool(made["same_sense"])
+
+        return pd.Series([None if v is None else [one(x) for x in v] for v in values], dtype=object)
+
+    return read(answers)
+
+
+def sampled_rows(rows: DataFrame, outputs: str = "outputs", error: str = "error") -> DataFrame:
+    """Teacher rows of sampled outputs: votes, their majority, answer objects and traces; failed rows keep only the error."""
+    from .votes import vote
+
+    failed = F.col(error).isNotNull()
+    split = F.transform(F.col(outputs), T.split_think)
+    good = rows.withColumns({"_parts": F.when(~failed, split)})
+    good = good.withColumns(
+        {"answers": F.transform("_parts", lambda p: A.extract_object(p["body"])), "reasonings": F.transform("_parts", lambda p: p["think"])}
+    ).withColumn("votes", ballots(F.col("answers")))
+    return good.withColumn("_v", vote(F.col("votes"))).withColumns({"prediction": F.when(~failed, F.col("_v.prediction")), "confidence": F.when(~failed, F.col("_v.confidence"))}).drop("_v", "_parts", outputs)
+
+
+def parse_glosses(completion: Column) -> Column:
+    """struct(gloss, filler_gloss, think) of one completion; glosses are empty where the answer doesn't parse."""
+    answer = A.parsed(completion)
+    think = T.strip_space(F.replace(F.substring_index(completion, "</think>", 1), F.lit("<think>"), F.lit("")))
+    return F.struct(F.coalesce(answer["sense1"], F.lit("")).alias("gloss"), F.coalesce(answer["sense2"], F.lit("")).alias("filler_gloss"), think.alias("think"))
+
+
+def build_records(sources: dict[str, DataFrame], ties: list[str], balanced: bool = False, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training records of all tasks, optionally half and half, and their counts by task."""
+    from .corpus import balance, task_counts
+
+    out = None
+    for task, df in sources.items():
+        part = (balance(df, "label", ties, seed) if balanced else df).withColumn("task", F.lit(task))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out, task_counts(out)

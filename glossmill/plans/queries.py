@@ -724,6 +724,61 @@ def lexicon_join(spark, d):
     return rows.select("p_partkey", F.size("senses").cast("bigint").alias("n"), F.md5(F.array_join("senses", "|")).alias("senses"))
 
 
+def _judge_sql() -> str:
+    from .prompts import JUDGE
+
+    text, parts = JUDGE, []
+    for name, value in (
+        ("lemma", "lemma"), ("pos", "pos"), ("sentence1", "'one'"), ("sentence2", "'two'"), ("gold", "CASE WHEN label THEN 'True' ELSE 'False' END"),
+        ("answer", "CASE WHEN slot = 2 THEN '(none)' ELSE coalesce(answer, 'None') END"), ("reasoning", "reasoning"),
+    ):
+        head, text = text.split("{" + name + "}", 1)
+        parts += [_q(head), value]
+    return "md5(concat(" + ", ".join([*parts, _q(text)]) + "))"
+
+
+@query(with_slots(f"SELECT doc_id, {_judge_sql()} AS prompt FROM s WHERE reasoning IS NOT NULL"))
+def judge_prompt(spark, d):
+    s = view(spark, d, SLOTS).filter("reasoning IS NOT NULL")
+    made = quality.judge_prompt(F.col("lemma"), F.col("pos"), F.lit("one"), F.lit("two"), F.col("label"), F.col("answer"), F.col("reasoning"), F.col("slot") == 2)
+    return s.select("doc_id", F.md5(made).alias("prompt"))
+
+
+@query(f"""SELECT doc_id, md5(concat(lang, CASE WHEN doc_id % 2 = 0 THEN concat({_q(rollouts.SOLUTION_HEAD)}, source, chr(10), chr(10)) ELSE '' END,
+ CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat(chr(10), lang, chr(10)) END, {_q(rollouts.REPROMPT_TAIL)})) AS prompt FROM documents""")
+def reprompt(spark, d):
+    rows = view(spark, d, "SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN source END AS solution, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lang END AS hint FROM documents")
+    return rows.select("doc_id", F.md5(rollouts.reprompt(F.col("lang"), F.col("solution"), F.col("hint"))).alias("prompt"))
+
+
+@query(f"WITH c AS ({COMPLETIONS}) SELECT doc_id, CASE WHEN doc_id % 8 < 4 THEN regexp_extract(completion, '\"sense1\": \"([^\"]*)\"', 1) ELSE '' END AS gloss, CASE WHEN doc_id % 8 < 4 THEN regexp_extract(completion, '\"sense2\": \"([^\"]*)\"', 1) ELSE '' END AS filler_gloss FROM c")
+def parse_glosses(spark, d):
+    rows = view(spark, d, COMPLETIONS).withColumn("g", traces.parse_glosses(F.col("completion")))
+    return rows.select("doc_id", "g.gloss", "g.filler_gloss")
+
+
+@query(f"WITH c AS ({COMPLETIONS}) SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 8 < 4 THEN {SAID} WHEN doc_id % 8 = 6 THEN true END AS prediction, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 8 < 4 OR doc_id % 8 = 6 THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence FROM c")
+def sampled_rows(spark, d):
+    rows = view(spark, d, COMPLETIONS).select("doc_id", F.array("completion", "completion").alias("outputs"), F.when(F.col("doc_id") % 7 == 0, "failed").alias("error"))
+    return traces.sampled_rows(rows).select("doc_id", "prediction", "confidence")
+
+
+@query("SELECT task, count(*) AS n FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS task FROM documents) GROUP BY task")
+def task_counts(spark, d):
+    docs = view(spark, d, "SELECT doc_id, doc_id % 2 = 0 AS label FROM documents")
+    return traces.build_records({"a": docs.filter("doc_id % 3 = 0"), "b": docs.filter("doc_id % 3 <> 0")}, ["doc_id"])[1]
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 5")
+def preview(spark, d):
+    return corpus.preview(view(spark, d, "SELECT doc_id, lang FROM documents"), 5, ["doc_id"])
+
+
+@query("SELECT quality, lower(lang) AS lemma FROM (SELECT DISTINCT quality, lang FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0)")
+def distinct_lemmas(spark, d):
+    return view(spark, d, "SELECT l.quality, lower(d.lang) AS lemma FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -31,5 +31,16 @@ def array_text(df: DataFrame, order: list[str]) -> str:
     return json.dumps([json.loads(r["j"]) for r in df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator()], ensure_ascii=False, indent=2)
 
 
+def write_report(summary: DataFrame, records: DataFrame, path: str) -> None:
+    """A one-row summary and its records, side by side in one folder; records may be of any size."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    records.write.mode("overwrite").json(f"{path}/records")
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """A metrics row that replaces the one before; called again as results come in."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
 def output_names(name: str) -> tuple[str, str]:
     return f"predictions_{name}.jsonl", f"predictions_{name}_metrics.json"

@@ -378,3 +378,28 @@ def test_small_rewards(spark):
     assert one(spark, rewards.overlong(F.lit(936), 1000)) == pytest.approx(-0.1)
     assert one(spark, rewards.overlong(F.lit(1001), 1000)) == pytest.approx(-0.2)
     assert one(spark, rewards.overlong(F.lit(10), 1000)) == 0.0
+
+
+def test_reports_and_guards(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.0)], "name string, f1 double")
+    writers.write_report(rows.select("f1"), rows, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "records")).first()["name"] == "a"
+    for f1 in (0.5, 0.75):
+        writers.write_metrics(rows.withColumn("f1", F.lit(f1)), str(tmp_path / "metrics"))
+    assert spark.read.json(str(tmp_path / "metrics")).first()["f1"] == 0.75
+    assert rollouts.check_batch(4, 8, 2) == 1
+    with pytest.raises(ValueError):
+        rollouts.check_batch(3, 8)
+    assert writers.output_names("x") == ("predictions_x.jsonl", "predictions_x_metrics.json")
+
+
+def test_gold_pairs_keep_their_gloss_in_the_inventory(spark):
+    lex = spark.createDataFrame([("b", "noun", 1, "b.0", "same words"), ("b", "noun", 2, "b.1", "same words"), ("b", "noun", 3, "b.2", "other")], "lemma string, pos string, rank int, synset_id string, definition string")
+    senses = spark.createDataFrame([("b", "noun", ["only this"])], "lemma string, pos string, senses array<string>")
+    usage = lambda t: (t, 0, 1)
+    schema = "lemma string, pos string, synset1 string, synset2 string, u1 struct<text:string,start:int,end:int>, u2 struct<text:string,start:int,end:int>"
+    made = spark.createDataFrame([("b", "noun", "b.0", "b.1", usage("x y"), usage("z w")), ("b", "noun", "b.0", "b.2", usage("x y"), usage("z w")), ("b", "noun", "b.9", "b.2", usage("x"), usage("y"))], schema)
+    got = {(r["synset1"], r["synset2"]): (r["gloss1"], r["gloss2"], r["senses"]) for r in pairs.annotate(made, lex, senses).collect()}
+    assert got["b.0", "b.1"] == ("", "", ["only this"])
+    assert got["b.0", "b.2"] == ("same words", "other", ["only this", "same words", "other"])
+    assert got["b.9", "b.2"] == ("", "other", ["only this", "other"])
