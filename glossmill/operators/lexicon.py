@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 LEVELS = ("siblings", "near", "far", "unrelated", "cross-pos")
 
@@ -69,7 +70,7 @@ def ancestors(edges: DataFrame, most: int = 40) -> DataFrame:
     front, all_of = known, known
     for depth in range(1, most):
         step = front.join(edges.select(F.col("synset_id").alias("ancestor"), "hypernym_id"), "ancestor").select("synset_id", F.col("hypernym_id").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = step.join(all_of.select("synset_id", "ancestor"), ["synset_id", "ancestor"], "left_anti").persist()
+        front = cut(step.join(all_of.select("synset_id", "ancestor"), ["synset_id", "ancestor"], "left_anti"))
         if front.isEmpty():
             break
         all_of = all_of.unionByName(front)

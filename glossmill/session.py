@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that later stages outlive lost executors.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local one is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glossmill-"))
+    return df.checkpoint()
 
 
 def ship(spark: SparkSession) -> SparkSession:
