@@ -91,8 +91,12 @@ def _choose(best: np.ndarray, prices: np.ndarray, have: np.ndarray, capacity: in
     return got
 
 
-def plan(histogram: np.ndarray, capacity: int, rounds: int = 200, step: float = 0.5, share: float = 1.0, power: float = 1.3) -> list[tuple[int, dict[int, int]]]:
-    """Configurations and how many sequences use each: together they hold exactly the histogram (index: length)."""
+def plan(histogram: np.ndarray, capacity: int, rounds: int = 300, part: float = 0.25, step: float = 4.0, tilt: float = 0.05, most_left: float = 0.97) -> list[tuple[int, dict[int, int]]]:
+    """Configurations and how many sequences use each: together they hold exactly the histogram (index: length).
+
+    rounds: knapsacks solved; part: of a length's pieces, how many one round may cover; step, tilt: how fast, and how far at
+    most, a length's price falls as it is covered; most_left: no length is covered beyond this share by the program.
+    """
     left = histogram.astype(np.int64).copy()
     result: list[tuple[int, dict[int, int]]] = []
 
@@ -103,31 +107,32 @@ def plan(histogram: np.ndarray, capacity: int, rounds: int = 200, step: float =
 
     if left[capacity]:
         use(int(left[capacity]), {capacity: 1})
-    lengths = np.arange(capacity + 1)
-    base = (lengths / capacity) ** power
-    # Long pieces start a little dearer than their length, as they fit less well. Multiplicative weights: a length that configurations have covered less than its share gets dearer.
+    # Multiplicative weights. In the best solution a length's price is near its share of a sequence, so full sequences win;
+    # among those, a configuration of lengths that have been covered least is the best.
+    base = np.arange(capacity + 1) / capacity
     demand = left.astype(float)
-    if left.sum() > 4 * capacity:
-        weight = np.ones(capacity + 1)
-        seen: dict[tuple, float] = {}
-        covered = np.zeros(capacity + 1)
-        lower = demand @ (lengths / capacity)
-        for _ in range(rounds):
-            config = _choose(_values(base * weight, left, capacity), base * weight, left, capacity)
-            width = max(n / demand[length] for length, n in config.items())
-            amount = 1 / width  # the most that doesn't cover a length twice over
+    weight, covered = np.ones(capacity + 1), np.zeros(capacity + 1)
+    fractional: dict[tuple, float] = {}
+    for _ in range(rounds if left.any() else 0):
+        open_ = np.where(covered < most_left, left, 0)
+        if not open_.any():
+            break
+        price = base * (1 + tilt * weight)
+        config = _choose(_values(price, open_, capacity), price, open_, capacity)
+        amount = min(min(part, most_left - covered[length]) * demand[length] / n for length, n in config.items())
+        if sum(length * n for length, n in config.items()) == capacity:
             key = tuple(sorted(config.items()))
-            seen[key] = seen.get(key, 0) + amount
-            for length, n in config.items():
-                part = amount * n / demand[length]
-                covered[length] += part
-                weight[length] *= np.exp(-step * part)
-        scale = share * min(1.0, lower / max(sum(seen.values()), 1e-9))
-        for key, amount in sorted(seen.items(), key=lambda x: -x[1]):
-            config = dict(key)
-            times = min(int(amount * scale), *(int(left[length]) // n for length, n in config.items()))
-            if times > 0 and sum(length * n for length, n in config.items()) == capacity:
-                use(times, config)
+            fractional[key] = fractional.get(key, 0) + amount
+        for length, n in config.items():
+            covered[length] += amount * n / demand[length]
+            weight[length] = np.exp(-step * covered[length])
+            if most_left - covered[length] < 1e-9:
+                covered[length] = 1.0
+    for key, amount in fractional.items():  # rounded down, so nothing is used twice
+        config = dict(key)
+        times = min(int(amount + 1e-9), *(int(left[length]) // n for length, n in config.items()))
+        if times > 0:
+            use(times, config)
     # What rounding leaves goes by best fit, longest first, for whole groups of sequences that are alike.
     spare: dict[int, list[list]] = {}  # room left: groups of (sequences, configuration)
     rooms: list[int] = []
