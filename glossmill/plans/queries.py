@@ -774,9 +774,9 @@ def preview(spark, d):
     return corpus.preview(view(spark, d, "SELECT doc_id, lang FROM documents"), 5, ["doc_id"])
 
 
-@query("SELECT quality, lower(lang) AS lemma FROM (SELECT DISTINCT quality, lang FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0)")
+@query("SELECT quality, lower(lang) AS lemma FROM (SELECT DISTINCT quality, lang FROM labels l JOIN documents d ON l.doc_id = d.doc_id)")
 def distinct_lemmas(spark, d):
-    return view(spark, d, "SELECT l.quality, lower(d.lang) AS lemma FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0").distinct()
+    return view(spark, d, "SELECT l.quality, lower(d.lang) AS lemma FROM labels l JOIN documents d ON l.doc_id = d.doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
