@@ -55,7 +55,7 @@ def _lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Languages:
     """Codewords, weights of the binary classifiers and of their bits."""
 
-    def __init__(self, docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 6000, sure: float = 0.6):
+    def __init__(self, docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 4000, sure: float = 0.6):
         self.id_col, self.text_col, self.sure = id_col, text_col, sure
         rows = docs.filter(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
@@ -72,7 +72,8 @@ class Languages:
         self.languages = sorted(set(label))
         if not self.languages:
             return
-        x = np.stack([np.frombuffer(v, np.float16) for v in got["x"].to_pylist()]).astype(np.float32)
+        x = np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in got["x"]]).astype(np.float32)
+        del got
         order = np.lexsort((x @ np.arange(1, WIDTH + 1, dtype=np.float32), label))  # not the order in which tasks end
         x, label = x[order], label[order]
         self.code = codewords(len(self.languages))
@@ -80,9 +81,11 @@ class Languages:
         y = self.code[index]
         class_weight = (len(label) / (len(self.languages) * np.bincount(index)))[index][:, None].astype(np.float32)
         self.mean = x.mean(axis=0)
-        centred = x - self.mean
-        weighted = centred * class_weight
-        self.weights = np.linalg.solve((weighted.T @ centred).astype(np.float64) + 0.02 * len(x) / WIDTH * np.eye(WIDTH), weighted.T.astype(np.float64) @ y).astype(np.float32)
+        x -= self.mean
+        gram = (x.T @ (x * class_weight)).astype(np.float64)
+        gram.flat[:: WIDTH + 1] += 0.02 * len(x) / WIDTH
+        self.weights = np.linalg.solve(gram, (x.T @ (y * class_weight).astype(np.float32)).astype(np.float64)).astype(np.float32)
+        x += self.mean
         self.bias = -(self.mean @ self.weights)
         right = ((x @ self.weights + self.bias) * y > 0).mean(axis=0)
         self.bit_weight = np.clip(2 * right - 1, 0.05, 1)
