@@ -343,14 +343,48 @@ def test_components(spark):
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((100, 200, 300), 100)
 
 
+def brute_exact(rows):
+    least = {}
+    for i, t in rows:
+        key = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        least[key] = max(i, least.get(key, i))
+    return set(least.values())
+
+
+def brute_near(rows):
+    from glossmill.llm.simhash_dedup import fingerprint  # held against its own brute force above
+
+    rows = sorted(rows)
+    value = np.array([fingerprint(t) for _, t in rows], np.int64).view(np.uint64)
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(value[:i] ^ value[i]) <= 3):
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+    return {rows[x][0] for x in set(root)}
+
+
 def test_pipeline(spark):
+    from glossmill.llm.language_id import Languages
+    from glossmill.llm.quality_rules import Rules
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     seen = docs
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         made = stage(spark, seen, SF)
+        rows = [(r["doc_id"], r["text"]) for r in seen.collect()]
         if k < 4:
             assert made.columns == docs.columns
-            assert made.join(seen.select("doc_id"), "doc_id", "left_anti").count() == 0
+            ids = [r["doc_id"] for r in made.collect()]
+            assert len(ids) == len(set(ids))
+            if name == "language_id":
+                want = {r["doc_id"] for r in Languages(seen, rest != 2).predict(seen).filter("NOT ambiguous").collect()}
+            elif name == "quality_rules":
+                want = {r["doc_id"] for r in Rules(seen).score().filter("kept").collect()}
+            else:
+                want = brute_exact(rows) if name == "exact_dedup" else brute_near(rows)
+            assert set(ids) == want, name
             seen = spark.createDataFrame(made.toPandas(), docs.schema)
     kept = {r["doc_id"] for r in seen.collect()}
     assert {r["doc_id"] for r in made.collect()} == kept
