@@ -187,6 +187,17 @@ def test_quality_rules(spark, edge, none):
     assert kneser_ney  # the model is built by Rules above
 
 
+def test_quality_rules_rare_language(spark):
+    from glossmill.llm.quality_rules import Rules
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    few = docs.filter("lang = 'es'").orderBy(F.xxhash64("doc_id")).limit(60)
+    rules = Rules(docs.filter("lang <> 'es'").unionByName(few))
+    assert set(rules.bands) == {None, "de", "en", "es", "fr"}
+    clean = rules.score().join(labels.filter("quality = 1"), "doc_id").join(few.select("doc_id"), "doc_id").filter("NOT base_failed").collect()
+    assert len(clean) >= 10 and np.mean([r["kept"] for r in clean]) > 0.9
+
+
 def test_language_id(spark, edge, none):
     from glossmill.llm.language_id import Languages, codewords
 
