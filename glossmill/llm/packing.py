@@ -2,9 +2,9 @@
 
 Texts become token ids (a distinct-chunk table, see chunk_table), only documents longer than a sequence are cut. The
 histogram of piece lengths has at most ``capacity`` bins whatever the corpus, so the rest of the plan is made on the driver:
-multiplicative weights price lengths, a knapsack dynamic program finds the best configuration under those prices, its use
-is averaged into a fractional solution, that is rounded down, and what is left is placed by best fit, for whole groups of
-alike sequences at a time. The plan is a table of at most a few thousand
+multiplicative weights price lengths, a knapsack dynamic program finds the best configurations under those prices, full or
+not, their use is averaged into a fractional solution, that is rounded, and what is left is placed by best fit, for whole
+groups of alike sequences at a time; this goes on until the plan is near the program's lower bound. The plan is a table of at most a few thousand
 configurations; each piece finds its sequence and offset from its rank among pieces of its length, a rank taken in salted
 groups, so that one length may hold any share of the rows.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,77 +63,114 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, paths: tuple[
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _values(prices: np.ndarray, have: np.ndarray, capacity: int) -> np.ndarray:
-    """The knapsack's dynamic program: the best value of each room, from lengths of which there are any."""
-    value = np.where(have > 0, prices, -np.inf)
-    best = np.zeros(capacity + 1)
+def _values(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The knapsack's dynamic program: the best value of each room, and the length it takes (0: leave one token free)."""
+    value = np.full(capacity + 1, -np.inf)
+    value[lengths] = prices[lengths]
+    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        best[c] = max(best[c - 1], (best[c - 1 :: -1] + value[1 : c + 1]).max())
-    return best
+        total = best[c - 1 :: -1] + value[1 : c + 1]
+        at = int(total.argmax())
+        best[c], choice[c] = (total[at], at + 1) if total[at] > best[c - 1] else (best[c - 1], 0)
+    return best, choice
 
 
-def _choose(best: np.ndarray, prices: np.ndarray, have: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration behind best[capacity], with at most have[l] pieces of length l."""
-    value = np.where(have > 0, prices, -np.inf)
-    got: dict[int, int] = {}
-    c = capacity
+def _choose(first: int, choice: list[int], have: list[int], capacity: int) -> dict[int, int]:
+    """The best configuration with a piece of length first; it has at most have[l] pieces of length l."""
+    got, c = {first: 1}, capacity - first
     while c > 0:
-        total = best[c - 1 :: -1] + value[1 : c + 1]
-        length = int(total.argmax()) + 1
-        if not np.isfinite(total[length - 1]):
-            break
-        if best[c - 1] > total[length - 1] + 1e-12:
+        length = choice[c]
+        if length and got.get(length, 0) < have[length]:
+            got[length] = got.get(length, 0) + 1
+            c -= length
+        else:
             c -= 1
-            continue
-        got[length] = got.get(length, 0) + 1
-        if got[length] >= have[length]:
-            value[length] = -np.inf
-        c -= length
     return got
 
 
-def plan(histogram: np.ndarray, capacity: int, rounds: int = 300, part: float = 0.25, step: float = 4.0, tilt: float = 0.05, most_left: float = 0.97) -> list[tuple[int, dict[int, int]]]:
+def covering(demand: np.ndarray, capacity: int, rounds: int = 300, step: float = 0.25, rate: float = 0.25, near: float = 0.002) -> Iterator[tuple[dict[tuple, float], float]]:
+    """The covering linear program by multiplicative weights: now and then, configurations with their use, and a lower bound.
+
+    A round prices all lengths, solves one knapsack, and uses configurations whose value is within `near` of the best, one
+    for each length that has any, until a length is covered by `step`; covered lengths get cheaper at `rate`. The prices over
+    the best value are feasible duals, so they bound the program from below. A length that is covered whole costs nothing
+    more; when all are, the solution is handed on, and another begins, where lengths that were covered late start dearer.
+    """
+    lengths = np.flatnonzero(demand)
+    have = demand.tolist()
+    log_price, bound = np.log(lengths / capacity), 0.0  # a length's price starts as its share of a sequence
+    covered, use, seen, begun = np.zeros(capacity + 1), {}, np.zeros(len(lengths)), 0
+    for k in range(1, rounds + 1):
+        prices = np.zeros(capacity + 1)
+        prices[lengths] = np.exp(log_price - rate * covered[lengths])
+        prices[covered > 1 - 1e-9] = 0
+        best, choice = _values(prices, np.flatnonzero(prices), capacity)
+        bound = max(bound, float(demand @ prices) / best[capacity])
+        worth, turns = prices[lengths] + best[capacity - lengths], choice.tolist()
+        room, any_ = np.minimum(step, 1 - covered).tolist(), False
+        for i in np.argsort(-worth, kind="stable").tolist():
+            length = int(lengths[i])
+            if worth[i] < (1 - near) * best[capacity] and any_:
+                break
+            if not prices[length] or room[length] < min(step / 2, 1 - covered[length]):
+                continue
+            config = _choose(length, turns, have, capacity)
+            if any_ and sum(prices[x] * n for x, n in config.items()) < (1 - near) * best[capacity]:
+                continue
+            amount = min(room[x] * have[x] / n for x, n in config.items())
+            if amount > 0:
+                key = tuple(sorted(config.items()))
+                use[key], any_ = use.get(key, 0.0) + amount, True
+                for x, n in config.items():
+                    room[x] -= amount * n / have[x]
+                    covered[x] += amount * n / have[x]
+        seen += covered[lengths]
+        if covered[lengths].min() > 1 - 1e-9:
+            yield use, bound
+            log_price = log_price - rate * seen / (k - begun)
+            covered, use, seen, begun = np.zeros(capacity + 1), {}, np.zeros(len(lengths)), k
+    if use:
+        yield use, bound
+
+
+def plan(histogram: np.ndarray, capacity: int, rounds: int = 300, gap: float = 0.0005) -> list[tuple[int, dict[int, int]]]:
     """Configurations and how many sequences use each: together they hold exactly the histogram (index: length).
 
-    rounds: knapsacks solved; part: of a length's pieces, how many one round may cover; step, tilt: how fast, and how far at
-    most, a length's price falls as it is covered; most_left: no length is covered beyond this share by the program.
+    rounds: knapsacks solved at most; gap: the program ends when the plan has at most this share, or one sequence, more than
+    the program's lower bound. Of the plans made till then, best fit alone among them, the one with the fewest sequences is
+    taken, the program's where they are equal.
     """
     left = histogram.astype(np.int64).copy()
-    result: list[tuple[int, dict[int, int]]] = []
-
-    def use(times: int, config: dict[int, int]) -> None:
-        result.append((times, config))
-        for length, n in config.items():
-            left[length] -= times * n
-
-    if left[capacity]:
-        use(int(left[capacity]), {capacity: 1})
-    # Multiplicative weights. In the best solution a length's price is near its share of a sequence, so full sequences win;
-    # among those, a configuration of lengths that have been covered least is the best.
-    base = np.arange(capacity + 1) / capacity
-    demand = left.astype(float)
-    weight, covered = np.ones(capacity + 1), np.zeros(capacity + 1)
-    fractional: dict[tuple, float] = {}
-    for _ in range(rounds if left.any() else 0):
-        open_ = np.where(covered < most_left, left, 0)
-        if not open_.any():
+    full = [(int(left[capacity]), {capacity: 1})] if left[capacity] else []
+    left[capacity] = 0
+    if not left.any():
+        return full
+    result = _rounded({}, left, capacity)
+    for fractional, bound in covering(left, capacity, rounds):
+        made = _rounded(fractional, left, capacity)
+        if _sequences(made) <= _sequences(result):
+            result = made
+        least = np.ceil(bound - 1e-6)
+        if _sequences(result) <= least + max(1, gap * least):
             break
-        price = base * (1 + tilt * weight)
-        config = _choose(_values(price, open_, capacity), price, open_, capacity)
-        amount = min(min(part, most_left - covered[length]) * demand[length] / n for length, n in config.items())
-        if sum(length * n for length, n in config.items()) == capacity:
-            key = tuple(sorted(config.items()))
-            fractional[key] = fractional.get(key, 0) + amount
-        for length, n in config.items():
-            covered[length] += amount * n / demand[length]
-            weight[length] = np.exp(-step * covered[length])
-            if most_left - covered[length] < 1e-9:
-                covered[length] = 1.0
-    for key, amount in fractional.items():  # rounded down, so nothing is used twice
-        config = dict(key)
-        times = min(int(amount + 1e-9), *(int(left[length]) // n for length, n in config.items()))
-        if times > 0:
-            use(times, config)
+    return full + result
+
+
+def _sequences(made: list[tuple[int, dict[int, int]]]) -> int:
+    return sum(times for times, _ in made)
+
+
+def _rounded(fractional: dict[tuple, float], histogram: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """A whole plan from a fractional one: rounded down, then one more each where the pieces are there, then best fit."""
+    left = histogram.copy()
+    result: list[tuple[int, dict[int, int]]] = []
+    for whole in (True, False):
+        for key, amount in sorted(fractional.items(), key=lambda x: (-(x[1] % 1), x[0])):
+            times = min(int(amount + 1e-9) if whole else 1, *(int(left[length]) // n for length, n in key))
+            if times > 0:
+                result.append((times, dict(key)))
+                for length, n in key:
+                    left[length] -= times * n
     # What rounding leaves goes by best fit, longest first, for whole groups of sequences that are alike.
     spare: dict[int, list[list]] = {}  # room left: groups of (sequences, configuration)
     rooms: list[int] = []

@@ -114,6 +114,23 @@ def test_packing(spark, edge, none):
     assert plan(np.zeros(2049, int), 2048) == []
 
 
+def test_packing_skewed_lengths():
+    from glossmill.llm.packing import covering, plan
+
+    rng = np.random.default_rng(5)
+    for others, most in ((0, 900), (200, 1010)):  # the frequent lengths never fill 2,048 exactly
+        histogram = np.bincount([1034] * 600 + [532] * 600 + [522] * 600 + [491] * 1200 + rng.integers(1, 2048, others).tolist(), minlength=2049)
+        made = plan(histogram, 2048)
+        held = np.zeros(2049, int)
+        for times, config in made:
+            assert times > 0 and sum(length * n for length, n in config.items()) <= 2048
+            for length, n in config.items():
+                held[length] += times * n
+        assert (held == histogram).all()
+        bound = max(b for _, b in covering(histogram, 2048))
+        assert bound - 1e-6 <= sum(t for t, _ in made) <= min(most, 1.01 * bound + 1)
+
+
 def test_piece_codec(spark, edge, none):
     import sentencepiece
 
