@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,18 +23,82 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that later stages outlive lost executors.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local one is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: ``spark.checkpoint.dir``; a local one is made where that is unset and Spark runs on
+    one machine (tests, a laptop). On a cluster without that setting this raises: no folder of one machine will do there."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glossmill-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="glossmill-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that later stages outlive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function that hands its task's memory back to the system when the task ends: workers outlive tasks."""
+
+    def tidied(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library; it keeps what it has
+
+    return tidied
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def settle(docs: DataFrame, verdicts: DataFrame, id_col: str, digest: Column, most: int = 200_000) -> DataFrame:
+    """The rows of docs that stay, once each, with all their columns.
+
+    verdicts(doc_id, digest, stays), a row for each row of docs, says which pairs of id and digest stay; digest is the same
+    expression over docs. Texts stay where they are as long as the pairs that go, and those that stay but are repeated, are
+    at most `most` (counted, then broadcast); else the pairs are joined by an ordinary shuffle. The result is the same.
+    """
+    gone_id, gone_digest = unused(docs, "gone_id", "gone_digest")
+    pairs = verdicts.groupBy("doc_id", "digest").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).filter("NOT stays OR n > 1")
+    pairs = cut(pairs.select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest), "stays"))
+    small = pairs.limit(most + 1).count() <= most
+    hint = F.broadcast if small else (lambda x: x)
+    own = docs.columns
+
+    def met(table: DataFrame, how: str) -> DataFrame:
+        return docs.join(hint(table.select(gone_id, gone_digest)), docs[f"`{id_col}`"].eqNullSafe(F.col(gone_id)) & (digest == F.col(gone_digest)), how)
+
+    plain = met(pairs, "left_anti")
+    twice = pairs.filter("stays")
+    if twice.isEmpty():
+        return plain
+    mark, nth = unused(docs, "digest_of_row", "nth_of_row")
+    again = met(twice, "left_semi").withColumn(mark, digest)
+    once = Window.partitionBy(f"`{id_col}`", mark).orderBy(mark)  # Spark keeps one row of each group on the map side already
+    again = again.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1)
+    return plain.unionByName(again.select(*[F.col(f"`{c}`") for c in own]))
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII rows take the fast built-in; the others a character map."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, LETTERS, LETTERS.lower()))
@@ -48,7 +113,7 @@ def shuffles(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000, max_rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000, max_rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of at most max_rows rows and about max_bytes of text: (first row, rows, bytes, offsets).
 
     A text longer than that is a run of its own, whole. Null is empty text.

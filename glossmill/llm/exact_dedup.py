@@ -7,7 +7,8 @@ and never shuffled. All other digests go through an ordinary shuffle of 32-byte
 Defined results: null text counts as the empty text; equal texts that differ only in A-Z case form one group; of a group
 the largest doc_id stays (null ids are smaller than any other); rows that repeat the doc_id which stays are the same
 document and are all marked kept, `deduplicate` leaves one of them; an empty table gives an empty result; further columns
-of the input are ignored by `assign`, and kept by `deduplicate` whatever their names.
+of the input are ignored by `assign`, and kept by `deduplicate` whatever their names (but no two alike). `deduplicate` leaves
+texts where they are as long as few rows go (see `common.settle`).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_az
+from .common import cut, lower_az, settle
 
 
 def digest(text: Column) -> Column:
@@ -47,8 +48,5 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns; a repeated row stays once."""
-    kept = assign(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest")).distinct()
-    own = docs.withColumn("_digest", F.unhex(digest(F.col(text_col))))
-    found = own.join(kept, own[id_col].eqNullSafe(kept["_keep_id"]) & (own["_digest"] == kept["_keep_digest"]), "left_semi")
-    once = Window.partitionBy(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_digest").orderBy(F.col(id_col))
-    return found.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = assign(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.unhex("text_sha256").alias("digest"), F.col("kept").alias("stays"))
+    return settle(docs, found, id_col, F.unhex(digest(docs[f"`{text_col}`"])))

@@ -72,6 +72,16 @@ def test_exact_dedup(spark, edge, none):
     assert assign(none).count() == 0 and deduplicate(none).count() == 0
 
 
+def test_settle_paths_agree(spark, edge):
+    from glossmill.llm.common import settle
+
+    docs = edge.withColumns({c: F.lit("clash") for c in ("_nth", "_digest", "gone_id", "nth_of_row")})
+    digest = F.md5(F.coalesce(docs["text"], F.lit("")))
+    verdicts = docs.select("doc_id", digest.alias("digest"), (F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 1).alias("stays"))
+    got = [sorted(map(tuple, settle(docs, verdicts, "doc_id", digest, most).select("doc_id", "text", "_nth").collect()), key=str) for most in (200_000, 0)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [1, 3, 5, 7, 9]
+
+
 def test_packing(spark, edge, none):
     from glossmill.llm.packing import pack, plan, tokenizer_paths
 
@@ -276,7 +286,7 @@ def test_lm_score(spark, edge, none):
 def test_simhash(spark, edge, none):
     import xxhash
 
-    from glossmill.llm.simhash_dedup import assign, bucket_edges, one_of_each, reference_fingerprints
+    from glossmill.llm.simhash_dedup import assign, bucket_edges, one_of_each, pivot_columns, reference_fingerprints, within
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(edge, allowMissingColumns=True)
 
@@ -287,7 +297,7 @@ def test_simhash(spark, edge, none):
 
     texts = {(r["doc_id"], r["text"]) for r in docs.collect()}
     some = {i: f"{brute(t):016x}" for i, t in sorted(texts, key=str)[:150]}
-    for most in (768, 4):  # with and without split buckets
+    for most in (2048, 4):  # with and without split buckets
         rows = assign(docs, most=most).collect()
         fps = {r["doc_id"]: r["fingerprint"] for r in rows if r["doc_id"] is not None}
         assert all(fps[i] == x for i, x in some.items() if i is not None and sum(j == i for j, _ in texts) == 1)
@@ -304,12 +314,19 @@ def test_simhash(spark, edge, none):
             least[x] = min((v for v in (least.get(x), i) if v is not None), default=None)
         assert [r["component_id"] for r in rows] == [least[x] for x in root]
     stay = one_of_each(docs)
-    assert stay.columns == docs.columns and stay.count() == len(set(least.values()))
+    assert stay.columns == docs.columns and stay.count() == len(least)
     assert assign(none).count() == 0
     rng = np.random.default_rng(2)  # one dense bucket: spanning edges keep every link
     centre = rng.integers(0, 1 << 62)
     fp = np.unique(np.array([centre ^ sum(1 << int(b) for b in rng.choice(60, rng.integers(0, 4), False)) for _ in range(400)], np.int64))
-    a, b = bucket_edges(np.zeros(len(fp), np.int64), fp, 3, reference_fingerprints(16))
+    pivots = reference_fingerprints(16)
+    frame = spark.createDataFrame([(int(x),) for x in fp], "fp bigint")
+    table = [np.array([r[0] for r in frame.select(c).collect()], np.int64) for c in pivot_columns(F.col("fp"), pivots)]
+    assert (table[1].view(np.uint8).reshape(-1, 8) == np.bitwise_count(fp.view(np.uint64)[:, None] ^ pivots[None, 8:])).all()
+    x, y = (rng.integers(0, 65, (5000, 8)).astype(np.uint8) for _ in range(2))
+    y[::2] = np.clip(x[::2].astype(int) + rng.integers(-4, 5, x[::2].shape), 0, 64)
+    assert (within(x.view(np.uint64).ravel(), y.view(np.uint64).ravel(), 3) == (np.abs(x.astype(int) - y).max(axis=1) <= 3)).all()
+    a, b = bucket_edges(np.zeros(len(fp), np.int64), fp, 3, table)
     assert len(a) < len(fp) and all(bin(int(x) ^ int(y)).count("1") <= 64 for x, y in zip(a, b, strict=True))
     label = {int(x): int(x) for x in fp}
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -321,6 +338,31 @@ def test_simhash(spark, edge, none):
             assert label[int(fp[i])] == label[int(fp[j])]
 
 
+def test_simhash_keeps_texts_of_null_and_shared_ids(spark):
+    from glossmill.llm.simhash_dedup import one_of_each
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (5, text(4)), (5, text(5)), (6, text(4)), (7, text(1)), (8, text(6)), (8, text(6)), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("_nth", "digest", "gone_id", "root", "stays", "fp")}).repartition(3)
+    got = one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str) == sorted([(7, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (8, text(6)), (9, "")], key=str)
+    assert one_of_each(docs.limit(0)).count() == 0
+
+
+def test_simhash_dense_bucket(spark):
+    from glossmill.llm.simhash_dedup import buckets, links
+
+    rng = np.random.default_rng(3)
+    high = np.int64(0x1234) << 48  # 100,000 fingerprints that agree on one block
+    value = np.unique(high | rng.integers(0, 1 << 48, 100_000))
+    pairs = [(int(v), int(v) ^ (1 << int(k)) ^ (1 << int(j))) for v, k, j in zip(value[:50], rng.integers(0, 20, 50), rng.integers(24, 47, 50), strict=True)]
+    frame = spark.createDataFrame([(int(x),) for x in np.unique(np.concatenate([value, np.array(pairs).ravel()]))], "fp bigint")
+    assert buckets(frame, 3, 2048).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2048
+    found = {frozenset((r["a"], r["b"])) for r in links(frame).collect()}
+    assert all(frozenset(p) in found for p in pairs)
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
