@@ -1,45 +1,51 @@
 """Operator 4, main text extraction by nearest-URL page differencing.
 
-A page is cut into lines (the text of its blocks), each with the place it stands in: skipped regions (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles, by element, class, id or role), an article or main
-element, or neither. Pages of a host are ordered by URL path; each is paired with the page before and the page after it, and
-the lines of both are aligned by a longest common subsequence. Lines that a page shares with a neighbour are deleted, with
-two exact checks on what a shared line is: lines inside an article or main element are the page's own text even where
-another page repeats them, and pages without such an element that have most of their text in common are copies of each
-other, not two pages of one template, and take nothing from each other. Lines in skipped regions, and on pages with an
-article or main element all lines outside it, never count as text.
-
-Only line hashes are sorted and aligned. Pages are range-partitioned by host and path, so that a host of any size spreads
-over tasks; the first and last page of every partition are handed to its neighbours, and the result doesn't depend on how
-rows are partitioned.
+A page is cut into lines (the text of its blocks), each with the place it stands in: an article or main element, a marked
+region (menus, headers, footers, sidebars, notices, adverts, forms, comments; by element, or by a class, id or role that
+names one), or neither. Pages of a host are ordered by URL path; each is paired with the page before and the page after it,
+and all lines of both are aligned by a longest common subsequence. Lines that a page shares with a neighbour are deleted,
+wherever they stand outside an article or main element, with one exact check: pages that have over 85 % of the longer one's text in common
+are copies of each other, not two pages of one template, and take only marked lines from each other.
+
+Markup decides what differencing can't tell: text inside an article or main element stays even where another page repeats
+it (pages of a host often quote one passage); lines of marked regions go even where no neighbour has them (adverts differ from page to page); and
+on pages with an article or main element the unmarked lines outside it stay only if a neighbour was there to compare with.
+A class, id or role names a region only as a whole token, or as a compound all of whose parts are names of regions or of
+positions (``site-footer``, but not ``has-sidebar`` or ``share-price``).
+
+Pages are range-partitioned by host and path, so that a host of any size spreads over tasks, and each is parsed once, in
+order; the first and last page of every partition are compared across its edges in a table of two rows a partition, so the
+result doesn't depend on how rows are partitioned.
 
 Defined results: null html gives the empty text; pages without a host form one group; equal paths are ordered by page_id;
-repeated rows are copies of each other; very long pages are read whole; an empty table gives an empty result; further
-columns are ignored.
+repeated rows are copies of each other; very long pages are read whole; an element that is never closed ends with the page,
+or where an article begins; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import html as entities
+import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffles
+from .common import shuffles, tidy
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|svg|iframe|object|title)\b(?:[^>]*/>|[^>]*>.*?</\2\s*>)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SKIP = frozenset("nav header footer aside form button select menu dialog head".split())
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_REGION = frozenset("nav header footer aside form button select menu dialog head".split())
 _BLOCK = frozenset(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr section article main blockquote pre figure figcaption hr header footer nav aside form fieldset "
     "legend address details summary body html head center menu dialog".split()
@@ -47,50 +53,69 @@ _BLOCK = frozenset(
 _SPACE = frozenset("br td th option".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
-#: Words of class, id or role names that mark a region which is not the article.
+#: Names of regions that are not the article, in class, id or role.
 _ASIDE = frozenset(
     "nav navbar navigation menu menubar header masthead footer sidebar aside notice notices cookie cookies consent banner ad ads advert adverts advertisement advertising sponsor "
     "sponsored promo promotion comment comments disqus respond share sharing social related recommended breadcrumb breadcrumbs pagination pager newsletter subscribe signup login "
     "search popup modal widget toolbar copyright contentinfo complementary".split()
 )
-_HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
+_POSITION = frozenset("site page main top bottom left right primary secondary global bar box slot list section area block container wrapper wrap form links item unit inner outer".split())
+OUTSIDE, INSIDE, MARKED = 0, 1, 2
+
+
+def _names_region(token: str) -> bool:
+    parts = [p for p in re.split(r"[-_]+", re.sub(r"\d+$", "", token.lower())) if p]
+    return any(p in _ASIDE for p in parts) and all(p in _ASIDE or p in _POSITION or p.isdigit() for p in parts)
 
 
 def _marked(attributes: str) -> bool:
-    return any(w in _ASIDE for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+    return any(_names_region(w) for m in _NAMED.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").split())
 
 
-def lines(page: str | None) -> list[tuple[str, bool]]:
-    """The lines of a page outside skipped regions: text, and whether it stands in an article or main element."""
-    found: list[tuple[str, bool]] = []
+def lines(page: str | None) -> tuple[list[str], list[int]]:
+    """The lines of a page in order, and where each stands: OUTSIDE, INSIDE (an article or main element) or MARKED."""
+    texts: list[str] = []
+    places: list[int] = []
     parts: list[str] = []
-    skipped, depth, inside = "", 0, 0
+    aside: list[str] = []  # what stood before an inline region began
+    region, depth, inside, any_main = "", 0, 0, False
 
     def end_line() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            found.append((text, inside > 0))
+            texts.append(text)
+            places.append(MARKED if region else INSIDE if inside else OUTSIDE)
         parts.clear()
 
+    def end_region() -> None:
+        nonlocal region, depth
+        end_line()
+        region, depth = "", 0
+        parts.extend(aside)
+        aside.clear()
+
     page, at = page or "", 0
     for m in _TOKEN.finditer(page):
-        if not skipped and m.start() > at:
+        if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
-        name = m[3] or m[6]
+        name = m[4] or m[7]
         if not name:
             continue
-        name, closing, attributes = name.lower(), bool(m[2] or m[5]), (m[4] or m[7] or "")
-        if skipped:
-            if name == skipped:
+        name, closing, attributes = name.lower(), bool(m[3] or m[6]), (m[5] or m[8] or "")
+        if region:
+            if name == region:
                 depth += -1 if closing else 0 if attributes.endswith("/") else 1
-            if depth == 0:
-                skipped = ""
-            elif name in _MAIN and not closing and skipped not in _MAIN and not _marked(attributes) or name == "body" and (skipped == "head" or closing) or skipped in ("p", "li") and name in _BLOCK and not closing:
-                skipped, depth = "", 0  # the region was never closed
+            never_closed = name in _MAIN and not closing and not any_main and region not in _MAIN and not _marked(attributes) or name == "body" and (region == "head" or closing) or region in ("p", "li") and name in _BLOCK and not closing
+            if depth == 0 or never_closed:
+                end_region()
+                if closing or not never_closed:
+                    continue
             else:
-                continue
-            if closing:
+                if name in _BLOCK:
+                    end_line()
+                elif name in _SPACE:
+                    parts.append(" ")
                 continue
         if name in _BLOCK:
             end_line()
@@ -100,140 +125,154 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             if name in _MAIN and inside:
                 inside -= 1
             continue
-        if name not in _VOID and not attributes.endswith("/") and ((name in _SKIP and not (name == "header" and inside)) or (name not in ("html", "body") and attributes and _marked(attributes))):
-            end_line()
-            skipped, depth = name, 1
-        elif name in _MAIN:
-            inside += 1
-    if not skipped:
-        parts.append(page[at:])
+        if name not in _VOID and not attributes.endswith("/") and ((name in _REGION and not (name == "header" and inside)) or (name not in ("html", "body") and attributes and _marked(attributes))):
+            if name not in _BLOCK:
+                aside.extend(parts)
+                parts.clear()
+            region, depth = name, 1
+        elif name in _MAIN and not attributes.endswith("/"):
+            inside, any_main = inside + 1, True
+    parts.append(page[at:])
     end_line()
-    return found
-
+    if aside:
+        parts.extend(aside)
+        region = ""
+        end_line()
+    return texts, places
 
-def place(url: str | None) -> tuple[str, str]:
-    """Host and path; numbers in the path are padded, so that near numbers are near."""
-    m = _HOST.match(url or "")
-    host, path = (m[1].lower(), m[2]) if m else ("", url or "")
-    return host, re.sub(r"\d+", lambda d: d[0].zfill(12), path.rstrip("/"))
 
-
-def common(a: list[int], b: list[int]) -> list[int]:
-    """The places in a of a longest common subsequence of a and b (Hunt and Szymanski)."""
+def common(a: list, b: list) -> list[int]:
+    """The places in a of a longest common subsequence of a and b, bit-parallel; every sqrt(len(a))-th row is kept."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    nodes: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(a[i], ()):
-            k = bisect.bisect_left(ends, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                nodes.append(node)
-            else:
-                ends[k], nodes[k] = j, node
-    middle, node = [], nodes[-1] if nodes else None
-    while node:
-        middle.append(node[0])
-        node = node[1]
+    own, other = a[head : len(a) - tail], b[head : len(b) - tail]
+    where: dict = {}
+    for j, x in enumerate(other):
+        where[x] = where.get(x, 0) | 1 << j
+    middle: list[int] = []
+    if not where.keys().isdisjoint(own):
+        every, full = math.isqrt(len(own)) + 1, (1 << len(other)) - 1
+
+        def after(row: int, x) -> int:
+            hit = row & where.get(x, 0)
+            return ((row + hit) | (row - hit)) & full
+
+        kept, row = [full], full  # row i has a 0 wherever a column adds to the best of own[:i]
+        for i, x in enumerate(own):
+            row = after(row, x)
+            if (i + 1) % every == 0:
+                kept.append(row)
+        i, j, first, rows = len(own), len(other), len(own) + 1, []
+        while i and j:
+            if i <= first:  # the rows from the one kept before own[i - 1] to this one
+                first = (i - 1) // every * every
+                rows = [kept[first // every]]
+                for x in own[first:i]:
+                    rows.append(after(rows[-1], x))
+            if rows[i - first] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or rows[i - first] >> (j - 1) & 1:
+                j -= 1
+                middle.append(head + i)
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-def shared(own: list[int], chars: list[int], other: list[int], other_chars: list[int]) -> list[int]:
-    """Places of own lines to delete for one neighbour: none if the two pages have most of their text in common."""
-    same = common(own, other)
-    size = sum(chars[i] for i in same)
-    return [] if 2 * size > min(sum(chars), sum(other_chars)) else same
+def shared(own: tuple, other: tuple) -> set[int]:
+    """Places of own lines that a neighbour has too and that may go for it. Pages are (host, texts, places)."""
+    same = common(own[1], other[1])
+    copies = 20 * sum(len(own[1][i]) for i in same) > 17 * max(sum(map(len, page[1])) for page in (own, other))
+    return {i for i in same if own[2][i] == MARKED or own[2][i] == OUTSIDE and not copies}
 
 
-def _text(found: list[tuple[str, bool]]) -> tuple[list[str], bool]:
-    """The lines that may be text, and whether they are open to deletion."""
-    if any(inside for _, inside in found):
-        return [t for t, inside in found if inside], False
-    return [t for t, _ in found], True
+def judged(own: tuple, *neighbours: tuple | None) -> tuple[str, int, int]:
+    """The main text of a page, how many lines went because a neighbour has them, how many because of markup alone."""
+    compared = [x for x in neighbours if x is not None and x[0] == own[0]]
+    gone: set[int] = set().union(*[shared(own, x) for x in compared])
+    only_inside = INSIDE in own[2] and not compared
+    kept = [t for i, (t, at) in enumerate(zip(own[1], own[2], strict=True)) if i not in gone and at != MARKED and (at == INSIDE or not only_inside)]
+    return "\n\n".join(kept), len(gone), len(own[1]) - len(gone) - len(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
-    import xxhash
-
+    """Per page: page_id, url, text, n_chars, n_shared (lines deleted by differencing), n_marked (by markup alone)."""
     kind = pages.schema[id_col].dataType.simpleString()
-    key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
-    own = pages.select(key.alias("key"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    id_type = own.schema["page_id"].dataType
+    address = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    path = F.rtrim(F.when(url.rlike(address), F.regexp_extract(url, address, 2)).otherwise(url), F.lit("/"))
+    path = F.regexp_replace(F.regexp_replace(path, r"(\d+)", "000000000000$1"), r"\d*(\d{12})(?!\d)", "$1")  # near numbers are near
+    own = pages.select(
+        F.lower(F.regexp_extract(url, address, 1)).alias("host"), path.alias("path"), F.col(id_col).alias("page_id"), F.xxhash64(id_col, url_col, html_col).alias("key"), F.col(url_col).alias("url"),
+        F.col(html_col).alias("html"),
+    )
+    order = ["host", "path", "page_id", "key"]
+    ordered = own.repartitionByRange(max(1, shuffles(pages)), *order).sortWithinPartitions(*order).select("host", "page_id", "url", "html", F.spark_partition_id().alias("part"))
+    id_type = _arrow(own.schema["page_id"].dataType)
+    result = pa.schema([("page_id", id_type), ("url", pa.string()), ("text", pa.string()), ("n_shared", pa.int64()), ("n_marked", pa.int64())])
+    schema = f"page_id {kind}, url string, text string, n_shared bigint, n_marked bigint"
 
-    def light(batches):
+    def rows(batches) -> Iterator[tuple]:
         for batch in batches:
-            rows = []
-            for k, page_id, url, page in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                text, is_open = _text(lines(page))
-                rows.append((*place(url), page_id, k, is_open, [xxhash.xxh64_intdigest(t) - (1 << 63) for t in text], [len(t) for t in text]))
-            yield _batch(rows, ["host", "path", "page_id", "key", "open", "hashes", "chars"], [pa.string(), pa.string(), _arrow(id_type), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())])
-
-    schema = f"host string, path string, page_id {kind}, key bigint, open boolean, hashes array<bigint>, chars array<int>"
-    order = ["host", "path", "page_id", "key"]
-    ordered = cut(own.mapInArrow(light, schema).repartitionByRange(max(1, shuffles(pages)), *order).sortWithinPartitions(*order))
-    ordered = ordered.withColumn("part", F.spark_partition_id())
+            columns = [batch.column(c) for c in ("host", "page_id", "url", "html", "part")]
+            for k in range(batch.num_rows):
+                yield tuple(c[k].as_py() for c in columns)
+
+    def inner(batches):
+        """All pages of a partition but the first and the last, each held against the pages beside it."""
+        before = now = None
+        out: list[tuple] = []
+        size = 0
+        for host, page_id, address, page, _ in rows(batches):
+            after = (page_id, address, (host, *lines(page)))
+            if before is not None:
+                out.append((*now[:2], *judged(now[2], before[2], after[2])))
+                size += len(out[-1][2])
+                if size > 1_000_000:
+                    yield _batch(out, result)
+                    out, size = [], 0
+            before, now = now, after
+        if out:
+            yield _batch(out, result)
+
+    page_type = pa.struct([("host", pa.string()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int32()))])
+    edge = pa.schema([("part", pa.int32()), ("last", pa.int32()), ("alone", pa.bool_()), ("page_id", id_type), ("url", pa.string()), ("page", page_type), ("beside", page_type)])
+    edge_schema = f"part int, last int, alone boolean, page_id {kind}, url string, page struct<host:string,texts:array<string>,places:array<int>>, beside struct<host:string,texts:array<string>,places:array<int>>"
 
     def edges(batches):
-        first = last = None
-        for batch in batches:
-            if batch.num_rows:
-                first = first or batch.slice(0, 1)
-                last = batch.slice(batch.num_rows - 1, 1)
-        if first is not None:
-            yield first
-            yield last
-
-    sides: dict[int, list] = {}
-    for r in ordered.mapInArrow(edges, ordered.schema).collect():  # two rows a partition
-        sides.setdefault(r["part"], []).append((r["host"], r["hashes"], r["chars"]))
-    parts = sorted(sides)
-    before = {p: sides[q][-1] for q, p in zip(parts[:-1], parts[1:], strict=True)}
-    after = {q: sides[p][0] for q, p in zip(parts[:-1], parts[1:], strict=True)}
-
-    def decide(batches):
-        def judged(left, row, right):
-            gone: set[int] = set()
-            if row[2]:
-                for other in (left, right):
-                    if other is not None and other[0] == row[1][0]:
-                        gone.update(shared(row[1][1], row[1][2], other[1], other[2]))
-            return (row[0], sorted(gone)) if gone else None
-
-        previous, now, part = None, None, None
+        """The first and the last page of a partition, each with the page beside it in the partition."""
+        ends: list[tuple] = []  # the first two and the last two
+        n = 0
+        for row in rows(batches):
+            n += 1
+            ends = [*ends, row] if len(ends) < 4 else [*ends[:2], ends[3], row]
+        whole = [(*r[1:3], dict(zip(("host", "texts", "places"), (r[0], *lines(r[3])), strict=True))) for r in ends]
+        found = []
+        if n:
+            found.append((row[4], 0, n == 1, *whole[0], whole[1][2] if n > 1 else None))
+        if n > 1:
+            found.append((row[4], 1, False, *whole[-1], whole[-2][2]))
+        if found:
+            yield _batch(found, edge)
+
+    def outer(batches):
+        """First and last pages, held against the page beside them and the one across the partition's edge."""
+        page = lambda x: x and (x["host"], x["texts"], x["places"])
         for batch in batches:
             out = []
-            for host, k, is_open, hashes, chars, part in zip(*[batch.column(c).to_pylist() for c in ("host", "key", "open", "hashes", "chars", "part")], strict=True):
-                row = (k, (host, hashes, chars), is_open)
-                if now is not None:
-                    out.append(judged(previous, now, row[1]))
-                    previous = now[1]
-                else:
-                    previous = before.get(part)
-                now = row
-            yield _batch([x for x in out if x], ["key", "gone"], [pa.int64(), pa.list_(pa.int32())])
-        if now is not None and (x := judged(previous, now, after.get(part))):
-            yield _batch([x], ["key", "gone"], [pa.int64(), pa.list_(pa.int32())])
-
-    gone = ordered.mapInArrow(decide, "key bigint, gone array<int>").groupBy("key").agg(F.first("gone").alias("gone"))
-
-    def full(batches):
-        for batch in batches:
-            found = [_text(lines(page))[0] for page in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string()))], names=["key", "page_id", "url", "lines"])
+            for r in batch.to_pylist():
+                left, right = (page(r["before"]), page(r["after"])) if r["alone"] else (page(r["beside"]), page(r["after"])) if r["last"] else (page(r["before"]), page(r["beside"]))
+                out.append((r["page_id"], r["url"], *judged(page(r["page"]), left, right)))
+            yield _batch(out, result)
 
-    text = own.mapInArrow(full, f"key bigint, page_id {kind}, url string, lines array<string>").join(gone, "key", "left")
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
-    return text.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), F.array_join(kept, "\n\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    across = Window.orderBy("part", "last")  # two rows a partition
+    met = ordered.mapInArrow(tidy(edges), edge_schema).withColumns({"before": F.lag("page").over(across), "after": F.lead("page").over(across)})
+    found = ordered.mapInArrow(tidy(inner), schema).unionByName(met.mapInArrow(tidy(outer), schema))
+    return found.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_shared", "n_marked")
 
 
 def _arrow(kind) -> pa.DataType:
@@ -242,6 +281,6 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

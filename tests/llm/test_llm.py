@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and edge cases."""
 
 import hashlib
+import html as html_lib
 import re
 import zlib
 
@@ -367,6 +368,9 @@ def test_simhash_dense_bucket(spark):
     ("page", "want"),
     [
         (None, ""), ("", ""), ('<p>a &amp; b<br>c  d</p><div class="ad">x</div><p>e', "a & b c d\n\ne"), ("<nav><ul><li>m</li></ul></nav><main><h1>T</h1>t1<p>u<b>v</b>w</main>after", "T\n\nt1\n\nuvw"),
+        ('<div class="page has-sidebar"><p>Real text</p></div>', "Real text"), ('<article class="post no-sidebar"><div class="share-price">9 up</div>x</article>', "9 up\n\nx"),
+        ('<p>before</p><svg class="i"/><p>after</p>', "before\n\nafter"), ('<p>a <iframe src="x"/>b<object data="y"/> c</p><title/>d', "a b c\n\nd"), ("<p>a <button>go</button>b</p>", "a b"),
+        ('<article>x<section class="comments"><article>c</article></section></article><div id="comments"><article>d</article></div>', "x"), ('<div class="site-footer">f</div><p data-class="ad">y', "y"),
         ('<article><p>x</p><div class="comments"><div>c</div><p>d</p></div><p>y &lt; z</p></article>', "x\n\ny < z"), ('<div id=cookie-notice>n<div>k</div></div>txt<script>var a="<p>"</script>', "txt"),
         ("<aside>never <article><p>in</p></article>", "in"), ("<body><header>h</header><p>a<p>b<form><input>f</form></body><footer>z", "a\n\nb"),
     ],
@@ -380,7 +384,7 @@ def test_html_lines(spark, page, want):
 
 
 def test_html_differencing(spark):
-    from glossmill.llm.html_extract import common, extract
+    from glossmill.llm.html_extract import extract
 
     frame = "<div>Home of the Example Gazette</div><div>{}</div><div>All rights held by us</div>"
     body = lambda k: "</div><div>".join(f"Story {k} has paragraph {j} with words of its own number {k * 7 + j}" for j in range(6))
@@ -393,6 +397,58 @@ def test_html_differencing(spark):
         assert "Gazette" in got[100]  # nothing to compare with
         assert got[3] == got[101]
     assert extract(df.limit(0)).count() == 0
+    # An article beside plain text; a stub on a heavy template beside a long page; a passage that two articles share.
+    story = lambda k, n: "".join(f"<p>Page {k} says {j * 13 + k} things of its own here</p>" for j in range(n))
+    bar = "<div>" + "</div><div>".join(f"Template line {j} which every page of this host carries" for j in range(9)) + "</div>"
+    html = {1: f"<article>teaser 1</article>{bar}{story(1, 5)}", 2: f"<article>teaser 2</article>{bar}{story(2, 5)}", 11: bar + story(11, 6), 12: bar + story(12, 60)}
+    html |= {21: f"<article>{story(21, 4)}<p>One passage that both quote</p></article>", 22: f"<article>{story(22, 4)}<p>One passage that both quote</p></article>"}
+    df = spark.createDataFrame([(k, f"http://h{k // 10}.example/{k}", v) for k, v in html.items()], "page_id bigint, url string, html string")
+    found = {r["page_id"]: r for r in extract(df).collect()}
+    assert all("Template" not in r["text"] for r in found.values()) and all(found[k]["n_shared"] == 9 for k in (1, 2, 11, 12))
+    assert found[1]["text"].count("says") == 5 and "teaser 1" in found[1]["text"] and found[11]["text"].count("says") == 6 and found[12]["text"].count("says") == 60
+    assert all(found[k]["text"].endswith("One passage that both quote") and found[k]["text"].count("says") == 4 for k in (21, 22))
+
+
+def brute_extract(pages):
+    """Main texts of the synthetic pages: the blocks of their article elements; and the lines that differencing deletes."""
+    texts = {}
+    for r in pages:
+        body = "".join(re.findall(r"<article>(.*?)</article>", r["html"], re.S))
+        blocks = re.split(r"</?(?:p|h1)>", re.sub(r"<br>", " ", re.sub(r"</?b>", "", body)))
+        texts[r["page_id"]] = "\n\n".join(x for x in (" ".join(html_lib.unescape(b).split()) for b in blocks) if x)
+    return texts
+
+
+def test_html_extract_table(spark):
+    from glossmill.llm.html_extract import INSIDE, common, extract, lines
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = brute_extract(pages.collect())
+    results = []
+    for parts in ("3", "17"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append({r["page_id"]: (r["text"], r["n_shared"]) for r in extract(pages.repartition(int(parts))).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert results[0] == results[1] and {k: t for k, (t, _) in results[0].items()} == want
+    # Deleted lines, from the pairs in order and a plain alignment.
+    def order(r):
+        host, path = re.match(r"https?://([^/?#]*)([^?#]*)", r["url"]).groups()
+        return host, re.sub(r"\d+", lambda d: d[0].zfill(12), path.rstrip("/")), r["page_id"]
+    rows = sorted(((*order(r), *lines(r["html"])) for r in pages.collect()), key=lambda x: x[:3])
+    total = 0
+    for k, row in enumerate(rows):
+        gone = set()
+        for other in rows[max(0, k - 1) : k] + rows[k + 1 : k + 2]:
+            if other[0] == row[0]:
+                gone.update(i for i in common(row[3], other[3]) if row[4][i] != INSIDE)
+        assert results[0][row[2]][1] == len(gone)
+        total += len(gone)
+    assert total > 0
+
+
+def test_common_subsequence():
+    from glossmill.llm.html_extract import common
+
     rng = np.random.default_rng(1)
     for _ in range(300):
         a, b = (rng.integers(0, 5, rng.integers(0, 10)).tolist() for _ in range(2))
