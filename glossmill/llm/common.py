@@ -71,15 +71,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def settle(docs: DataFrame, verdicts: DataFrame, id_col: str, digest: Column, most: int = 200_000) -> DataFrame:
-    """The rows of docs that stay, once each, with all their columns.
+def settle(docs: DataFrame, verdicts: DataFrame, id_col: str, digest: Column, most: int = 200_000, once: bool = True) -> DataFrame:
+    """The rows of docs that stay, with all their columns; once each, or (once=False) as often as they are there.
 
     verdicts(doc_id, digest, stays), a row for each row of docs, says which pairs of id and digest stay; digest is the same
     expression over docs. Texts stay where they are as long as the pairs that go, and those that stay but are repeated, are
     at most `most` (counted, then broadcast); else the pairs are joined by an ordinary shuffle. The result is the same.
     """
     gone_id, gone_digest = unused(docs, "gone_id", "gone_digest")
-    pairs = verdicts.groupBy("doc_id", "digest").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).filter("NOT stays OR n > 1")
+    pairs = verdicts.groupBy("doc_id", "digest").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).filter("NOT stays OR n > 1" if once else "NOT stays")
     pairs = cut(pairs.select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest), "stays"))
     small = pairs.limit(most + 1).count() <= most
     hint = F.broadcast if small else (lambda x: x)
@@ -90,12 +90,12 @@ def settle(docs: DataFrame, verdicts: DataFrame, id_col: str, digest: Column, mo
 
     plain = met(pairs, "left_anti")
     twice = pairs.filter("stays")
-    if twice.isEmpty():
+    if not once or twice.isEmpty():
         return plain
     mark, nth = unused(docs, "digest_of_row", "nth_of_row")
     again = met(twice, "left_semi").withColumn(mark, digest)
-    once = Window.partitionBy(f"`{id_col}`", mark).orderBy(mark)  # Spark keeps one row of each group on the map side already
-    again = again.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1)
+    group = Window.partitionBy(f"`{id_col}`", mark).orderBy(mark)  # Spark keeps one row of each group on the map side already
+    again = again.withColumn(nth, F.row_number().over(group)).filter(F.col(nth) == 1)
     return plain.unionByName(again.select(*[F.col(f"`{c}`") for c in own]))
 
 

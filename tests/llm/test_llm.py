@@ -191,7 +191,7 @@ def brute_features(text):
 
 
 def test_quality_rules(spark, edge, none):
-    from glossmill.llm.quality_rules import FEATURES, Rules, grams, kneser_ney, log_probabilities
+    from glossmill.llm.quality_rules import FEATURES, Rules, log_probabilities
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(edge, allowMissingColumns=True)
     texts = {(r["doc_id"], r["text"] or "") for r in docs.collect()}
@@ -206,13 +206,74 @@ def test_quality_rules(spark, edge, none):
     clean = [r["kept"] for r in rows if labels.get(r["doc_id"]) == 1 and not r["base_failed"]]
     assert np.mean(clean) > 0.98
     # Probabilities after a context sum to one.
-    model = rules.model.value
-    for context in b"he ":
-        assert np.exp(log_probabilities(model, (context << 8) | np.arange(256))).sum() == pytest.approx(1.0, abs=1e-3)
+    for context in (b"n th", b"\n\n\n\n", b"zzzz"):
+        code = (int.from_bytes(context, "big") << 8) | np.arange(256)
+        assert np.exp(log_probabilities(rules.model.value, code)).sum() == pytest.approx(1.0, abs=1e-4)
     assert Rules(none).score().count() == 0
+    other = rules.keep_clean(docs.filter("doc_id % 2 = 0"))  # documents that the model wasn't fitted on are scored
+    assert {r["doc_id"] for r in other.collect()} == {r["doc_id"] for r in rows if r["kept"] and r["doc_id"] is not None and r["doc_id"] % 2 == 0}
+
+
+def brute_kneser_ney(counts, order):
+    """Interpolated modified Kneser-Ney over tuples of bytes: a function (context, byte) -> probability."""
+    tables = {order: dict(counts)}
+    for m in range(order - 1, 0, -1):
+        tables[m] = {}
+        for g in tables[m + 1]:
+            tables[m][g[1:]] = tables[m].get(g[1:], 0) + 1
+    cuts = {}
+    for m, t in tables.items():
+        n1, n2, n3, n4 = (sum(v == k for v in t.values()) for k in (1, 2, 3, 4))
+        y, r = n1 / (n1 + 2 * n2) if n1 else 0.5, lambda a, b: a / b if b else 0.5
+        cuts[m] = [0, *(min(max(d, 0.05), k) for k, d in ((0.95, 1 - 2 * y * r(n2, n1)), (1.95, 2 - 3 * y * r(n3, n2)), (2.95, 3 - 4 * y * r(n4, n3))))]
+
+    def p(context, x):
+        m = len(context) + 1
+        below = p(context[1:], x) if m > 1 else 1 / 256
+        own = {g: v for g, v in tables[m].items() if g[:-1] == context}
+        if not own:
+            return below
+        total = sum(own.values())
+        c = own.get((*context, x), 0)
+        return max(c - cuts[m][min(c, 3)], 0) / total + sum(cuts[m][min(v, 3)] for v in own.values()) / total * below
+
+    return p
+
+
+def test_kneser_ney(spark):
+    from glossmill.llm.quality_rules import ORDER, count_grams, grams, kneser_ney, log_probabilities
+
+    texts = ["the cat sat on the mat", "the cat ate the rat that sat on the hat", "éa", "", None, "a cat and a hat"]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)
+    counted = count_grams(docs, "text", "lang", lambda lang, data, offsets: np.ones(len(lang), bool))
+    want = {}
+    for t in texts:
+        data = b"\n" * (ORDER - 1) + (t or "").encode()
+        for i in range(len(data) - ORDER + 1):
+            g = tuple(data[i : i + ORDER])
+            want[g] = want.get(g, 0) + 1
+    assert {tuple(r["gram"].to_bytes(ORDER, "big")): r["n"] for r in counted.collect()} == want
+    p = brute_kneser_ney(want, ORDER)
+    tests = [*want, *[tuple(b"he ca"), tuple(b"zzzzz"), tuple(b" catx"), tuple(b"xxthe"), tuple(b"\n\n\n\nq")]]
+    code = np.array([int.from_bytes(bytes(g), "big") for g in tests], np.int64)
+    got = np.exp(log_probabilities(kneser_ney(counted, share=0.0), code))
+    assert got == pytest.approx([p(g[:-1], g[-1]) for g in tests], rel=1e-5)
+    stored = kneser_ney(counted, share=0.02)
+    total = sum(want.values())
+    assert all(len(stored["gram", m][0]) <= 50 for m in range(1, ORDER + 1)) and len(stored["gram", ORDER][0]) == sum(v >= 0.02 * total for v in want.values())
+    for context in (b"the ", b" cat", b"zzzz"):
+        assert np.exp(log_probabilities(stored, (int.from_bytes(context, "big") << 8) | np.arange(256))).sum() == pytest.approx(1.0, abs=1e-4)
     data = np.frombuffer(b"abcdefab", np.uint8)
-    assert grams(data, np.array([0, 6, 8]))[6] == int.from_bytes(b"\na", "big")
-    assert kneser_ney  # the model is built by Rules above
+    assert grams(data, np.array([0, 6, 8]))[6] == int.from_bytes(b"\n\n\n\na", "big")
+
+
+def test_quality_rules_reject_junk(spark):
+    from glossmill.llm.quality_rules import Rules
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = Rules(docs).score().join(labels, "doc_id").filter("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
+    kept = dict(map(tuple, rows))
+    assert kept[1] > 0.99 and kept[0] < 0.1
 
 
 def test_quality_rules_rare_language(spark):
