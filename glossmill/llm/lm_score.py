@@ -1,15 +1,19 @@
-"""Operator 7, language-model scoring: stupid back-off bigram scores computed relationally.
+"""Operator 7, language-model scoring: stupid back-off word bigram scores computed relationally.
 
-Exploded word n-grams are joined to n-gram count tables that are partitioned by hash, and their log scores are summed per
-document. The join is exchanged in columns instead of rows: a chunk of documents (``chunk_bytes`` of text) sends each hash
-range the sorted distinct n-gram hashes of that range with their counts in the chunk; a range sums them over all chunks,
-which makes its part of the count table, and answers each chunk with the totals of the hashes it asked for; the chunk,
-which kept each word's place, looks its n-grams up and sums. Every distinct n-gram of a chunk thus crosses the network once
-each way, in a few bytes, and a frequent n-gram costs a range no more than a rare one.
+The unigram count table is made first. Words that make up at least ``share`` of the corpus (at most 1 / share of them) are
+broadcast with their counts. Texts are then exploded into bigrams (context word, word, document, how often); these are
+partitioned by a hash of the context word, or of both words where the context is a frequent one, so that no frequent word
+fills a partition. There the bigram count table is aggregated and joined back to the bigrams, and the unigram count table,
+partitioned alike, gives the counts of contexts. Bigrams that are in the table score count(a b) / count(a); the others back
+off to the word, by an ordinary join with the unigram counts. Scores are summed per document, before and after every shuffle.
+On the way to their partition bigrams travel in arrays, a row for each block of texts and partition; all else is rows.
 
 Score of a word: count(previous, word) / count(previous) if that bigram is in the corpus at least ``least`` times, else
-``back_off`` * count(word) / words of the corpus; a document's first word has its unigram score. Words are
-[^\\x20\\x09-\\x0D]+ with A-Z lowered; counts are over all documents of the corpus. n-grams are told apart by 64-bit hashes.
+``back_off`` * count(word) / words of the corpus; a document's first word has its unigram score. The corpus scores itself, so
+every bigram of a document is in it at least once; with ``least`` = 2 only bigrams with an occurrence besides that one count
+as known, and the order is 2 because in corpora that barely repeat nearly all longer n-grams occur once. Words are
+[^\\x20\\x09-\\x0D]+ with A-Z lowered; counts are over all documents of the corpus. Words, and documents (id and text), are
+told apart by 63-bit hashes, which don't depend on how rows are ordered or partitioned.
 
 Defined results: null, empty and wordless texts have no words and log score 0; texts are read whole, however long; repeated
 rows are counted and scored each; an empty table gives an empty result; further columns are ignored.
@@ -17,132 +21,122 @@ rows are counted and scored each; an empty table gives an empty result; further
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lowered, mix, per_row, shuffles, slices, span_hashes, words
-
-_SCHEMA = "part int, chunk bigint, kind int, body binary, extra binary"
-_NAMES = ["part", "chunk", "kind", "body", "extra"]
-_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """An array's bytes, all first bytes first: high bytes of small numbers then compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
+from .common import lowered, mix, shuffles, slices, span_hashes, stored, tidy, words
 
-def _unplanes(body: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, -1).T).view(kind).ravel()
+START = 1 << 40  # the context of a document's first word; frequent words are numbered from 0, others are negative hashes
+_ROW = 32_767  # bigrams in a row of arrays at most, so that documents are numbered by small integers
 
 
-def _sorted_out(x: np.ndarray) -> bytes:
-    return _planes(np.diff(x, prepend=np.uint64(0)))
-
-
-def _sorted_in(body: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(body, np.uint64), dtype=np.uint64)
-
-
-def _bigrams(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of consecutive words of a document, and which words have one before them."""
-    first = np.zeros(len(hashes), bool)
-    begins = np.cumsum(counts) - counts
-    first[begins[counts > 0]] = True
-    later = np.flatnonzero(~first)
-    with np.errstate(over="ignore"):
-        return mix(hashes[later - 1] * np.uint64(0x9E3779B97F4A7C15) + hashes[later]), later
-
-
-def _chunks(batches, chunk_bytes: int):
-    """(chunk id, ids, word counts, word hashes): the same chunks whenever the same partition is read again."""
-    base, nth, size = 0, 0, 0
-    ids, counts, hashes = [], [], []
+def _exploded(batches, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Context, word and document key of every word, in blocks of that many words at most."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
     for batch in batches:
-        if batch.num_rows:
-            base = batch.column(2)[0].as_py() << 24
-        for first, n, data, offsets in slices(batch, "text", 1_000_000):
+        keys = batch.column("key").to_numpy()
+        for first, _, data, offsets in slices(batch, "text"):
             small = lowered(data)
             starts, stops, row = words(small, offsets)
-            hashes.append(span_hashes(small, starts, stops))
-            counts.append(np.bincount(row, minlength=n))
-            ids.append(batch.column(0).slice(first, n))
-            size += len(data)
-            if size >= chunk_bytes:
-                yield base | nth, pa.concat_arrays(ids), np.concatenate(counts), np.concatenate(hashes)
-                nth, size, ids, counts, hashes = nth + 1, 0, [], [], []
-    if ids:
-        yield base | nth, pa.concat_arrays(ids), np.concatenate(counts), np.concatenate(hashes)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
-
-
-def _edges(sorted_hashes: np.ndarray, ranges: int) -> np.ndarray:
-    bounds = [(i << 64) // ranges for i in range(1, ranges)]
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, np.array(bounds, np.uint64)), [len(sorted_hashes)]])
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, back_off: float = 0.4, chunk_bytes: int = 12_000_000) -> DataFrame:
-    """Per document: doc_id, n_words, log_score (natural log, summed over words)."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("of"))
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    ranges = 2 * max(1, shuffles(docs))
+            word = (span_hashes(small, starts, stops) | np.uint64(1 << 63)).view(np.int64)
+            before = np.full(len(word), START, np.int64)
+            later = np.flatnonzero(row[1:] == row[:-1]) + 1
+            before[later] = word[later - 1]
+            doc = keys[first + row]
+            while len(word):
+                n = min(len(word), block - size)
+                held.append((before[:n], word[:n], doc[:n]))
+                before, word, doc, size = before[n:], word[n:], doc[n:], size + n
+                if size == block:
+                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _numbered(word: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Frequent words by their place in the sorted array, others as they are."""
+    if not len(frequent):
+        return word
+    at = np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)
+    return np.where(frequent[at] == word, at, word)
+
+
+def _packed(a: np.ndarray, b: np.ndarray, doc: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Bigrams as rows of arrays: for each partition the contexts, words, numbers in `docs`, and counts within a document."""
+    with np.errstate(over="ignore"):
+        both = mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)).view(np.int64)
+    bucket = np.mod(np.where(a < 0, a, both), parts)
+    order = np.lexsort((doc, b, a, bucket))
+    bucket, a, b, doc = bucket[order], a[order], b[order], doc[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])
+    heads = np.flatnonzero(new)
+    count = np.diff(np.append(heads, len(a))).astype(np.int32)
+    bucket, a, b, doc = bucket[heads], a[heads], b[heads], doc[heads]
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    cuts = np.concatenate([np.arange(x, y, _ROW) for x, y in zip(edges[:-1], edges[1:], strict=True)])
+    ends = np.append(cuts, len(bucket))
+    docs = [np.unique(doc[x:y], return_inverse=True) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    offsets = pa.array(ends.astype(np.int32))
+    lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
+    doc_ends = pa.array(np.cumsum([0, *[len(x) for x, _ in docs]]).astype(np.int32))
+    arrays = [
+        pa.array(bucket[cuts].astype(np.int32)), pa.ListArray.from_arrays(doc_ends, pa.array(np.concatenate([x for x, _ in docs]))), lists(a), lists(b),
+        lists(np.concatenate([i for _, i in docs]).astype(np.int16)), lists(count),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "docs", "a", "b", "i", "n"])
+
+
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, back_off: float = 0.4, share: float = 1e-6, block: int = 1_500_000
+) -> DataFrame:
+    """Per document: doc_id, n_words, log_score (natural log, summed over words).
+
+    share: words at least as frequent are broadcast; block: words that a task turns into arrays at a time.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.xxhash64(id_col, text_col).bitwiseAND((1 << 63) - 1).alias("key"), F.col(text_col).alias("text"))
+
+    def count(batches):
+        for _, word, _ in _exploded(batches, block):
+            distinct, n = np.unique(word, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], names=["word", "n"])
+
+    unigrams = stored(own.mapInArrow(tidy(count), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    total = unigrams.agg(F.sum("n")).first()[0] or 0
+    often = unigrams.filter(F.col("n") >= share * total).toArrow().sort_by("word")  # at most 1 / share rows
+    frequent = spark.sparkContext.broadcast(often["word"].to_numpy())
+    counts = F.broadcast(spark.createDataFrame(pa.table({"number": pa.array(np.arange(len(often))), "n": often["n"]}), "number bigint, n bigint"))
+    parts = max(1, shuffles(docs), -(-total // 20_000_000))
 
     def ask(batches):
-        for chunk, _, counts, hashes in _chunks(batches, chunk_bytes):
-            for kind, keys in ((1, hashes), (2, _bigrams(hashes, counts)[0])):
-                distinct, n = np.unique(keys, return_counts=True)
-                edges = _edges(distinct, ranges)
-                rows = [(p, chunk, kind, _sorted_out(distinct[a:b]), _planes(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-                for i in range(0, len(rows), 64):
-                    yield _rows(rows[i : i + 64])
-
-    def answer(table: pa.Table) -> pa.Table:
-        bodies = [_sorted_in(x) for x in table["body"].to_pylist()]
-        counts = np.concatenate([_unplanes(x, np.uint32) for x in table["extra"].to_pylist()])
-        _, inverse = np.unique(np.concatenate(bodies), return_inverse=True)
-        total = np.bincount(inverse, counts)[inverse].astype(np.uint64)
-        ends = np.cumsum([len(b) for b in bodies])
-        out = [_planes(total[e - len(b) : e]) for b, e in zip(bodies, ends, strict=True)]
-        return table.drop_columns(["body", "extra"]).append_column("body", pa.array(out, pa.binary())).append_column("extra", pa.nulls(len(out), pa.binary())).select(_NAMES)
-
-    def places(batches):
-        for chunk, ids, counts, hashes in _chunks(batches, chunk_bytes):
-            distinct, place = np.unique(hashes, return_inverse=True)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as writer:
-                writer.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
-            yield _rows([(-1, chunk, 0, _planes(place.astype(np.uint32)), _sorted_out(distinct)), (-2, chunk, 0, _planes(counts.astype(np.uint32)), sink.getvalue().to_pybytes())])
-
-    def look_up(table: pa.Table) -> pa.Table:
-        rows = {}
-        totals: dict[int, list] = {1: [], 2: []}
-        for part, kind, body, extra in zip(*[table[c].to_pylist() for c in ("part", "kind", "body", "extra")], strict=True):
-            if kind:
-                totals[kind].append((part, _unplanes(body, np.uint64)))
-            else:
-                rows[part] = (body, extra)
-        total = {k: np.concatenate([x for _, x in sorted(v, key=lambda x: x[0])]).astype(np.float64) if v else np.zeros(0) for k, v in totals.items()}
-        place, distinct = _unplanes(rows[-1][0], np.uint32), _sorted_in(rows[-1][1])
-        counts = _unplanes(rows[-2][0], np.uint32).astype(np.int64)
-        ids = pa.ipc.open_stream(rows[-2][1]).read_all()["id"]
-        one = total[1][place]
-        value, alone = np.log(one), np.ones(len(place), np.int64)  # a unigram's score lacks the division by all words
-        pairs, later = _bigrams(distinct[place], counts)
-        two = total[2][np.unique(pairs, return_inverse=True)[1]]
-        value[later] = np.where(two >= least, np.log(np.maximum(two, 1)) - np.log(one[later - 1]), value[later] + np.log(back_off))
-        alone[later] = two < least
-        out = [ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, pa.array(counts), pa.array(per_row(value, counts)), pa.array(per_row(alone, counts))]
-        return pa.table(out, names=["doc_id", "n_words", "part_score", "n_alone"])
-
-    asked = own.mapInArrow(ask, _SCHEMA)
-    answers = asked.groupBy("part", "kind").applyInArrow(answer, _SCHEMA)
-    both = answers.unionByName(own.mapInArrow(places, _SCHEMA))
-    found = cut(both.groupBy("chunk").applyInArrow(look_up, f"doc_id {id_kind}, n_words bigint, part_score double, n_alone bigint"))
-    total = found.agg(F.sum("n_words")).first()[0] or 1
-    return found.select(F.col("doc_id").alias(id_col), "n_words", (F.col("part_score") - F.col("n_alone") * F.log(F.lit(float(max(total, 1))))).alias("log_score"))
+        for before, word, doc in _exploded(batches, block):
+            a, b = (_numbered(x, frequent.value) for x in (before, word))
+            yield _packed(a, b, doc, parts)
+
+    asked = own.mapInArrow(tidy(ask), "bucket int, docs array<bigint>, a array<bigint>, b array<bigint>, i array<smallint>, n array<int>").repartition(parts, "bucket")
+    each = asked.select("bucket", F.transform("i", lambda x: F.get("docs", x.cast("int"))).alias("doc"), "a", "b", "n")
+    each = each.select("bucket", F.inline(F.arrays_zip("doc", "a", "b", "n")).alias("doc", "a", "b", "n"))
+    bigrams = each.groupBy("bucket", "a", "b").agg(F.sum("n").alias("ab"))  # the count table, partitioned by `bucket`
+    contexts = unigrams.select(F.pmod("word", F.lit(parts)).cast("int").alias("bucket"), F.col("word").alias("a"), F.col("n").alias("rare_a")).repartition(parts, "bucket")
+    met = each.join(bigrams, ["bucket", "a", "b"]).join(contexts, ["bucket", "a"], "left")
+    met = met.join(counts.select(F.col("number").alias("a"), F.col("n").alias("often_a")), "a", "left").join(counts.select(F.col("number").alias("b"), F.col("n").alias("often_b")), "b", "left")
+    known = (F.col("a") != START) & (F.col("ab") >= least)
+    factor = F.when(F.col("a") == START, 0.0).otherwise(float(np.log(back_off))) - float(np.log(max(total, 1)))
+    value = F.when(known, F.log("ab") - F.log(F.coalesce("often_a", "rare_a"))).otherwise(factor + F.coalesce(F.log("often_b"), F.lit(0.0)))
+    # What backs off to a rare word waits for that word's count under its hash (negative), all else under its document's key.
+    waits = F.when(~known & F.col("often_b").isNull(), F.col("b")).otherwise(F.col("doc"))
+    valued = met.select("bucket", "doc", waits.alias("word"), "n", (F.col("n") * value).alias("value"))
+    valued = valued.groupBy("bucket", "word", "doc").agg(F.sum("n").alias("times"), F.sum("value").alias("value"))
+    backed = valued.join(unigrams, "word", "left").select("doc", "times", (F.col("value") + F.when(F.col("word") < 0, F.col("times") * F.log("n")).otherwise(0.0)).alias("value"))
+    sums = backed.groupBy("doc").agg(F.sum("times").alias("times"), F.sum("value").alias("value"))
+    rows = docs.select(F.col(id_col).alias(id_col), F.xxhash64(id_col, text_col).bitwiseAND((1 << 63) - 1).alias("doc"))
+    copies = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("copies"))
+    scores = sums.join(copies, "doc").select("doc", (F.col("times") / F.col("copies")).cast("bigint").alias("n_words"), (F.col("value") / F.col("copies")).alias("log_score"))
+    return rows.join(scores, "doc", "left").select(id_col, F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))

@@ -40,7 +40,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import score
 
-    return score(read(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+    mean = F.col("log_score") / F.greatest("n_words", F.lit(1))
+    return score(read(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round(mean, 5).alias("mean_log_score"))
 
 
 OP7_SQL = r"""
@@ -51,7 +52,7 @@ c1 AS (SELECT word, count(*) AS n FROM t GROUP BY word),
 c2 AS (SELECT before, word, count(*) AS n FROM b WHERE before IS NOT NULL GROUP BY before, word),
 s AS (SELECT doc_id, CASE WHEN c2.n >= 2 THEN ln(c2.n) - ln(p.n) ELSE (CASE WHEN b.before IS NULL THEN 0 ELSE ln(0.4) END) + ln(c1.n) - ln((SELECT count(*) FROM t)) END AS v
       FROM b JOIN c1 ON b.word = c1.word LEFT JOIN c2 ON b.before = c2.before AND b.word = c2.word LEFT JOIN c1 p ON b.before = p.word)
-SELECT w.doc_id, len(w.words)::BIGINT AS n_words, round(coalesce(x.v, 0), 3) AS log_score FROM w LEFT JOIN (SELECT doc_id, sum(v) AS v FROM s GROUP BY doc_id) x USING (doc_id)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, round(coalesce(x.v, 0), 3) AS log_score, round(coalesce(x.v, 0) / greatest(len(w.words), 1), 5) AS mean_log_score FROM w LEFT JOIN (SELECT doc_id, sum(v) AS v FROM s GROUP BY doc_id) x USING (doc_id)
 """
 
 

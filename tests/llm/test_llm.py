@@ -321,8 +321,10 @@ def test_quality_knn(spark, edge, none):
 def test_lm_score(spark, edge, none):
     from glossmill.llm.lm_score import score
 
-    for size in (12_000_000, 2_000):  # one chunk, many chunks
-        got = sorted(((r["doc_id"] or -1), r["n_words"], round(r["log_score"], 6)) for r in score(edge, chunk_bytes=size).collect())
+    # One block, blocks that end within texts; all words frequent, some, none; rows in another order at every reading.
+    for kind in ({}, {"block": 50}, {"block": 7, "share": 0.01}, {"share": 1.0}, {"random": True}):
+        docs = edge.repartition(3).orderBy(F.rand()) if kind.pop("random", False) else edge
+        got = sorted(((r["doc_id"] or -1), r["n_words"], round(r["log_score"], 6)) for r in score(docs, **kind).collect())
         split = [(i or -1, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t, *_ in EDGE]
         split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in split]
         c1, c2 = {}, {}
