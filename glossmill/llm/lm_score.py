@@ -21,11 +21,12 @@ rows are counted and scored each; an empty table gives an empty result; further
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lowered, mix, shuffles, slices, span_hashes, stored, tidy, words
@@ -93,6 +94,18 @@ def _packed(a: np.ndarray, b: np.ndarray, doc: np.ndarray, parts: int) -> pa.Rec
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", "docs", "a", "b", "i", "n"])
 
 
+@contextlib.contextmanager
+def _partitioned_once(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, tables that are both partitioned by one of their join keys (`bucket`) are joined where they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, back_off: float = 0.4, share: float = 1e-6, block: int = 1_500_000
 ) -> DataFrame:
@@ -135,7 +148,8 @@ def score(
     valued = met.select("bucket", "doc", waits.alias("word"), "n", (F.col("n") * value).alias("value"))
     valued = valued.groupBy("bucket", "word", "doc").agg(F.sum("n").alias("times"), F.sum("value").alias("value"))
     backed = valued.join(unigrams, "word", "left").select("doc", "times", (F.col("value") + F.when(F.col("word") < 0, F.col("times") * F.log("n")).otherwise(0.0)).alias("value"))
-    sums = backed.groupBy("doc").agg(F.sum("times").alias("times"), F.sum("value").alias("value"))
+    with _partitioned_once(spark):
+        sums = stored(backed.groupBy("doc").agg(F.sum("times").alias("times"), F.sum("value").alias("value")))
     rows = docs.select(F.col(id_col).alias(id_col), F.xxhash64(id_col, text_col).bitwiseAND((1 << 63) - 1).alias("doc"))
     copies = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("copies"))
     scores = sums.join(copies, "doc").select("doc", (F.col("times") / F.col("copies")).cast("bigint").alias("n_words"), (F.col("value") / F.col("copies")).alias("log_score"))
