@@ -68,18 +68,24 @@ def _numbered(word: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.where(frequent[at] == word, at, word)
 
 
-def _packed(a: np.ndarray, b: np.ndarray, doc: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Bigrams as rows of arrays: for each partition the contexts, words, numbers in `docs`, and counts within a document."""
+def _packed(before: np.ndarray, word: np.ndarray, doc: np.ndarray, frequent: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Bigrams as rows of arrays: for each partition the contexts, words, numbers in `docs`, and counts within a document.
+
+    All three are numbered within the block, so that one sort of one number each orders and counts the bigrams.
+    """
+    n = len(word)
+    distinct, rank = np.unique(np.concatenate([word, before[:1], [START]]), return_inverse=True)
+    rank_before = np.append(rank[n], rank[: n - 1])  # a context is the word before, or START
+    rank_before[before == START] = rank[n + 1]
+    new = np.append(True, doc[1:] != doc[:-1])
+    found, count = np.unique((rank_before << 40) | (rank[:n] << 20) | (np.cumsum(new) - 1), return_counts=True)
+    code = np.where(distinct == START, START, _numbered(distinct, frequent))
+    a, b, doc, count = code[found >> 40], code[(found >> 20) & 0xFFFFF], doc[new][found & 0xFFFFF], count.astype(np.int32)
     with np.errstate(over="ignore"):
         both = mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)).view(np.int64)
     bucket = np.mod(np.where(a < 0, a, both), parts)
-    order = np.lexsort((doc, b, a, bucket))
-    bucket, a, b, doc = bucket[order], a[order], b[order], doc[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])
-    heads = np.flatnonzero(new)
-    count = np.diff(np.append(heads, len(a))).astype(np.int32)
-    bucket, a, b, doc = bucket[heads], a[heads], b[heads], doc[heads]
+    order = np.argsort(bucket.astype(np.uint16) if parts <= 1 << 16 else bucket, kind="stable")
+    bucket, a, b, doc, count = bucket[order], a[order], b[order], doc[order], count[order]
     edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
     cuts = np.concatenate([np.arange(x, y, _ROW) for x, y in zip(edges[:-1], edges[1:], strict=True)])
     ends = np.append(cuts, len(bucket))
@@ -107,11 +113,11 @@ def _partitioned_once(spark: SparkSession) -> Iterator[None]:
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, back_off: float = 0.4, share: float = 1e-6, block: int = 1_500_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, back_off: float = 0.4, share: float = 1e-6, block: int = 1_000_000
 ) -> DataFrame:
     """Per document: doc_id, n_words, log_score (natural log, summed over words).
 
-    share: words at least as frequent are broadcast; block: words that a task turns into arrays at a time.
+    share: words at least as frequent are broadcast; block: words that a task turns into arrays at a time, at most 2**20 - 2.
     """
     spark = docs.sparkSession
     own = docs.select(F.xxhash64(id_col, text_col).bitwiseAND((1 << 63) - 1).alias("key"), F.col(text_col).alias("text"))
@@ -126,19 +132,20 @@ def score(
     often = unigrams.filter(F.col("n") >= share * total).toArrow().sort_by("word")  # at most 1 / share rows
     frequent = spark.sparkContext.broadcast(often["word"].to_numpy())
     counts = F.broadcast(spark.createDataFrame(pa.table({"number": pa.array(np.arange(len(often))), "n": often["n"]}), "number bigint, n bigint"))
-    parts = max(1, shuffles(docs), -(-total // 20_000_000))
+    parts = max(1, shuffles(docs), -(-total // 2_000_000))
 
     def ask(batches):
         for before, word, doc in _exploded(batches, block):
-            a, b = (_numbered(x, frequent.value) for x in (before, word))
-            yield _packed(a, b, doc, parts)
+            yield _packed(before, word, doc, frequent.value, parts)
 
     asked = own.mapInArrow(tidy(ask), "bucket int, docs array<bigint>, a array<bigint>, b array<bigint>, i array<smallint>, n array<int>").repartition(parts, "bucket")
+    pair = F.xxhash64("a", "b").alias("pair")
     each = asked.select("bucket", F.transform("i", lambda x: F.get("docs", x.cast("int"))).alias("doc"), "a", "b", "n")
-    each = each.select("bucket", F.inline(F.arrays_zip("doc", "a", "b", "n")).alias("doc", "a", "b", "n"))
-    bigrams = each.groupBy("bucket", "a", "b").agg(F.sum("n").alias("ab"))  # the count table, partitioned by `bucket`
+    each = each.select("bucket", F.inline(F.arrays_zip("doc", "a", "b", "n")).alias("doc", "a", "b", "n")).select("bucket", pair, "doc", "a", "b", "n")
+    table = asked.filter((F.size("docs") > 0) & (F.size("i") > 0)).select("bucket", F.inline(F.arrays_zip("a", "b", "n")).alias("a", "b", "n"))  # all columns: the shuffle is reused
+    bigrams = table.select("bucket", pair, "n").groupBy("pair", "bucket").agg(F.sum("n").alias("ab"))  # the count table, partitioned by `bucket`
     contexts = unigrams.select(F.pmod("word", F.lit(parts)).cast("int").alias("bucket"), F.col("word").alias("a"), F.col("n").alias("rare_a")).repartition(parts, "bucket")
-    met = each.join(bigrams, ["bucket", "a", "b"]).join(contexts, ["bucket", "a"], "left")
+    met = each.join(bigrams, ["pair", "bucket"]).join(contexts.hint("shuffle_hash"), ["a", "bucket"], "left")
     met = met.join(counts.select(F.col("number").alias("a"), F.col("n").alias("often_a")), "a", "left").join(counts.select(F.col("number").alias("b"), F.col("n").alias("often_b")), "b", "left")
     known = (F.col("a") != START) & (F.col("ab") >= least)
     factor = F.when(F.col("a") == START, 0.0).otherwise(float(np.log(back_off))) - float(np.log(max(total, 1)))
@@ -146,7 +153,7 @@ def score(
     # What backs off to a rare word waits for that word's count under its hash (negative), all else under its document's key.
     waits = F.when(~known & F.col("often_b").isNull(), F.col("b")).otherwise(F.col("doc"))
     valued = met.select("bucket", "doc", waits.alias("word"), "n", (F.col("n") * value).alias("value"))
-    valued = valued.groupBy("bucket", "word", "doc").agg(F.sum("n").alias("times"), F.sum("value").alias("value"))
+    valued = valued.groupBy("word", "doc", "bucket").agg(F.sum("n").alias("times"), F.sum("value").alias("value"))
     backed = valued.join(unigrams, "word", "left").select("doc", "times", (F.col("value") + F.when(F.col("word") < 0, F.col("times") * F.log("n")).otherwise(0.0)).alias("value"))
     with _partitioned_once(spark):
         sums = stored(backed.groupBy("doc").agg(F.sum("times").alias("times"), F.sum("value").alias("value")))
