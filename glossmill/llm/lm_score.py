@@ -139,11 +139,12 @@ def score(
             yield _packed(before, word, doc, frequent.value, parts)
 
     asked = own.mapInArrow(tidy(ask), "bucket int, docs array<bigint>, a array<bigint>, b array<bigint>, i array<smallint>, n array<int>").repartition(parts, "bucket")
+    # Always true; not to be pushed below the shuffle, it keeps that alike, with all columns, for both uses, so that it is done once.
+    asked = asked.filter(F.size("docs") + F.size("i") + F.spark_partition_id() >= 0)
     pair = F.xxhash64("a", "b").alias("pair")
     each = asked.select("bucket", F.transform("i", lambda x: F.get("docs", x.cast("int"))).alias("doc"), "a", "b", "n")
     each = each.select("bucket", F.inline(F.arrays_zip("doc", "a", "b", "n")).alias("doc", "a", "b", "n")).select("bucket", pair, "doc", "a", "b", "n")
-    whole = F.size("docs") + F.size("i") + F.spark_partition_id() >= 0  # always; it keeps all columns in the shuffle, which is then done once for both
-    table = asked.filter(whole).select("bucket", F.inline(F.arrays_zip("a", "b", "n")).alias("a", "b", "n"))
+    table = asked.select("bucket", F.inline(F.arrays_zip("a", "b", "n")).alias("a", "b", "n"))
     bigrams = table.select("bucket", pair, "n").groupBy("pair", "bucket").agg(F.sum("n").alias("ab"))  # the count table, partitioned by `bucket`
     contexts = unigrams.select(F.pmod("word", F.lit(parts)).cast("int").alias("bucket"), F.col("word").alias("a"), F.col("n").alias("rare_a")).repartition(parts, "bucket")
     met = each.join(bigrams, ["pair", "bucket"]).join(contexts.hint("shuffle_hash"), ["a", "bucket"], "left")
