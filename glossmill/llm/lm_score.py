@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import lowered, mix, shuffles, slices, span_hashes, stored, tidy, words
 
 START = 1 << 40  # the context of a document's first word; frequent words are numbered from 0, others are negative hashes
-_ROW = 32_767  # bigrams in a row of arrays at most, so that documents are numbered by small integers
+_SMALL = 1 << 15  # bigrams in a row of arrays at most, and words whose numbers are small integers
 
 
 def _exploded(batches, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -60,16 +60,17 @@ def _exploded(batches, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _numbered(word: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Frequent words by their place in the sorted array, others as they are."""
+def _numbered(word: np.ndarray, frequent: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Words in the sorted array `frequent` by their numbers, others as they are."""
     if not len(frequent):
         return word
     at = np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)
-    return np.where(frequent[at] == word, at, word)
+    return np.where(frequent[at] == word, number[at], word)
 
 
-def _packed(before: np.ndarray, word: np.ndarray, doc: np.ndarray, frequent: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Bigrams as rows of arrays: for each partition the contexts, words, numbers in `docs`, and counts within a document.
+def _packed(before: np.ndarray, word: np.ndarray, doc: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], buckets: np.ndarray) -> pa.RecordBatch:
+    """Bigrams as rows of arrays: for each bucket the contexts, the words (small numbers first), numbers in `docs`, and counts
+    within a document.
 
     All three are numbered within the block, so that one sort of one number each orders and counts the bigrams.
     """
@@ -79,25 +80,34 @@ def _packed(before: np.ndarray, word: np.ndarray, doc: np.ndarray, frequent: np.
     rank_before[before == START] = rank[n + 1]
     new = np.append(True, doc[1:] != doc[:-1])
     found, count = np.unique((rank_before << 40) | (rank[:n] << 20) | (np.cumsum(new) - 1), return_counts=True)
-    code = np.where(distinct == START, START, _numbered(distinct, frequent))
+    code = np.where(distinct == START, START, _numbered(distinct, *frequent))
     a, b, doc, count = code[found >> 40], code[(found >> 20) & 0xFFFFF], doc[new][found & 0xFFFFF], count.astype(np.int32)
     with np.errstate(over="ignore"):
         both = mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)).view(np.int64)
-    bucket = np.mod(np.where(a < 0, a, both), parts)
-    order = np.argsort(bucket.astype(np.uint16) if parts <= 1 << 16 else bucket, kind="stable")
-    bucket, a, b, doc, count = bucket[order], a[order], b[order], doc[order], count[order]
-    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-    cuts = np.concatenate([np.arange(x, y, _ROW) for x, y in zip(edges[:-1], edges[1:], strict=True)])
-    ends = np.append(cuts, len(bucket))
+    place = np.mod(np.where(a < 0, a, both), len(buckets))
+    small = (b >= 0) & (b < _SMALL)
+    order = np.argsort(2 * place + ~small, kind="stable")
+    place, a, b, doc, count, small = place[order], a[order], b[order], doc[order], count[order], small[order]
+    edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place))
+    cuts = np.concatenate([np.arange(x, y, _SMALL) for x, y in zip(edges[:-1], edges[1:], strict=True)])
+    ends = np.append(cuts, len(place))
     docs = [np.unique(doc[x:y], return_inverse=True) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-    offsets = pa.array(ends.astype(np.int32))
-    lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
-    doc_ends = pa.array(np.cumsum([0, *[len(x) for x, _ in docs]]).astype(np.int32))
+    lists = lambda x, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x))
+    so_far = np.append(0, np.cumsum(small))[ends]
     arrays = [
-        pa.array(bucket[cuts].astype(np.int32)), pa.ListArray.from_arrays(doc_ends, pa.array(np.concatenate([x for x, _ in docs]))), lists(a), lists(b),
-        lists(np.concatenate([i for _, i in docs]).astype(np.int16)), lists(count),
+        pa.array(buckets[place[cuts]].astype(np.int32)), lists(np.concatenate([x for x, _ in docs]), np.cumsum([0, *[len(x) for x, _ in docs]])), lists(a, ends),
+        lists(b[small].astype(np.int16), so_far), lists(b[~small], ends - so_far), lists(np.concatenate([i for _, i in docs]).astype(np.int16), ends), lists(count, ends),
     ]
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "docs", "a", "b", "i", "n"])
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "docs", "a", "b_small", "b_large", "i", "n"])
+
+
+def _buckets(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of that many shuffle partitions a number that Spark's hash puts there: partitions are then equally large."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))
+    tried = spark.range(parts * (20 + 4 * parts.bit_length())).groupBy(place.alias("place")).agg(F.min("id").alias("id")).orderBy("place").toArrow()
+    if len(tried) < parts:
+        return np.arange(parts)
+    return tried["id"].to_numpy()
 
 
 @contextlib.contextmanager
@@ -123,30 +133,40 @@ def score(
     own = docs.select(F.xxhash64(id_col, text_col).bitwiseAND((1 << 63) - 1).alias("key"), F.col(text_col).alias("text"))
 
     def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, word, _ in _exploded(batches, block):
-            distinct, n = np.unique(word, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], names=["word", "n"])
+            held.append(np.unique(word, return_counts=True))
+            if len(held) > 1:
+                distinct, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+                held = [(distinct, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64))]
+            if len(held[0][0]) > block:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["word", "n"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["word", "n"])
 
     unigrams = stored(own.mapInArrow(tidy(count), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = unigrams.agg(F.sum("n")).first()[0] or 0
-    often = unigrams.filter(F.col("n") >= share * total).toArrow().sort_by("word")  # at most 1 / share rows
-    frequent = spark.sparkContext.broadcast(often["word"].to_numpy())
+    often = unigrams.filter(F.col("n") >= share * total).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most 1 / share rows
+    order = np.argsort(often["word"].to_numpy())  # words are numbered from the most frequent on
+    frequent = spark.sparkContext.broadcast((often["word"].to_numpy()[order], order))
     counts = F.broadcast(spark.createDataFrame(pa.table({"number": pa.array(np.arange(len(often))), "n": often["n"]}), "number bigint, n bigint"))
-    parts = max(1, shuffles(docs), -(-total // 2_000_000))
+    parts = max(1, shuffles(docs), -(-total // 3_000_000))
+    buckets = _buckets(spark, parts)
 
     def ask(batches):
         for before, word, doc in _exploded(batches, block):
-            yield _packed(before, word, doc, frequent.value, parts)
+            yield _packed(before, word, doc, frequent.value, buckets)
 
-    asked = own.mapInArrow(tidy(ask), "bucket int, docs array<bigint>, a array<bigint>, b array<bigint>, i array<smallint>, n array<int>").repartition(parts, "bucket")
+    asked = own.mapInArrow(tidy(ask), "bucket int, docs array<bigint>, a array<bigint>, b_small array<smallint>, b_large array<bigint>, i array<smallint>, n array<int>").repartition(parts, "bucket")
     # Always true; not to be pushed below the shuffle, it keeps that alike, with all columns, for both uses, so that it is done once.
     asked = asked.filter(F.size("docs") + F.size("i") + F.spark_partition_id() >= 0)
     pair = F.xxhash64("a", "b").alias("pair")
-    each = asked.select("bucket", F.transform("i", lambda x: F.get("docs", x.cast("int"))).alias("doc"), "a", "b", "n")
+    b = F.concat(F.col("b_small").cast("array<bigint>"), "b_large").alias("b")
+    each = asked.select("bucket", F.transform("i", lambda x: F.get("docs", x.cast("int"))).alias("doc"), "a", b, "n")
     each = each.select("bucket", F.inline(F.arrays_zip("doc", "a", "b", "n")).alias("doc", "a", "b", "n")).select("bucket", pair, "doc", "a", "b", "n")
-    table = asked.select("bucket", F.inline(F.arrays_zip("a", "b", "n")).alias("a", "b", "n"))
+    table = asked.select("bucket", "a", b, "n").select("bucket", F.inline(F.arrays_zip("a", "b", "n")).alias("a", "b", "n"))
     bigrams = table.select("bucket", pair, "n").groupBy("pair", "bucket").agg(F.sum("n").alias("ab"))  # the count table, partitioned by `bucket`
-    contexts = unigrams.select(F.pmod("word", F.lit(parts)).cast("int").alias("bucket"), F.col("word").alias("a"), F.col("n").alias("rare_a")).repartition(parts, "bucket")
+    contexts = unigrams.select(F.get(F.lit(buckets.tolist()), F.pmod("word", F.lit(parts)).cast("int")).cast("int").alias("bucket"), F.col("word").alias("a"), F.col("n").alias("rare_a")).repartition(parts, "bucket")
     met = each.join(bigrams, ["pair", "bucket"]).join(contexts.hint("shuffle_hash"), ["a", "bucket"], "left")
     met = met.join(counts.select(F.col("number").alias("a"), F.col("n").alias("often_a")), "a", "left").join(counts.select(F.col("number").alias("b"), F.col("n").alias("often_b")), "b", "left")
     known = (F.col("a") != START) & (F.col("ab") >= least)
