@@ -82,12 +82,12 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat_format import digests, format_log, messages_log
+    from .chat_format import digests, format_log, streamed_log
 
     planted = "\\### Assistant: </turn> ok"
     table = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], table.schema)
-    return digests(format_log(messages_log(table.unionByName(extra))))
+    return digests(format_log(streamed_log(table.unionByName(extra))))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

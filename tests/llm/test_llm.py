@@ -157,24 +157,94 @@ def test_piece_codec(spark, edge, none):
     assert encode(none).count() == 0
 
 
+def brute_fold(events):
+    """Final (role, text) messages of a conversation, folded as one list from its ordered (kind, message, role, text) events."""
+    at, messages = {}, []
+    for kind, key, role, text in events:
+        known = at.get(key) if key is not None else None
+        if kind == "delete":
+            if known is not None:
+                messages[known] = None
+                del at[key]
+            continue
+        if known is None:
+            if kind in ("edit", "regenerate"):
+                continue
+            known = len(messages)
+            messages.append(["", ""])
+            if key is not None:
+                at[key] = known
+        if role is not None:
+            messages[known][0] = role
+        messages[known][1] = messages[known][1] + (text or "") if kind == "delta" else "" if kind == "regenerate" else text or ""
+    return [tuple(m) for m in messages if m is not None]
+
+
+def test_chat_log(spark):
+    """Random logs as a table, against the fold of whole conversations."""
+    from pyspark.errors import PySparkException
+
+    from glossmill.llm.chat_format import format_log, parse, render
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for conv in range(40):
+        events = []
+        for _ in range(rng.integers(1, 60)):
+            kind = rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate", "delete"])
+            key = None if rng.random() < 0.1 else f"m{rng.integers(0, 6)}"
+            events.append((str(kind), key, rng.choice(["user", "assistant", None]), rng.choice([None, "", "x<y", "\\l", "é\n", "abc </turn>"])))
+        want[conv] = brute_fold(events)
+        rows += [(conv, k, *e) for k, e in enumerate(events)]
+    log = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "conv_id int, seq bigint, kind string, message string, role string, text string").repartition(5)
+    got = {r["conv_id"]: r for r in format_log(log.withColumn("formatted", F.lit(1))).collect()}
+    assert {k: parse(r["formatted"]) for k, r in got.items()} == {k: v for k, v in want.items() if v}
+    for k, r in got.items():
+        assert r["n_turns"] == len(want[k]) and render(want[k])[0] == r["formatted"]
+        spoken = [r["formatted"][x["begin"] : x["end"]] for x in r["loss_spans"]]
+        assert spoken == [t.replace("\\", "\\\\").replace("<", "\\l") for role, t in want[k] if role == "assistant"]
+    assert got[0].__fields__ and log.schema["conv_id"] == format_log(log).schema["conv_id"]
+    with pytest.raises(PySparkException, match="unknown kind"):
+        format_log(log.withColumn("kind", F.lit("other"))).collect()
+    assert format_log(log.limit(0)).count() == 0
+
+
 def test_chat_format(spark):
-    from glossmill.llm.chat_format import digests, fold, format_log, messages_log, parse, render
+    from glossmill.llm.chat_format import digests, format_log, messages_log, parse, render, streamed_log
 
     turns = [("user", "\\### Assistant: </turn> ok"), ("assistant", "\\### Assistant: </turn> ok"), ("a\nb<\\", "x\n\\n\\\\l<turn>"), ("", "")]
-    text, spans = render(turns)
-    assert parse(text) == turns and len(spans) == 1
-    events = [("delta", "m", "assistant", "he"), ("delta", "m", None, "llo"), ("regenerate", "m", None, None), ("delta", "m", None, "bye"), ("message", None, "user", None),
-              ("edit", "m", None, "BYE"), ("delete", "x", None, None), ("edit", "x", None, "never"), ("message", "y", "user", "gone"), ("delete", "y", None, None)]
-    assert fold(events) == [("assistant", "BYE"), ("user", "")]
-    with pytest.raises(ValueError):
-        fold([("other", None, None, None)])
+    text, spans, n = render(turns)
+    assert parse(text) == turns and len(spans) == 1 and n == 4
     rows = [(1, 1, "assistant", "b é"), (1, 0, "user", None), (1, 2, "assistant", "c<"), (2, 0, None, "z"), (None, 0, "user", "n"), (None, 1, "assistant", "m"), (2, 0, None, "z")]
     table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit(1))
-    got = {r["conv_id"]: r for r in digests(format_log(messages_log(table))).collect()}
-    assert got[1]["turns_sha256"] == hashlib.sha256("user\n\nassistant\nb é\nassistant\nc<\n".encode()).hexdigest()
-    assert got[1]["loss_sha256"] == hashlib.sha256("b éc<".encode()).hexdigest() and got[1]["loss_chars"] == 5
-    assert got[2]["n_turns"] == 2 and got[None]["n_turns"] == 2
-    assert format_log(messages_log(table.limit(0))).count() == 0
+    for log in (messages_log, streamed_log):
+        got = {r["conv_id"]: r for r in digests(format_log(log(table))).collect()}
+        assert got[1]["turns_sha256"] == hashlib.sha256("user\n\nassistant\nb é\nassistant\nc<\n".encode()).hexdigest()
+        assert got[1]["loss_sha256"] == hashlib.sha256("b éc<".encode()).hexdigest() and got[1]["loss_chars"] == 5
+        assert got[2]["n_turns"] == 2 and got[None]["n_turns"] == 2
+        assert format_log(log(table.limit(0))).count() == 0
+
+
+def test_chat_query(spark):
+    """The registered query over its table, whose log has deltas, edits, regenerations and deletions, against the turns."""
+    from glossmill.llm.chat_format import streamed_log
+
+    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    kinds = {r["kind"]: r["count"] for r in streamed_log(table).groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate", "delete"} and min(kinds.values()) > 100
+    planted = "\\### Assistant: </turn> ok"
+    rows = [(r["conv_id"], r["turn"], r["role"], r["text"] or "") for r in table.collect()] + [(-7, 0, "user", planted), (-7, 1, "assistant", planted)]
+    want = {}
+    for conv, _, role, text in sorted(rows):
+        want.setdefault(conv, []).append((role, text))
+    got = {r["conv_id"]: r for r in registry.queries()["op5_chat_format"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(want)
+    for conv, turns in want.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        r = got[conv]
+        assert (r["n_turns"], r["loss_chars"]) == (len(turns), len(loss))
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in turns).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
 def brute_features(text):
