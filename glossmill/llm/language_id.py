@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .hashed import folded, gram_counts, sampled
 
 WIDTH = 2048
@@ -67,7 +67,7 @@ class Languages:
                     lang = batch.column("lang").slice(first, n).filter(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([lang, pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
-        got = sampled(rows, "lang", most, F.col("id")).select("text", "lang").mapInArrow(run, "lang string, x binary").toArrow()
+        got = sampled(rows, "lang", most, F.col("id")).select("text", "lang").mapInArrow(tidy(run), "lang string, x binary").toArrow()
         label = np.array(got["lang"].to_pylist(), object)
         self.languages = sorted(set(label))
         if not self.languages:
@@ -118,7 +118,7 @@ class Languages:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(score < self.sure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
         own = docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).alias("text"))
-        return own.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+        return own.mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
 
     def keep_known(self, docs: DataFrame) -> DataFrame:
         """The rows whose language is told without ambiguity, with all their columns; texts are not shuffled."""
@@ -130,4 +130,4 @@ class Languages:
                 score = [self._predict(data, offsets)[1] for _, _, data, offsets in slices(text, "text", max_rows=500)]
                 yield batch.filter(pa.array(np.concatenate(score) >= self.sure)) if score else batch
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)

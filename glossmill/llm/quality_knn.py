@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .hashed import gram_counts, repeat_counts, sampled
 
 WIDTH = 2048
@@ -52,7 +52,7 @@ class Voters:
                     x = _counts(data, offsets).astype(np.float16)
                     yield pa.RecordBatch.from_arrays([batch.column("label").slice(first, n), pa.array([v.tobytes() for v in x], pa.binary())], names=["label", "x"])
 
-        got = rows.mapInArrow(run, "label int, x binary").toArrow()
+        got = rows.mapInArrow(tidy(run), "label int, x binary").toArrow()
         y = got["label"].to_numpy().astype(np.float32)
         self.labels = y
         if not len(y):
@@ -95,4 +95,4 @@ class Voters:
                 parts = [me.value._score(data, offsets) for _, _, data, offsets in slices(batch, "text", max_rows=500)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-        return docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+        return docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, score double")
