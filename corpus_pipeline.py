@@ -6,13 +6,12 @@ and read again as the next one's docs. All but the last return the columns of do
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import crc_mod
+from glossmill.llm.common import crc_mod, drop_folder, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,18 +56,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Tables between stages go to the shared checkpoint folder of the session."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="corpus-pipeline-")
-        context.setCheckpointDir(base)
+    """All stages over documents. Tables between stages go to the shared checkpoint folder of the session; a stage's input is
+    removed when its output is written, the last stage's stays, because its result is computed when it is used."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    place = f"{base}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return made
         made.write.parquet(f"{place}/{k}-{name}")
         docs = spark.read.parquet(f"{place}/{k}-{name}")
+        if k:
+            drop_folder(spark, f"{place}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
