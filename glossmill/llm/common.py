@@ -127,7 +127,7 @@ def shuffles(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000, max_rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 500_000, max_rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of at most max_rows rows and about max_bytes of text: (first row, rows, bytes, offsets).
 
     A text longer than that is a run of its own, whole. Null is empty text.

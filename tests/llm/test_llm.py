@@ -315,7 +315,7 @@ def test_kneser_ney(spark):
 
     texts = ["the cat sat on the mat", "the cat ate the rat that sat on the hat", "éa", "", None, "a cat and a hat"]
     docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)
-    counted = count_grams(docs, "text", "lang", lambda lang, data, offsets: np.ones(len(lang), bool))
+    counted = count_grams(docs, "text", "lang", lambda lang, data, offsets, code: np.ones(len(lang), bool))
     want = {}
     for t in texts:
         data = b"\n" * (ORDER - 1) + (t or "").encode()
