@@ -9,16 +9,22 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import W, answer_region
+from .text import W, answer_region, strip_space
 
 KEYS = ("same_sense", "sense1", "sense2")
 PARSED = "struct<ok:boolean,keys:array<string>,sense1:string,sense2:string,text1:boolean,text2:boolean,kind:string,truthy:boolean>"
 
 
-def parse_answer(text: str | None) -> dict | None:
-    """The object after the last closing think tag, by the rules of strict JSON; None if there is none."""
+def parse_answer(text: str | None, whole: bool = False) -> dict | None:
+    """The object after the last closing think tag, or (whole) the text itself, by the rules of strict JSON; else None."""
     if text is None:
         return None
+    if whole:
+        try:
+            made = json.loads(text)
+        except ValueError:
+            return None
+        return made if isinstance(made, dict) else None
     rest = text.rpartition("</think>")[2]
     found = None if "<think>" in rest else re.search(r"\{.*\}", rest, re.S)
     if not found:
@@ -42,18 +48,19 @@ def _summary(made: dict | None) -> dict:
     }
 
 
-def parsed(text: Column) -> Column:
+def parsed(text: Column, whole: bool = False) -> Column:
     """struct(ok, keys, sense1, sense2, text1, text2, kind, truthy) of an answer; compute it once per row."""
     @F.pandas_udf(PARSED)
     def parse(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_summary(parse_answer(v)) for v in values], columns=["ok", "keys", "sense1", "sense2", "text1", "text2", "kind", "truthy"])
+        return pd.DataFrame([_summary(parse_answer(v, whole)) for v in values], columns=["ok", "keys", "sense1", "sense2", "text1", "text2", "kind", "truthy"])
 
     return parse(text)
 
 
 def extract_object(body: Column) -> Column:
-    """The text from the first brace to the last, without code fences; the whole body if there are none."""
-    bare = F.regexp_replace(body, r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", "")
+    """The text from the first brace to the last, without code fences (plain ones, or labelled json in small letters); the whole
+    body if there are none."""
+    bare = strip_space(F.regexp_replace(F.regexp_replace(strip_space(body), "^(?:```json)?(?:```)?", ""), r"```\z", ""))
     return F.when(bare.rlike(r"(?s)\{.*\}"), F.regexp_extract(bare, r"(?s)(\{.*\})", 1)).otherwise(bare)
 
 

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 W = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
+#: The characters of SPACE.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 #: The short stoplist of the gloss checker.
 SHORT_STOPLIST = "a an the of to or and in for that is with by on as be it something someone".split()
 
-#: The stoplist of content words in rewards. It is a parameter of every function that uses it.
+#: This library's own default stoplist of content words in rewards, shorter than published ones. It is a parameter of every
+#: function that uses it: a caller who must match scores made with another list passes that list.
 STOPLIST = (
     "a about above after again against all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for "
     "from further had has have having he her here hers him his how i if in into is it its itself just may me might more most must my no nor not of off on once only or other our out "
@@ -35,7 +39,7 @@ def split_space(text: Column) -> Column:
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normal_gloss(gloss: Column) -> Column:

@@ -33,6 +33,15 @@ def dedupe_last(df: DataFrame, ordinal: str, key: tuple[str, ...] = PAIR_KEY) ->
     return df.withColumns({"_n": F.row_number().over(w.orderBy(F.desc(ordinal))), "_first": F.min(ordinal).over(w)}).filter("_n = 1").withColumn(ordinal, F.col("_first")).drop("_n", "_first")
 
 
+def _met(one: DataFrame, other: DataFrame, key: tuple[str, ...], how: str) -> DataFrame:
+    """A join on equal keys where null equals null; the key's columns of `other` are named _key_."""
+    named = other.select(*[F.col(k).alias(f"_key_{k}") for k in key], *[c for c in other.columns if c not in key])
+    condition = F.lit(True)
+    for k in key:
+        condition = condition & one[k].eqNullSafe(named[f"_key_{k}"])
+    return one.join(named, condition, how)
+
+
 def merge(base: DataFrame, add: DataFrame, prefer: str = "base", key: tuple[str, ...] = PAIR_KEY, slots: str = "slots") -> DataFrame:
     """Keyed union of two corpora with unique keys, and a status: new, kept_base or merged.
 
@@ -44,13 +53,14 @@ def merge(base: DataFrame, add: DataFrame, prefer: str = "base", key: tuple[str,
     base, add = (x.filter(F.coalesce(F.size(slots), F.lit(0)) > 0) for x in (base, add))
     rest = [c for c in base.columns if c not in key]
     b, a = base.select(*key, F.struct(*rest).alias("_b")), add.select(*key, F.struct(*rest).alias("_a"))
-    both = b.join(a, list(key), "full")
+    both = _met(b, a, key, "full")
     known, other = F.col("_b").isNotNull(), F.col("_a").isNotNull()
     out = {c: F.when(known, F.col(f"_b.{c}")).otherwise(F.col(f"_a.{c}")) for c in rest}
     if prefer == "both":
         out[slots] = F.when(known & other, F.concat(F.col(f"_b.{slots}"), F.col(f"_a.{slots}"))).otherwise(out[slots])
     status = F.when(~known, "new").when(other, "merged" if prefer == "both" else "kept_base").otherwise("base_only")
-    return both.select(*key, *[v.alias(c) for c, v in out.items()], status.alias("status"))
+    keys = [F.coalesce(k, f"_key_{k}").alias(k) for k in key]
+    return both.select(*keys, *[v.alias(c) for c, v in out.items()], status.alias("status"))
 
 
 def merge_stats(merged: DataFrame) -> DataFrame:
@@ -59,13 +69,13 @@ def merge_stats(merged: DataFrame) -> DataFrame:
 
 def exclude(df: DataFrame, manifest: DataFrame, key: tuple[str, ...] = PAIR_KEY) -> DataFrame:
     """Records whose key is not in a manifest. Whether the manifest is broadcast is left to its measured size."""
-    return df.join(manifest.select(*key).distinct(), list(key), "left_anti")
+    return _met(df, manifest.select(*key).distinct(), key, "left_anti")
 
 
 def resume(todo: DataFrame, finished: DataFrame, ordinal: str, key: tuple[str, ...] = PAIR_KEY) -> tuple[DataFrame, DataFrame]:
     """(finished rows to reuse, rows still to do): rows with an error don't count, the last duplicate wins."""
     good = dedupe_last(finished.filter(F.col("error").isNull()), ordinal, key)
-    return good.join(todo.select(*key).distinct(), list(key), "left_semi"), todo.join(good.select(*key), list(key), "left_anti")
+    return _met(good, todo.select(*key).distinct(), key, "left_semi"), _met(todo, good.select(*key), key, "left_anti")
 
 
 def balance(df: DataFrame, label: str, ties: list[str], seed: int = 42) -> DataFrame:

@@ -27,29 +27,44 @@ def gloss_messages(lemma: Column, pos: Column, marked: Column) -> Column:
 
 
 def score_rows(rows: DataFrame) -> DataFrame:
-    """rows(definition, gloss, filler_gloss, ...) with f1, filler_f1 and whether the filler's sense is the record's own."""
-    return rows.withColumns(
-        {
-            "f1": F.when(F.col("gloss") != "", T.gloss_f1(F.col("definition"), F.col("gloss"))),
-            "filler_f1": F.when((F.col("gloss") != "") & (F.col("filler_gloss") != ""), T.gloss_f1(F.col("gloss"), F.col("filler_gloss"))),
-            "may_echo": T.gloss_f1(F.col("definition"), F.coalesce("filler_gloss", F.lit(""))) < ECHO_EXCLUDE_F1,
-        }
-    )
+    """rows(definition, gloss, filler_gloss, ...) with, for rows with a gloss, its scores: f1, filler_f1, bleu, chrf, the sizes of
+    both content sets, and whether the filler's sense may count as an echo (it isn't the record's own)."""
+    sets = {c: T.content_set(F.coalesce(F.col(c), F.lit("")), T.SHORT_STOPLIST) for c in ("definition", "gloss", "filler_gloss")}
+    made = rows.withColumns({f"_{c}": x for c, x in sets.items()})
+    has = F.coalesce("gloss", F.lit("")) != ""
+    of = {
+        "f1": T.set_f1(F.col("_definition"), F.col("_gloss")), "filler_f1": T.set_f1(F.col("_gloss"), F.col("_filler_gloss")), "may_echo": T.set_f1(F.col("_definition"), F.col("_filler_gloss")) < ECHO_EXCLUDE_F1,
+        "len_gloss": F.size("_gloss").cast("double"), "len_gold": F.size("_definition").cast("double"), "bleu": sentence_bleu(F.col("gloss"), F.col("definition")),
+        "chrf": chrf(F.when(has, F.col("gloss")), F.col("definition")),
+    }
+    return made.withColumns({c: F.when(has, x) for c, x in of.items()}).drop(*[f"_{c}" for c in sets])
+
+
+def _echoes() -> Column:
+    return F.when(F.col("may_echo"), (F.col("filler_f1") >= SAME_GLOSS_F1).cast("double"))
 
 
 def echo_rate(scored: DataFrame) -> DataFrame:
-    return scored.agg(mean(F.when(F.col("may_echo") & F.col("filler_f1").isNotNull(), (F.col("filler_f1") >= SAME_GLOSS_F1).cast("double"))).alias("echo_rate"))
+    return scored.agg(mean(_echoes()).alias("echo_rate"))
 
 
-def summary(scored: DataFrame) -> DataFrame:
-    """One row of counts and means over scored rows; means over nothing are NaN."""
+def summary(scored: DataFrame, cos: str | None = None) -> DataFrame:
+    """One row of counts and means over rows with a gloss; means over nothing are NaN. cos: a column of cosines, if there is one."""
+    means = [mean(F.col(c)).alias(c) for c in ("f1", "bleu", "chrf", "len_gloss", "len_gold", "filler_f1")]
     return scored.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("gloss") != "").alias("n_scored"), F.count_if(F.coalesce("gloss", F.lit("")) == "").alias("empty"),
-        mean(F.col("f1")).alias("f1"), mean(F.col("filler_f1")).alias("filler_f1"), mean(F.when(F.col("gloss") != "", F.size(T.split_space(F.col("gloss"))).cast("double"))).alias("gloss_words"),
-        mean(F.size(T.split_space(F.col("definition"))).cast("double")).alias("definition_words"),
+        F.count(F.lit(1)).alias("n"), F.count("f1").alias("n_scored"), (F.count(F.lit(1)) - F.count("f1")).alias("empty"), *means, mean(F.col(cos) if cos else F.lit(None).cast("double")).alias("cos"),
+        mean(_echoes()).alias("filler_echo_rate"), F.count(_echoes()).alias("n_echo_scored"),
     )
 
 
+def full_summary(rows: DataFrame, by: list[str], order: str, cos: str | None = None) -> DataFrame:
+    """`summary`, corpus BLEU and sense accuracy of one gloss file, in one row."""
+    scored = score_rows(rows)
+    sense = sense_accuracy(rows, by, order).select(F.col("accuracy").alias("sense_acc"), F.col("n").alias("n_sense_scored"))
+    bleu = corpus_bleu(rows.filter(F.coalesce("gloss", F.lit("")) != "")).select(F.col("bleu").alias("bleu_corpus"))
+    return summary(scored, cos).join(F.broadcast(bleu)).join(F.broadcast(sense))  # three tables of one row
+
+
 def sense_choice(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """rows(*by, lemma, pos, gloss, definition, order) -> *by, sense_correct, for lemmas with two definitions or more.
 
@@ -57,9 +72,9 @@ def sense_choice(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """
     definitions = rows.groupBy("lemma", "pos", "definition").agg(F.min(order).alias("_seen"))
     many = definitions.groupBy("lemma", "pos").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("lemma", "pos")
-    options = definitions.join(many, ["lemma", "pos"], "left_semi").withColumnRenamed("definition", "_option")
-    asked = rows.filter(F.coalesce("gloss", F.lit("")) != "").select(*by, "lemma", "pos", "gloss", "definition")
-    scored = asked.join(options, ["lemma", "pos"]).withColumn("_s", -T.gloss_f1(F.col("gloss"), F.col("_option")))
+    options = definitions.join(many, ["lemma", "pos"], "left_semi").select("lemma", "pos", "_seen", F.col("definition").alias("_option"), T.content_set(F.col("definition"), T.SHORT_STOPLIST).alias("_sense"))
+    asked = rows.filter(F.coalesce("gloss", F.lit("")) != "").select(*by, "lemma", "pos", "definition", T.content_set(F.col("gloss"), T.SHORT_STOPLIST).alias("_asked"))
+    scored = asked.join(options, ["lemma", "pos"]).withColumn("_s", -T.set_f1(F.col("_asked"), F.col("_sense")))
     best = scored.groupBy(*by).agg(F.min(F.struct("_s", "_seen", "_option")).alias("b"), F.first("definition").alias("d"))
     return best.select(*by, (F.col("b._option") == F.col("d")).alias("sense_correct"))
 
@@ -91,33 +106,62 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
 
 
+def bleu_tokens(text: Column) -> Column:
+    """The tokens that published BLEU scores are made of (the mteval 13a rules), in letter case."""
+    for pattern, to in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = F.replace(text, F.lit(pattern), F.lit(to))
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for pattern, to in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
+        text = F.regexp_replace(text, pattern, to)
+    return T.split_space(text)
+
+
+def _bleu(matches: list[Column], totals: list[Column], c: Column, r: Column) -> Column:
+    """BLEU in percent with exponential smoothing, over the orders that the hypothesis is long enough for."""
+    logs, orders, halved = F.lit(0.0), F.lit(0), F.lit(0)
+    for m, t in zip(matches, totals, strict=True):
+        halved = halved + F.when((t > 0) & (m == 0), 1).otherwise(0)
+        share = F.when(m > 0, m.cast("double") / F.greatest(t, F.lit(1))).otherwise(1 / (F.pow(F.lit(2.0), halved) * F.greatest(t, F.lit(1))))
+        logs, orders = logs + F.when(t > 0, F.log(share)).otherwise(0.0), orders + F.when(t > 0, 1).otherwise(0)
+    brevity = F.when(c >= r, 0.0).otherwise(1 - r.cast("double") / F.greatest(c, F.lit(1)))
+    found = F.lit(False)
+    for m in matches:
+        found = found | (m > 0)
+    return F.when(found, 100 * F.exp(logs / F.greatest(orders, F.lit(1)) + brevity)).otherwise(0.0)
+
+
+def sentence_bleu(hypothesis: Column, reference: Column, order: int = 4) -> Column:
+    h, r = bleu_tokens(hypothesis), bleu_tokens(reference)
+    matches = [_overlap(_grams(h, n), _grams(r, n)) for n in range(1, order + 1)]
+    return _bleu(matches, [F.greatest(F.size(h) - n + 1, F.lit(0)) for n in range(1, order + 1)], F.size(h), F.size(r))
+
+
 def corpus_bleu(rows: DataFrame, hypothesis: str = "gloss", reference: str = "definition", order: int = 4) -> DataFrame:
-    """Corpus BLEU (Papineni et al., 2002) over lower-case word tokens, in percent."""
-    h, r = T.tokens(F.col(hypothesis)), T.tokens(F.col(reference))
+    """Corpus BLEU (Papineni et al., 2002), in percent; NaN over nothing."""
+    split = rows.select(bleu_tokens(F.col(hypothesis)).alias("h"), bleu_tokens(F.col(reference)).alias("r"))
+    h, r = F.col("h"), F.col("r")
     sums = [F.sum(_overlap(_grams(h, n), _grams(r, n))).alias(f"m{n}") for n in range(1, order + 1)] + [F.sum(F.greatest(F.size(h) - n + 1, F.lit(0))).alias(f"t{n}") for n in range(1, order + 1)]
-    total = rows.agg(*sums, F.sum(F.size(h)).alias("c"), F.sum(F.size(r)).alias("r"))
-    logs = sum((F.log(F.try_divide(F.col(f"m{n}").cast("double"), F.col(f"t{n}").cast("double"))) for n in range(1, order + 1)), F.lit(0.0)) / order
-    brevity = F.when(F.col("c") >= F.col("r"), 0.0).otherwise(1 - F.try_divide(F.col("r").cast("double"), F.col("c").cast("double")))
-    return total.select(F.coalesce(100 * F.exp(logs + brevity), F.lit(0.0)).alias("bleu"))
+    total = split.agg(*sums, F.sum(F.size(h)).alias("c"), F.sum(F.size(r)).alias("r"))
+    score = _bleu([F.col(f"m{n}") for n in range(1, order + 1)], [F.col(f"t{n}") for n in range(1, order + 1)], F.col("c"), F.col("r"))
+    return total.select(F.when(F.col("c").isNull(), float("nan")).otherwise(score).alias("bleu"))
 
 
 def chrf(hypothesis: Column, reference: Column, order: int = 6, beta: float = 2.0) -> Column:
-    """Sentence chrF (Popovic, 2015) over characters without white space, in percent."""
+    """Sentence chrF (Popovic, 2015) over characters without white space, in percent: precision and recall are means over the
+    orders that both texts are long enough for. Null for a null hypothesis."""
 
     @F.pandas_udf("double")
     def score(hypotheses: pd.Series, references: pd.Series) -> pd.Series:
         def one(h: str | None, r: str | None) -> float:
             h, r = "".join((h or "").split()), "".join((r or "").split())
-            total, orders = 0.0, 0
+            precision, recall, orders = 0.0, 0.0, 0
             for n in range(1, order + 1):
                 a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (h, r))
                 if a and b:
                     both = sum((a & b).values())
-                    p, q = both / sum(a.values()), both / sum(b.values())
-                    total += (1 + beta**2) * p * q / (beta**2 * p + q) if both else 0.0
-                    orders += 1
-            return 100 * total / orders if orders else 0.0
+                    precision, recall, orders = precision + both / sum(a.values()), recall + both / sum(b.values()), orders + 1
+            return 100 * (1 + beta**2) * precision * recall / (orders * (beta**2 * precision + recall)) if precision else 0.0
 
-        return pd.Series([one(h, r) for h, r in zip(hypotheses, references, strict=True)], dtype="float64")
+        return pd.Series([None if h is None else one(h, r) for h, r in zip(hypotheses, references, strict=True)], dtype="float64")
 
     return score(hypothesis, reference)

@@ -38,7 +38,9 @@ def snap(glosses: DataFrame, lexicon: DataFrame, by: list[str]) -> DataFrame:
 
     As specified, a gloss without any common token snaps to the first sense with score 0.
     """
-    joined = glosses.join(lexicon, ["lemma", "pos"]).withColumn("score", T.gloss_f1(F.col("gloss"), F.col("definition")))
+    asked = glosses.select(*by, "lemma", "pos", T.content_set(F.col("gloss"), T.SHORT_STOPLIST).alias("_asked"))
+    senses = lexicon.select("lemma", "pos", "rank", "synset_id", T.content_set(F.col("definition"), T.SHORT_STOPLIST).alias("_sense"))
+    joined = asked.join(senses, ["lemma", "pos"]).withColumn("score", T.set_f1(F.col("_asked"), F.col("_sense")))
     best = joined.groupBy(*by).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("rank"), F.col("synset_id"))).alias("b"), F.count(F.lit(1)).alias("n_synsets"))
     return best.select(*by, F.col("b.synset_id").alias("synset_id"), (-F.col("b.s")).alias("score"), "n_synsets")
 
@@ -77,19 +79,37 @@ def ancestors(edges: DataFrame, most: int = 40) -> DataFrame:
     return all_of
 
 
-def confusability(pairs: DataFrame, closure: DataFrame, pos_of: DataFrame) -> DataFrame:
+def depths(edges: DataFrame, most: int = 40) -> DataFrame:
+    """edges(synset_id, hypernym_id) -> synset_id, height: the longest way down to it from a synset without hypernyms."""
+    roots = edges.select(F.col("hypernym_id").alias("synset_id")).distinct().join(edges.select("synset_id").distinct(), "synset_id", "left_anti")
+    front = roots.withColumn("height", F.lit(0))
+    all_of = front
+    for height in range(1, most):
+        step = edges.join(front.select(F.col("synset_id").alias("hypernym_id")), "hypernym_id", "left_semi").select("synset_id").distinct()
+        front = cut(step.withColumn("height", F.lit(height)))
+        if front.isEmpty():
+            break
+        all_of = all_of.unionByName(front)
+    return all_of.groupBy("synset_id").agg(F.max("height").alias("height"))
+
+
+def confusability(pairs: DataFrame, closure: DataFrame, pos_of: DataFrame, heights: DataFrame) -> DataFrame:
     """pairs(s1, s2) -> level: null if unresolved, cross-pos, siblings, near (distance up to 4), far or unrelated.
 
-    Siblings share a direct hypernym that is their lowest common one; of several lowest ones the smallest id counts.
+    Siblings share a direct hypernym that is their lowest common one: of their common hypernyms the one deepest in the
+    hierarchy, by `depths`; of several the smallest id counts. The distance is that by the nearest common hypernym.
     """
     p = pairs.select("s1", "s2").distinct()
     p = p.join(pos_of.select(F.col("synset_id").alias("s1"), F.col("pos").alias("pos1")), "s1", "left").join(pos_of.select(F.col("synset_id").alias("s2"), F.col("pos").alias("pos2")), "s2", "left")
     one = closure.select(F.col("synset_id").alias("s1"), "ancestor", F.col("depth").alias("d1"))
     two = closure.select(F.col("synset_id").alias("s2"), "ancestor", F.col("depth").alias("d2"))
-    common = p.join(one, "s1").join(two, ["s2", "ancestor"]).groupBy("s1", "s2").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("distance"), "ancestor", "d1", "d2")).alias("c"))
+    deep = heights.select(F.col("synset_id").alias("ancestor"), "height")
+    both = p.join(one, "s1").join(two, ["s2", "ancestor"]).join(deep, "ancestor", "left")
+    lowest = F.min(F.struct((-F.coalesce("height", F.lit(0))).alias("h"), "ancestor", "d1", "d2")).alias("c")
+    common = both.groupBy("s1", "s2").agg(lowest, F.min(F.col("d1") + F.col("d2")).alias("distance"))
     level = (
         F.when(F.col("pos1").isNull() | F.col("pos2").isNull(), None).when(F.col("pos1") != F.col("pos2"), "cross-pos").when(F.col("c").isNull(), "unrelated")
-        .when((F.col("c.d1") == 1) & (F.col("c.d2") == 1), "siblings").when(F.col("c.distance") <= 4, "near").otherwise("far")
+        .when((F.col("c.d1") == 1) & (F.col("c.d2") == 1), "siblings").when(F.col("distance") <= 4, "near").otherwise("far")
     )
     return p.join(common, ["s1", "s2"], "left").select("s1", "s2", level.alias("level"))
 

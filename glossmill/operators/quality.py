@@ -12,13 +12,16 @@ from ..plans.prompts import JUDGE, JUDGE_AXES
 MIN_CHARS, MAX_CHARS, MIN_TTR, TTR_MIN_WORDS = 100, 5000, 0.25, 50
 
 
-def rule_check(text: Column) -> Column:
-    """null, empty, non_english, too_short, too_long or repetitive; null if a trace passes. Lengths are of the stripped text."""
-    bare, words = T.strip_space(text), T.split_space(text)
-    distinct = F.try_divide(F.size(F.array_distinct(words)).cast("double"), F.size(words).cast("double"))
+def rule_check(text: Column, bare: Column | None = None) -> Column:
+    """null, empty, non_english, too_short, too_long or repetitive; null if a trace passes. Lengths are of the stripped text,
+    which may be given. Words are counted in one fold, and only where no rule before hits."""
+    bare = T.strip_space(text) if bare is None else bare
+    size = F.char_length(bare)
+    few = lambda words: (F.size(words) >= TTR_MIN_WORDS) & (F.size(F.array_distinct(words)) < MIN_TTR * F.size(words))
+    repetitive = F.element_at(F.transform(F.array(T.split_space(text)), few), 1)  # the words are split once
     return (
-        F.when(text.isNull(), "null").when(bare == "", "empty").when(T.is_non_latin(bare), "non_english").when(F.char_length(bare) < MIN_CHARS, "too_short")
-        .when(F.char_length(bare) > MAX_CHARS, "too_long").when((F.size(words) >= TTR_MIN_WORDS) & (distinct < MIN_TTR), "repetitive")
+        F.when(text.isNull(), "null").when(size == 0, "empty").when(T.is_non_latin(bare), "non_english").when(size < MIN_CHARS, "too_short").when(size > MAX_CHARS, "too_long")
+        .when(repetitive, "repetitive")
     )
 
 
@@ -28,7 +31,8 @@ def vote_check(vote: Column, label: Column) -> Column:
 
 
 def sense_check(answer: Column, label: Column, strict: bool = False) -> Column:
-    """A gloss pair that contradicts the gold label; answer is a `functions.answers.parsed` struct, unparsed answers pass."""
+    """A gloss pair that contradicts the gold label; answer is a `functions.answers.parsed` struct of
+    the whole text (prose around an object isn't JSON), unparsed answers pass."""
     usable = answer["ok"] & F.array_contains(answer["keys"], "sense1") & F.array_contains(answer["keys"], "sense2")
     same = T.normal_gloss(answer["sense1"]) == T.normal_gloss(answer["sense2"])
     gold = F.coalesce(label, F.lit(False))
@@ -38,8 +42,9 @@ def sense_check(answer: Column, label: Column, strict: bool = False) -> Column:
 
 def check_slots(slots: DataFrame, strict: bool = False) -> DataFrame:
     """slots(reasoning, vote, answer, label, ...) with `reason`: the first of the rule, vote and sense checks that hits."""
-    cheap = slots.withColumn("_cheap", F.coalesce(rule_check(F.col("reasoning")), vote_check(F.col("vote"), F.col("label"))))
-    parsed = cheap.withColumn("_answer", A.parsed(F.when(F.col("_cheap").isNull(), F.col("answer"))))  # Python sees survivors only
+    bare = slots.withColumn("_bare", T.strip_space(F.col("reasoning")))
+    cheap = bare.withColumn("_cheap", F.coalesce(rule_check(F.col("reasoning"), F.col("_bare")), vote_check(F.col("vote"), F.col("label")))).drop("_bare")
+    parsed = cheap.withColumn("_answer", A.parsed(F.when(F.col("_cheap").isNull(), F.col("answer")), whole=True))  # Python sees survivors only
     return parsed.withColumn("reason", F.coalesce("_cheap", sense_check(F.col("_answer"), F.col("label"), strict))).drop("_cheap", "_answer")
 
 

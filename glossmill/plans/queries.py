@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import text as T
 from ..operators import corpus, evaluate, lexicon, pairs, quality, rewards, rollouts, traces, votes
+from ..session import cut
 from .prompts import NO_MENTION, STUDENT_TAIL, SYSTEM
 
 SLOTS = """
@@ -21,7 +22,7 @@ SELECT doc_id, CAST(floor(doc_id / 3.0) AS BIGINT) AS record, CAST(doc_id % 3 AS
   CAST(floor(doc_id / 3.0) AS BIGINT) % 2 = 0 AS label,
   CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN CAST(floor(doc_id / 3.0) AS BIGINT) % 2 <> 0 ELSE CAST(floor(doc_id / 3.0) AS BIGINT) % 2 = 0 END AS vote,
   CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'no object'
-    ELSE concat('{"sense1": "a thing", "sense2": "', CASE WHEN doc_id % 4 = 0 THEN 'A  Thing..' ELSE 'something else' END, '", "same_sense": ', CASE WHEN CAST(floor(doc_id / 3.0) AS BIGINT) % 2 = 0 THEN 'true' ELSE 'false' END, '}') END AS answer,
+    ELSE concat(CASE WHEN doc_id % 7 = 2 THEN 'so: ' ELSE '' END, '{"sense1": "a thing", "sense2": "', CASE WHEN doc_id % 4 = 0 THEN 'A  Thing..' ELSE 'something else' END, '", "same_sense": ', CASE WHEN CAST(floor(doc_id / 3.0) AS BIGINT) % 2 = 0 THEN 'true' ELSE 'false' END, '}') END AS answer,
   concat('lemma', CAST(doc_id % 20 AS VARCHAR(9))) AS lemma, source AS pos
 FROM documents"""
 
@@ -45,7 +46,7 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
 
 GLOSSES = """
 SELECT p_partkey, p_brand AS lemma, 'noun' AS pos, p_name AS definition, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_type END AS gloss,
-  CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE concat(p_type, ' money institution') END AS filler_gloss, p_size % 2 = 0 AS label
+  CASE WHEN p_partkey % 12 = 5 THEN '' WHEN p_partkey % 4 = 0 THEN p_type ELSE concat(p_type, ' money institution') END AS filler_gloss, p_size % 2 = 0 AS label
 FROM part"""
 
 LEXICON = """
@@ -53,7 +54,7 @@ SELECT lemma, pos, CAST(row_number() OVER (PARTITION BY lemma ORDER BY definitio
 FROM (SELECT DISTINCT p_brand AS lemma, 'noun' AS pos, p_name AS definition FROM part)"""
 
 CORPUS = """
-SELECT doc_id, source AS lemma, 'noun' AS pos, concat('a', CAST(doc_id % 400 AS VARCHAR(9))) AS sentence1, 'b' AS sentence2, doc_id % 2 = 0 AS label, CAST(doc_id AS VARCHAR(20)) AS trace
+SELECT doc_id, source AS lemma, CASE WHEN doc_id % 5 = 1 THEN NULL ELSE 'noun' END AS pos, concat('a', CAST(doc_id % 400 AS VARCHAR(9))) AS sentence1, 'b' AS sentence2, doc_id % 2 = 0 AS label, CAST(doc_id AS VARCHAR(20)) AS trace
 FROM documents WHERE """
 
 _W = "[\\p{L}\\p{N}_]"
@@ -130,7 +131,7 @@ def vote_check(spark, d):
 
 
 def _sense(spark, d, strict):
-    return view(spark, d, SLOTS).withColumn("a", A.parsed(F.col("answer"))).select("doc_id", quality.sense_check(F.col("a"), F.col("label"), strict).alias("reason"))
+    return view(spark, d, SLOTS).withColumn("a", A.parsed(F.col("answer"), whole=True)).select("doc_id", quality.sense_check(F.col("a"), F.col("label"), strict).alias("reason"))
 
 
 @query(with_slots(f"SELECT doc_id, {SENSE} AS reason FROM s"))
@@ -171,7 +172,7 @@ VERDICT = """v AS (SELECT *, reason IS NULL AND doc_id % 11 <> 5 AND doc_id % 7
 
 
 def _verdicts(spark, d):
-    checked = _checked(spark, d)
+    checked = cut(_checked(spark, d).select("doc_id", "record", "slot", "reason"))  # the chain runs once, not on both sides of the join
     return checked, quality.final_verdicts(checked, _judged(checked), ["record", "slot"])
 
 
@@ -351,6 +352,7 @@ def sft_manifest(spark, d):
 
 
 KEYS = "lemma, pos, sentence1, sentence2"
+SAME_KEYS = " AND ".join(f"{{a}}.{k} IS NOT DISTINCT FROM {{b}}.{k}" for k in KEYS.split(", "))
 
 
 def _corpora(spark, d):
@@ -361,8 +363,8 @@ def _corpora(spark, d):
 
 DEDUPED = """{n} AS (SELECT lemma, pos, sentence1, sentence2, min(doc_id) AS doc_id, arg_max(label, doc_id) AS label, arg_max(trace, doc_id) AS trace FROM ({corpus}{where}) GROUP BY ALL)"""
 BOTH = "WITH " + DEDUPED.format(n="a", corpus=CORPUS, where="doc_id % 3 <> 2").replace("GROUP BY ALL", f"GROUP BY {KEYS}") + ", " + DEDUPED.format(n="b", corpus=CORPUS, where="doc_id % 3 <> 0").replace("GROUP BY ALL", f"GROUP BY {KEYS}")
-MERGED = f"""{BOTH}, m AS (SELECT {KEYS}, coalesce(a.label, b.label) AS label, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'base_only' ELSE '{{both}}' END AS status,
- CASE WHEN a.doc_id IS NULL THEN b.trace WHEN b.doc_id IS NULL OR '{{both}}' = 'kept_base' THEN a.trace ELSE concat(a.trace, ',', b.trace) END AS traces FROM a FULL JOIN b USING ({KEYS}))"""
+MERGED = f"""{BOTH}, m AS (SELECT {", ".join(f"coalesce(a.{k}, b.{k}) AS {k}" for k in KEYS.split(", "))}, coalesce(a.label, b.label) AS label, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'base_only' ELSE '{{both}}' END AS status,
+ CASE WHEN a.doc_id IS NULL THEN b.trace WHEN b.doc_id IS NULL OR '{{both}}' = 'kept_base' THEN a.trace ELSE concat(a.trace, ',', b.trace) END AS traces FROM a FULL JOIN b ON {SAME_KEYS.format(a="a", b="b")})"""
 
 
 def _merged(spark, d, prefer):
@@ -384,13 +386,13 @@ def merge_stats(spark, d):
     return corpus.merge_stats(_merged(spark, d, "both")).withColumn("label_share", F.round("label_share", 9))
 
 
-@query(f"{BOTH} SELECT {KEYS} FROM a ANTI JOIN b USING ({KEYS})")
+@query(f"{BOTH} SELECT {KEYS} FROM a ANTI JOIN (SELECT * FROM b WHERE doc_id % 4 <> 1) AS m ON {SAME_KEYS.format(a='a', b='m')}")
 def exclude_pairs(spark, d):
     a, b = _corpora(spark, d)
-    return corpus.exclude(a, b).select("lemma", "pos", "sentence1", "sentence2")
+    return corpus.exclude(a, b.filter("doc_id % 4 <> 1")).select("lemma", "pos", "sentence1", "sentence2")
 
 
-@query(f"{BOTH}, g AS (SELECT * FROM b WHERE doc_id % 5 <> 0) SELECT {KEYS}, 'done' AS state FROM g SEMI JOIN a USING ({KEYS}) UNION ALL SELECT {KEYS}, 'todo' FROM a ANTI JOIN g USING ({KEYS})")
+@query(f"{BOTH}, g AS (SELECT * FROM b WHERE doc_id % 5 <> 0) SELECT {KEYS}, 'done' AS state FROM g SEMI JOIN a ON {SAME_KEYS.format(a='g', b='a')} UNION ALL SELECT {KEYS}, 'todo' FROM a ANTI JOIN g ON {SAME_KEYS.format(a='a', b='g')}")
 def resume_left(spark, d):
     a, b = _corpora(spark, d)
     finished = b.withColumn("error", F.when(F.col("doc_id") % 5 == 0, "failed"))
@@ -472,13 +474,25 @@ def pair_coverage(spark, d):
     return got.withColumns({c: F.round(c, 9) for c in ("same_share", "scoreable_share", "mean_senses")})
 
 
-@query("""WITH e AS (SELECT DISTINCT lang AS l, source AS s FROM documents), n AS (SELECT DISTINCT concat(s, '.', l) AS a, s FROM e)
-SELECT x.a AS s1, y.a AS s2, CASE WHEN x.s = y.s THEN 'siblings' ELSE 'near' END AS level FROM n x JOIN n y ON x.a < y.a""")
+#: A taxonomy over the parts: keys in base three hang under their quotient, in two trees, with second hypernyms here and there.
+TAXONOMY = """
+SELECT DISTINCT n AS synset_id, h AS hypernym_id FROM (
+  SELECT p_partkey AS n, CAST(floor(p_partkey / 3.0) AS BIGINT) AS h FROM part WHERE p_partkey >= 6
+  UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 9.0) AS BIGINT) FROM part WHERE p_partkey >= 54 AND p_partkey % 4 = 0
+  UNION ALL SELECT p_partkey, p_partkey % 2 FROM part WHERE p_partkey BETWEEN 2 AND 5) AS t"""
+CLOSE_PAIRS = "SELECT p_partkey AS s1, p_partkey + CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 30 ELSE 7 END AS s2 FROM part WHERE p_partkey >= 2 AND p_partkey % 50 < 40"
+TAXONOMY_POS = "SELECT p_partkey AS synset_id, CASE WHEN p_partkey % 11 = 3 THEN 'verb' ELSE 'noun' END AS pos FROM part WHERE p_partkey >= 2"
+
+
+@query(f"""WITH RECURSIVE e AS ({TAXONOMY}), p AS ({CLOSE_PAIRS}), q AS ({TAXONOMY_POS}),
+up(s, a, k) AS (SELECT synset_id, synset_id, 0 FROM e UNION SELECT hypernym_id, hypernym_id, 0 FROM e UNION SELECT up.s, e.hypernym_id, up.k + 1 FROM up JOIN e ON up.a = e.synset_id),
+near AS (SELECT s, a, min(k) AS k FROM up GROUP BY s, a), deep AS (SELECT s, max(k) AS h FROM up GROUP BY s),
+c AS (SELECT p.s1, p.s2, min(x.k + y.k) AS distance, arg_min([x.k, y.k], [-d.h, x.a]) AS low FROM p JOIN near x ON x.s = p.s1 JOIN near y ON y.s = p.s2 AND y.a = x.a JOIN deep d ON d.s = x.a GROUP BY p.s1, p.s2)
+SELECT p.s1, p.s2, CASE WHEN a.pos IS NULL OR b.pos IS NULL THEN NULL WHEN a.pos <> b.pos THEN 'cross-pos' WHEN c.low IS NULL THEN 'unrelated' WHEN c.low = [1, 1] THEN 'siblings' WHEN c.distance <= 4 THEN 'near' ELSE 'far' END AS level
+FROM p LEFT JOIN q a ON a.synset_id = p.s1 LEFT JOIN q b ON b.synset_id = p.s2 LEFT JOIN c ON c.s1 = p.s1 AND c.s2 = p.s2""")
 def confusability(spark, d):
-    nodes = view(spark, d, "SELECT DISTINCT source AS s, concat(source, '.', lang) AS a FROM documents")
-    edges = nodes.select(F.col("a").alias("synset_id"), F.col("s").alias("hypernym_id")).union(nodes.select("s", F.lit("root")).distinct())
-    two = nodes.select(F.col("a").alias("s1")).join(nodes.select(F.col("a").alias("s2")), F.col("s1") < F.col("s2"))  # distinct senses only
-    return lexicon.confusability(two, lexicon.ancestors(edges), nodes.select(F.col("a").alias("synset_id"), F.lit("noun").alias("pos")))
+    edges = cut(view(spark, d, TAXONOMY))
+    return lexicon.confusability(view(spark, d, CLOSE_PAIRS), lexicon.ancestors(edges), view(spark, d, TAXONOMY_POS), lexicon.depths(edges))
 
 
 @query("SELECT doc_id, md5(concat(substr(text, 1, 3), '<t> ', substr(text, 4, 6), ' </t>', substr(text, 10))) AS marked FROM documents")
@@ -552,7 +566,7 @@ def sense_accuracy(spark, d):
     return evaluate.sense_accuracy(view(spark, d, GLOSSES), ["p_partkey"], "p_partkey").withColumn("accuracy", F.round("accuracy", 9))
 
 
-SCORED = f"""g AS ({GLOSSES}), z AS (SELECT *, CASE WHEN gloss <> '' THEN {_duck_f1(_duck_set('definition'), _duck_set('gloss'))} END AS f1, CASE WHEN gloss <> '' AND filler_gloss <> '' THEN {_duck_f1(_duck_set('gloss'), _duck_set('filler_gloss'))} END AS ff,
+SCORED = f"""g AS ({GLOSSES}), z AS (SELECT *, CASE WHEN gloss <> '' THEN {_duck_f1(_duck_set('definition'), _duck_set('gloss'))} END AS f1, CASE WHEN gloss <> '' THEN {_duck_f1(_duck_set('gloss'), _duck_set('filler_gloss'))} END AS ff,
  {_duck_f1(_duck_set('definition'), _duck_set('filler_gloss'))} < 0.4 AS may FROM g)"""
 
 
@@ -561,25 +575,66 @@ def filler_echo(spark, d):
     return evaluate.echo_rate(evaluate.score_rows(view(spark, d, GLOSSES))).withColumn("echo_rate", F.round("echo_rate", 9))
 
 
-def _n_words(c: str) -> str:
-    return f"len(list_filter(regexp_split_to_array({c}, '{_SP}+'), lambda x: x <> ''))"
+def _ngrams(items: str, n: int) -> str:
+    return f"list_transform(range(1, len({items}) - {n - 2}), lambda i: array_to_string({items}[i:i + {n - 1}], ' '))"
 
 
-@query(f"""WITH {SCORED} SELECT count(*) AS n, count(*) FILTER (WHERE gloss <> '') AS n_scored, count(*) FILTER (WHERE gloss = '') AS empty, round(avg(f1), 9) AS f1, round(avg(ff), 9) AS filler_f1,
- round(avg({_n_words('gloss')}) FILTER (WHERE gloss <> ''), 9) AS gloss_words, round(avg({_n_words('definition')}), 9) AS definition_words FROM z""")
-def gloss_summary(spark, d):
-    got = evaluate.summary(evaluate.score_rows(view(spark, d, GLOSSES)))
-    return got.withColumns({c: F.round(c, 9) for c in ("f1", "filler_f1", "gloss_words", "definition_words")})
+def _matches(a: str, b: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda g: least(len(list_filter({a}, lambda x: x = g)), len(list_filter({b}, lambda x: x = g))))), 0)"
+
+
+def _sql_bleu(m: list[str], t: list[str], c: str, r: str) -> str:
+    halved = [" + ".join(f"(CASE WHEN {t[j]} > 0 AND {m[j]} = 0 THEN 1 ELSE 0 END)" for j in range(k + 1)) for k in range(4)]
+    logs = " + ".join(f"(CASE WHEN {t[k]} <= 0 THEN 0 WHEN {m[k]} > 0 THEN ln({m[k]}::DOUBLE / {t[k]}) ELSE -ln(power(2, {halved[k]}) * {t[k]}) END)" for k in range(4))
+    orders = " + ".join(f"(CASE WHEN {x} > 0 THEN 1 ELSE 0 END)" for x in t)
+    return f"(CASE WHEN {' + '.join(m)} = 0 THEN 0.0 ELSE 100 * exp(({logs}) / ({orders}) + least(0, 1 - {r}::DOUBLE / {c})) END)"
+
+
+#: Words of this adapter's glosses are lower-case letters between single spaces, so that splitting at spaces tokenises them.
+GRAMS = f"""x AS (SELECT *, string_split({{h}}, ' ') AS h, string_split(definition, ' ') AS r FROM g WHERE {{h}} <> ''),
+y AS (SELECT *, {", ".join(f"{_ngrams('h', n)} AS h{n}, {_ngrams('r', n)} AS r{n}" for n in range(1, 5))} FROM x),
+b AS (SELECT *, {", ".join(f"{_matches(f'h{n}', f'r{n}')}::BIGINT AS m{n}, len(h{n})::BIGINT AS t{n}" for n in range(1, 5))}, len(h)::BIGINT AS c, len(r)::BIGINT AS rr FROM y)"""
+_M, _T = [f"m{n}" for n in range(1, 5)], [f"t{n}" for n in range(1, 5)]
+CHRF = f"""x AS (SELECT *, string_split(replace({{h}}, ' ', ''), '') AS h, string_split(replace(definition, ' ', ''), '') AS r FROM g),
+y AS (SELECT *, {", ".join(f"{_ngrams('h', n)} AS h{n}, {_ngrams('r', n)} AS r{n}" for n in range(1, 7))} FROM x),
+o AS (SELECT *, {", ".join(f"CASE WHEN len(h{n}) > 0 AND len(r{n}) > 0 THEN {_matches(f'h{n}', f'r{n}')}::DOUBLE ELSE 0 END AS m{n}" for n in range(1, 7))}, {" + ".join(f"(CASE WHEN len(h{n}) > 0 AND len(r{n}) > 0 THEN 1 ELSE 0 END)" for n in range(1, 7))} AS k FROM y),
+f AS (SELECT *, ({" + ".join(f"m{n} / greatest(len(h{n}), 1)" for n in range(1, 7))}) / greatest(k, 1) AS p, ({" + ".join(f"m{n} / greatest(len(r{n}), 1)" for n in range(1, 7))}) / greatest(k, 1) AS q FROM o),
+z AS (SELECT *, CASE WHEN p > 0 AND {{h}} <> '' THEN 500 * p * q / (4 * p + q) ELSE 0 END AS chrf FROM f)"""
+CASED = GLOSSES.replace("p_type ELSE", "lower(p_type) ELSE").replace("concat(p_type, ' money", "concat(lower(p_type), ' money").replace("ELSE p_type END AS gloss", "ELSE lower(p_type) END AS gloss")
+
 
+@query(f"WITH g AS ({CASED}), {GRAMS.format(h='filler_gloss')} SELECT p_partkey, round({_sql_bleu(_M, _T, 'c', 'rr')}, 9) AS bleu FROM b")
+def gloss_bleu_rows(spark, d):
+    rows = view(spark, d, CASED).filter("filler_gloss <> ''")
+    return rows.select("p_partkey", F.round(evaluate.sentence_bleu(F.col("filler_gloss"), F.col("definition")), 9).alias("bleu"))
 
-@query()
+
+TOTALS = ", ".join(f"sum({x})::BIGINT AS {x}" for x in [*_M, *_T, "c", "rr"])
+
+
+@query(f"WITH g AS ({CASED}), {GRAMS.format(h='filler_gloss')}, s AS (SELECT {TOTALS} FROM b) SELECT round({_sql_bleu(_M, _T, 'c', 'rr')}, 9) AS bleu FROM s")
 def gloss_bleu(spark, d):
-    return evaluate.corpus_bleu(view(spark, d, GLOSSES).filter("gloss <> ''"), "filler_gloss", "definition")
+    return evaluate.corpus_bleu(view(spark, d, CASED).filter("filler_gloss <> ''"), "filler_gloss", "definition").select(F.round("bleu", 9).alias("bleu"))
 
 
-@query()
+@query(f"WITH g AS ({CASED}), {CHRF.format(h='filler_gloss')} SELECT p_partkey, round(chrf, 9) AS chrf FROM z")
 def gloss_chrf(spark, d):
-    return view(spark, d, GLOSSES).select("p_partkey", F.round(evaluate.chrf(F.col("filler_gloss"), F.col("definition")), 9).alias("chrf"))
+    return view(spark, d, CASED).select("p_partkey", F.round(evaluate.chrf(F.col("filler_gloss"), F.col("definition")), 9).alias("chrf"))
+
+
+@query(f"""WITH g AS ({CASED}), {GRAMS.format(h='gloss')}, rows_ AS (SELECT p_partkey, {_sql_bleu(_M, _T, 'c', 'rr')} AS bleu FROM b), s AS (SELECT {TOTALS} FROM b),
+ch AS (WITH {CHRF.format(h='gloss')} SELECT p_partkey, chrf FROM z WHERE gloss <> ''),
+z0 AS (SELECT *, CASE WHEN gloss <> '' THEN {_duck_f1(_duck_set('definition'), _duck_set('gloss'))} END AS f1, CASE WHEN gloss <> '' THEN {_duck_f1(_duck_set('gloss'), _duck_set('filler_gloss'))} END AS ff,
+ {_duck_f1(_duck_set('definition'), _duck_set('filler_gloss'))} < 0.4 AS may, len({_duck_set('gloss')}) AS lg, len({_duck_set('definition')}) AS ld FROM g),
+o AS (SELECT lemma, pos, definition AS d, min(p_partkey) AS seen FROM g GROUP BY 1, 2, 3), o2 AS (SELECT * FROM o QUALIFY count(*) OVER (PARTITION BY lemma, pos) >= 2),
+j AS (SELECT g.p_partkey, g.definition, o2.d, o2.seen, {_duck_f1(_duck_set('g.gloss'), _duck_set('o2.d'))} AS f FROM g JOIN o2 ON g.lemma = o2.lemma AND g.pos = o2.pos WHERE g.gloss <> ''),
+w AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY f DESC, seen) = 1)
+SELECT count(*) AS n, count(f1) AS n_scored, count(*) - count(f1) AS empty, round(avg(f1), 9) AS f1, (SELECT round(avg(bleu), 9) FROM rows_) AS bleu, (SELECT round(avg(chrf), 9) FROM ch) AS chrf,
+ round(avg(lg) FILTER (WHERE gloss <> ''), 9) AS len_gloss, round(avg(ld) FILTER (WHERE gloss <> ''), 9) AS len_gold, round(avg(ff), 9) AS filler_f1, round(avg((ff >= 0.8)::INT) FILTER (WHERE may AND gloss <> ''), 9) AS filler_echo_rate,
+ count(*) FILTER (WHERE may AND gloss <> '') AS n_echo_scored, (SELECT round({_sql_bleu(_M, _T, 'c', 'rr')}, 9) FROM s) AS bleu_corpus, (SELECT round(avg((d = definition)::INT), 9) FROM w) AS sense_acc, (SELECT count(*) FROM w) AS n_sense_scored FROM z0""")
+def gloss_summary(spark, d):
+    got = evaluate.full_summary(view(spark, d, CASED), ["p_partkey"], "p_partkey").drop("cos")
+    return got.withColumns({c: F.round(c, 9) for c, kind in got.dtypes if kind == "double"})
 
 
 @query("SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -621,7 +676,11 @@ def reward_json(spark, d):
     return _reward("json", spark, d)
 
 
-@query()
+#: Of this adapter's completions only the first kind has a boolean true verdict; its glosses have no token in common.
+R_CONSISTENT = "CASE WHEN doc_id % 16 = 0 THEN -0.3 ELSE 0.0 END"
+
+
+@query(f"WITH c AS ({COMPLETIONS}) SELECT doc_id, round(({R_CONSISTENT})::DOUBLE, 9) AS reward FROM c")
 def reward_consistency(spark, d):
     return _reward("consistency", spark, d)
 
@@ -654,7 +713,10 @@ def gloss_margin(spark, d):
     return rows.select("doc_id", F.round(F.when(F.col("a.ok") & (F.col("gloss1") != ""), margin), 9).alias("margin"))
 
 
-@query()
+R_GLOSS = "CASE WHEN m1 IS NULL OR m2 IS NULL THEN 0 ELSE 0.15 * (greatest(-1, least(1, m1 / 0.2)) + greatest(-1, least(1, m2 / 0.2))) / 2 END"
+
+
+@query(GLOSSED + f" SELECT doc_id, round((({R_ACC}) + {R_FORMAT} + ({R_JSON}) + ({R_CONSISTENT}) + ({R_THINK}) + ({R_GLOSS}))::DOUBLE, 9) AS reward FROM m JOIN c USING (doc_id)")
 def reward_total(spark, d):
     return _scored(spark, d).select("doc_id", F.round("reward_total", 9).alias("reward"))
 

@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that later stages outlive lost executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local one is set.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local one is made if Spark runs on one machine
+    (tests, a laptop); on a cluster this raises.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glossmill-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="glossmill-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

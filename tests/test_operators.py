@@ -198,10 +198,44 @@ def test_confusability(spark):
     edges = spark.createDataFrame([("a", "p"), ("b", "p"), ("p", "q"), ("c", "q"), ("e", "d5"), ("d5", "d4"), ("d4", "d3"), ("d3", "q"), ("z", "y")], "synset_id string, hypernym_id string")
     pos = spark.createDataFrame([(x, "v" if x == "w" else "n") for x in "abcezw"], "synset_id string, pos string")
     asked = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "e"), ("a", "z"), ("a", "w"), ("a", "unknown")], "s1 string, s2 string")
-    got = {r["s2"]: r["level"] for r in lexicon.confusability(asked, lexicon.ancestors(edges), pos).collect()}
+    got = {r["s2"]: r["level"] for r in lexicon.confusability(asked, lexicon.ancestors(edges), pos, lexicon.depths(edges)).collect()}
     assert got == {"b": "siblings", "c": "near", "e": "far", "z": "unrelated", "w": "cross-pos", "unknown": None}
 
 
+def test_confusability_takes_the_deepest_common_hypernym(spark):
+    # x and y share the hypernym top, and low, which lies deeper but further from them.
+    edges = spark.createDataFrame([("x", "top"), ("y", "top"), ("x", "m"), ("y", "n"), ("m", "low"), ("n", "low"), ("low", "mid"), ("mid", "top")], "synset_id string, hypernym_id string")
+    pos = spark.createDataFrame([("x", "n"), ("y", "n")], "synset_id string, pos string")
+    asked = spark.createDataFrame([("x", "y")], "s1 string, s2 string")
+    assert lexicon.confusability(asked, lexicon.ancestors(edges), pos, lexicon.depths(edges)).first()["level"] == "near"
+    heights = {r["synset_id"]: r["height"] for r in lexicon.depths(edges).collect()}
+    assert heights == {"top": 0, "mid": 1, "low": 2, "m": 3, "n": 3, "x": 4, "y": 4}
+
+
+def test_null_keys_are_equal(spark):
+    schema = "lemma string, pos string, sentence1 string, sentence2 string, label boolean, doc_id int, slots array<string>, error string"
+    base = spark.createDataFrame([("a", None, "s", "t", True, 1, ["x"], None), ("b", "n", "s", "t", True, 2, ["x"], None)], schema)
+    add = spark.createDataFrame([("a", None, "s", "t", False, 3, ["y"], None), ("c", None, None, "t", True, 4, ["y"], None)], schema)
+    got = {r["lemma"]: (r["pos"], r["status"], r["slots"]) for r in corpus.merge(base, add, "both").collect()}
+    assert got == {"a": (None, "merged", ["x", "y"]), "b": ("n", "base_only", ["x"]), "c": (None, "new", ["y"])}
+    assert [r["lemma"] for r in corpus.exclude(base, add).collect()] == ["b"]
+    done, todo = corpus.resume(base, add, "doc_id")
+    assert [r["lemma"] for r in done.collect()] == ["a"] and [r["lemma"] for r in todo.collect()] == ["b"]
+
+
+def test_fences_and_whole_answers(spark):
+    cut_out = lambda x: one(spark, A.extract_object(F.lit(x)))
+    assert cut_out(' ```json\n{"a": 1}\n``` ') == '{"a": 1}' and cut_out('```{"a": 1}```') == '{"a": 1}' and cut_out('so {"a": {"b": 1}} it is') == '{"a": {"b": 1}}'
+    assert cut_out("```JSON\nnone```") == "JSON\nnone" and cut_out("} no {") == "} no {" and cut_out("") == ""
+    assert A.parse_answer('so {"sense1": "a"}') == {"sense1": "a"} and A.parse_answer('so {"sense1": "a"}', whole=True) is None
+
+
+def test_strip_space(spark):
+    for x in (" \t\x0b\x1c\u3000 a b\u2003\x85 ", "\u200b a", "", " \xa0 "):
+        assert one(spark, T.strip_space(F.lit(x))) == x.strip()
+    assert len(T.SPACES) == len(set(T.SPACES)) and all(c.isspace() for c in T.SPACES)
+
+
 def annotations(spark):
     rows = []
     for lemma in ("bank", "Plant", "run"):
@@ -301,6 +335,14 @@ def test_gloss_evaluation(spark):
     rows = spark.createDataFrame([(1, "bank", "n", FIN, FIN, RIVER), (2, "bank", "n", RIVER, "", RIVER)], schema)
     got = evaluate.summary(evaluate.score_rows(rows)).first()
     assert (got["n"], got["n_scored"], got["empty"], got["f1"]) == (2, 1, 1, 1.0)
+    assert math.isnan(got["cos"]) and (got["bleu"], got["chrf"]) == (pytest.approx(100.0), pytest.approx(100.0)) and got["len_gloss"] == got["len_gold"]
+    empty = spark.createDataFrame([(1, "x", "n", FIN, FIN, ""), (2, "y", "n", FIN, RIVER, RIVER)], schema)
+    got = evaluate.full_summary(empty, ["k"], "k").first()  # an empty filler gloss still counts below the line
+    assert (got["n_echo_scored"], got["filler_echo_rate"], got["n_sense_scored"]) == (2, 0.5, 0) and math.isnan(got["sense_acc"])
+    short = one(spark, evaluate.sentence_bleu(F.lit("a cat"), F.lit("a cat sat")))  # two orders, brevity
+    assert short == pytest.approx(100 * math.exp(1 - 3 / 2))
+    assert one(spark, evaluate.sentence_bleu(F.lit("x y"), F.lit("a b"))) == 0.0
+    assert one(spark, F.array_join(evaluate.bleu_tokens(F.lit("It's 3.5-fold, &quot;Yes&quot;.")), "|")) == "It's|3.5|-|fold|,|\"|Yes|\"|."
     echo = spark.createDataFrame([(1, "x", "n", FIN, RIVER, RIVER)], schema)
     assert evaluate.echo_rate(evaluate.score_rows(echo)).first()[0] == 1.0
     assert evaluate.echo_rate(evaluate.score_rows(rows.filter("k = 1"))).first()[0] == 0.0
