@@ -13,7 +13,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-ENTRIES = 200_000
+ENTRIES = 400_000
 LATIN = "\u024f"
 
 

@@ -49,14 +49,19 @@ def repeat_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sampled(rows: DataFrame, label: str, most: int, key: Column) -> DataFrame:
-    """About `most` rows in equal shares of the labels (fewer where a label has fewer), by a hash of the key: a fixed sample."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row a label
-    if not counts:
-        return rows.limit(0)
-    share, left, fractions = most / len(counts), float(most), {}
-    for i, (value, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
-        share = left / (len(counts) - i)
-        fractions[value] = min(1.0, share / n)
-        left -= min(share, n)
-    parts = [x for value, fraction in fractions.items() for x in (F.lit(value), F.lit(fraction))]
-    return rows.filter(F.pmod(F.xxhash64(key), F.lit(1_000_003)) / 1_000_003 < F.create_map(*parts)[F.col(label)])
+    """About `most` rows in equal shares of the labels (fewer where a label has fewer), by a hash of the key: a fixed sample.
+
+    Labels stay in a table, whatever their number; the driver sees how many labels have how many rows. Labels that outnumber
+    `most` share the rows by the same hash, so that some have none.
+    """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("rows_of_label"))
+    sizes = sorted(tuple(r) for r in counts.groupBy("rows_of_label").agg(F.count(F.lit(1))).collect())
+    labels = sum(k for _, k in sizes)
+    rest, left = labels, float(most)
+    for n, k in sizes:
+        if rest and n <= left / rest:
+            rest, left = rest - k, left - n * k
+    share = left / rest if rest else float("inf")
+    counts = F.broadcast(counts) if labels <= 100_000 else counts
+    chosen = F.pmod(F.xxhash64(key), F.lit(1_000_003)) / 1_000_003 < F.least(F.lit(1.0), F.lit(share) / F.col("rows_of_label"))
+    return rows.join(counts, label).filter(chosen).select(*rows.columns)

@@ -375,6 +375,85 @@ def test_language_id(spark, edge, none):
     assert {r["lang_pred"] for r in Languages(none, F.lit(True)).predict(edge).collect()} == {"und"}
 
 
+def test_sampled_shares(spark):
+    from glossmill.llm.hashed import sampled
+
+    sizes = {"a": 9000, "b": 3000, "c": 40}
+    rows = spark.createDataFrame([(f"{k}{i}", k) for k, n in sizes.items() for i in range(n)], "id string, label string")
+    got = {r["label"]: r["count"] for r in sampled(rows, "label", 1040, F.col("id")).groupBy("label").count().collect()}
+    assert got["c"] == 40 and all(abs(got[k] - 500) < 100 for k in "ab")
+    assert sampled(rows, "label", 20_000, F.col("id")).count() == 12_040
+    many = spark.range(5000).select("id", F.col("id").cast("string").alias("label"))
+    assert 400 < sampled(many, "label", 500, F.col("id")).count() < 600
+    assert sampled(rows.limit(0), "label", 10, F.col("id")).count() == 0
+
+
+def test_quality_knn_brute_force(spark):
+    """Scores of the query's operator against cosines and votes made one document at a time."""
+    from glossmill.llm import quality_knn as K
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = K.Voters(docs, labels, F.lit(True), near=9)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in model.score(docs).collect()}
+    marked = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1) and r["doc_id"] in texts}
+    assert sorted(model.labels) == sorted(marked.values())
+
+    def grams(text):
+        data = text.encode()
+        low = bytes(x + 32 if 65 <= x <= 90 else x for x in data)
+        x = np.zeros(K.WIDTH)
+        for size in (2, 3):
+            for i in range(len(data) - size + 1):
+                x[((int.from_bytes(data[i : i + size], "big") * 2654435761 % (1 << 32)) >> 8) % K.WIDTH] += 1
+        w = re.findall(rb"[^\x20\x09-\x0D]+", data)
+        n, same, distinct = len(w), sum(a == b for a, b in zip(w, w[1:], strict=False)), len(set(w))
+        extra = [n > 0, *[same / max(n, 1) > t for t in (0.05, 0.15, 0.3, 0.6)], *[distinct / max(n, 1) < t and n > 30 for t in (0.15, 0.25, 0.35, 0.5)], *[n < t for t in (5, 20, 40)]]
+        return np.concatenate([np.log1p(x), np.array(extra, float)]), low
+
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    for i in sorted(texts)[::5]:
+        x = unit(unit(grams(texts[i])[0] * model.idf) @ model.axes)
+        cosines = [float(x @ v) for v in model.vectors]
+        top = sorted(range(len(cosines)), key=lambda k: -cosines[k])[:9]
+        weights = [max(cosines[k], 1e-6) ** 8 for k in top]
+        assert got[i] == pytest.approx(sum(w * model.labels[k] for w, k in zip(weights, top, strict=True)) / sum(weights), abs=2e-3)
+
+
+def test_language_id_brute_force(spark):
+    """Decoded languages and scores against losses summed bit by bit."""
+    from glossmill.llm import language_id as L
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.Languages(docs, F.lit(True))
+    got = {r["doc_id"]: r for r in model.predict(docs).collect()}
+    for r in docs.collect()[::4]:
+        text = r["text"] or ""
+        if not any(c.isalpha() for c in text):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        data = bytearray(text.encode())
+        for i, x in enumerate(data):  # A-Z and capitals of Latin-1
+            if 65 <= x <= 90 or i and data[i - 1] == 0xC3 and 0x80 <= x <= 0x9E and x != 0x97:
+                data[i] += 32
+        x = np.zeros(L.WIDTH)
+        for size in (1, 2, 3):
+            for i in range(len(data) - size + 1):
+                x[((int.from_bytes(data[i : i + size], "big") * 2654435761 % (1 << 32)) >> 8) % L.WIDTH] += 1
+        x = np.sqrt(x) / np.linalg.norm(np.sqrt(x))
+        losses = []
+        for word in model.code:
+            loss = 0.0
+            for bit, sign in enumerate(word):
+                margin = float(x @ model.weights[:, bit]) + float(model.bias[bit])
+                loss += np.log1p(np.exp(-4 * margin * sign)) * model.bit_weight[bit]
+            losses.append(loss)
+        share = np.exp(-np.array(losses)) / np.exp(-np.array(losses)).sum()
+        best = int(share.argmax())
+        row = got[r["doc_id"]]
+        assert row["lang_pred"] == model.languages[best] and row["score"] == pytest.approx(share[best], abs=1e-3) and row["ambiguous"] == (row["score"] < model.sure)
+
+
 def test_quality_knn(spark, edge, none):
     from glossmill.llm.quality_knn import Voters
 
