@@ -13,6 +13,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import KEPT
+
 ENTRIES = 400_000
 LATIN = "\u024f"
 
@@ -138,14 +140,11 @@ class BytePairTable:
         return result
 
 
-_TABLES: dict[tuple, object] = {}
-
-
 def table(kind, *args):
     """This worker's table of a kind for these files."""
-    if (kind, args) not in _TABLES:
-        _TABLES[kind, args] = kind(*args)
-    return _TABLES[kind, args]
+    if (kind, args) not in KEPT:
+        KEPT[kind, args] = kind(*args)
+    return KEPT[kind, args]
 
 
 def groups(texts: list[str | None], most: int = 1_000_000) -> Iterable[tuple[int, list[str]]]:

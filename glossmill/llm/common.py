@@ -57,10 +57,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def tidy(run: Callable) -> Callable:
-    """A mapInArrow function that hands its task's memory back to the system when the task ends: workers outlive tasks."""
+#: Tables that a worker keeps from task to task, and every operator that keeps none may drop.
+KEPT: dict[tuple, object] = {}
+
+
+def tidy(run: Callable, keeps: bool = False) -> Callable:
+    """A mapInArrow function that hands its task's memory back to the system when the task ends: workers outlive tasks.
+
+    keeps: the function uses KEPT; any other begins by emptying it.
+    """
 
     def tidied(batches: Iterable) -> Iterator:
+        if not keeps:
+            KEPT.clear()
         try:
             yield from run(batches)
         finally:
@@ -190,7 +199,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _POWERS[base] = have
     return have[:n]
 

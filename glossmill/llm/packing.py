@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, paths: tuple[
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run, keeps=True), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def _values(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -51,4 +51,4 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             kinds = (pa.list_(pa.int32()), pa.string()) if keep_ids else (pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[id_col, *out])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run, keeps=True), schema)
