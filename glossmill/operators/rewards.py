@@ -88,10 +88,12 @@ def score(completions: DataFrame, weights: dict[str, float] | None = None) -> Da
 
 def repetition(text: Column, size: int = 3, most: float = -0.2) -> Column:
     """Penalty for repeated word n-grams: (1 - distinct / all) * most."""
-    words = T.split_space(text)
-    n = F.size(words) - size + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(n < 1, 0.0).otherwise((1 - F.size(F.array_distinct(grams)).cast("double") / n) * most)
+    def of(words: Column) -> Column:
+        n = F.size(words) - size + 1
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
+        return F.when(n < 1, 0.0).otherwise((1 - F.size(F.array_distinct(grams)).cast("double") / n) * most)
+
+    return F.element_at(F.transform(F.array(T.split_space(text)), of), 1)  # the words are split once
 
 
 def overlong(length: Column, most: int, cache: int = 128, weight: float = 0.2) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +81,15 @@ def teacher_messages(lemma: Column, pos: Column, word1: Column, sentence1: Colum
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
 
 
+def chat_text(turns: Column, template: Callable[[list[dict[str, str]]], str]) -> Column:
+    """Chats as a model's own template writes them; the template is injected, a function of a list of {role, content}."""
+    @F.pandas_udf("string")
+    def write(chats: pd.Series) -> pd.Series:
+        return pd.Series([None if chat is None else template([{"role": t["role"], "content": t["content"]} for t in chat]) for chat in chats], dtype=object)
+
+    return write(turns)
+
+
 def prompt_completion(turns: Column) -> Column:
     """struct(prompt, completion): all turns but the last, and the last."""
     return F.struct(F.slice(turns, 1, F.size(turns) - 1).alias("prompt"), F.slice(turns, -1, 1).alias("completion"))

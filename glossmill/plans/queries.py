@@ -14,7 +14,7 @@ from ..functions import answers as A
 from ..functions import text as T
 from ..operators import corpus, evaluate, lexicon, pairs, quality, rewards, rollouts, traces, votes
 from ..session import cut
-from .prompts import NO_MENTION, STUDENT_TAIL, SYSTEM
+from .prompts import NO_MENTION, STUDENT_TAIL, SYSTEM, TEACHER_TAIL
 
 SLOTS = """
 SELECT doc_id, CAST(floor(doc_id / 3.0) AS BIGINT) AS record, CAST(doc_id % 3 AS INT) AS slot,
@@ -643,6 +643,51 @@ def cosine(spark, d):
     return rows.select("vec_id", F.round(evaluate.cosine(F.col("x"), F.col("y")), 9).alias("cosine"))
 
 
+BODIES = """
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('{"a": ', CAST(doc_id AS VARCHAR(20)), '}') WHEN 1 THEN concat('so {"a": {"b": ', CAST(doc_id AS VARCHAR(20)), '}} it is') WHEN 2 THEN concat(' ```json {"a": 1} ``` ')
+  WHEN 3 THEN '```no object```' WHEN 4 THEN '} none {' ELSE '' END AS body FROM documents"""
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('{"a": ', doc_id, '}') WHEN 1 THEN concat('{"a": {"b": ', doc_id, '}}') WHEN 2 THEN '{"a": 1}' WHEN 3 THEN 'no object' WHEN 4 THEN '} none {' ELSE '' END AS object FROM documents""")
+def extract_object(spark, d):
+    return view(spark, d, BODIES).select("doc_id", A.extract_object(F.col("body")).alias("object"))
+
+
+_WORDS = f"list_filter(regexp_split_to_array(text, '{_SP}+'), lambda x: x <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, {_ngrams('w', 3)} AS g FROM w)
+SELECT doc_id, round(CASE WHEN len(g) = 0 THEN 0 ELSE -0.2 * (1 - len(list_distinct(g)) / len(g)) END, 9)::DOUBLE AS penalty FROM g""")
+def repetition_penalty(spark, d):
+    return view(spark, d, "SELECT doc_id, text FROM documents").select("doc_id", F.round(rewards.repetition(F.col("text")), 9).alias("penalty"))
+
+
+@query("SELECT doc_id, round(0.2 * CASE WHEN n_chars <= 1500 THEN 0 WHEN n_chars > 2000 THEN -1 ELSE (1500 - n_chars) / 500 END, 9)::DOUBLE AS penalty FROM documents")
+def overlong_penalty(spark, d):
+    return view(spark, d, "SELECT doc_id, n_chars FROM documents").select("doc_id", F.round(rewards.overlong(F.col("n_chars"), 2000, 500), 9).alias("penalty"))
+
+
+@query(f"""SELECT doc_id, md5(concat('Lemma: ', source, chr(10), 'POS: ', lang, chr(10), chr(10), 'Sentence 1: "the <t>', source, '</t> is ', lang, '"', chr(10), 'Sentence 2: "<t>', upper(source), '</t>"', chr(10), chr(10), {_q(TEACHER_TAIL)})) AS asked FROM documents""")
+def teacher_prompt(spark, d):
+    rows = view(spark, d, "SELECT doc_id, source, lang, concat('the ', source, ' is ', lang) AS s1, upper(source) AS s2 FROM documents")
+    turns = traces.teacher_messages(F.col("source"), F.col("lang"), F.col("source"), F.col("s1"), F.col("source"), F.col("s2"))
+    return rows.select("doc_id", F.md5(F.get(turns, 1)["content"]).alias("asked"))
+
+
+@query("SELECT doc_id, concat('[user] ', source, ' [assistant] ', lang, ' ') AS chat FROM documents")
+def chat_template(spark, d):
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    rows = view(spark, d, "SELECT doc_id, source, lang FROM documents")
+    template = lambda chat: "".join(f"[{t['role']}] {t['content']} " for t in chat)
+    return rows.select("doc_id", traces.chat_text(F.array(turn("user", "source"), turn("assistant", "lang")), template).alias("chat"))
+
+
+@query("SELECT doc_id, length(lang) * 1.0::DOUBLE AS first FROM documents")
+def embed_once(spark, d):
+    encode = F.array(F.char_length("lang").cast("double"))
+    return evaluate.embed_once(view(spark, d, "SELECT doc_id, lang FROM documents"), "lang", encode).select("doc_id", F.get("embedding", 0).alias("first"))
+
+
 BANK = ["money in an institution", "sloping land beside water", "a row of similar things"]
 
 

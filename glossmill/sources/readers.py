@@ -44,6 +44,9 @@ def read_traces(spark: SparkSession, path: str, strategy: str = "first") -> Data
 
 def read_gold_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Gold-sense pairs; files written before glosses existed get empty ones."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise FileNotFoundError(f"{path}: there are no gold pairs yet; build them from the sense annotations first (operators.pairs.build)")
     empty = {c: F.coalesce(c, F.lit("")) for c in ("synset1", "synset2", "gloss1", "gloss2")}
     return read_array(spark, path, schemas.GOLD_PAIR).withColumns(empty | {"senses": F.coalesce("senses", F.array().cast("array<string>"))})
 

@@ -37,6 +37,14 @@ def write_report(summary: DataFrame, records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(f"{path}/records")
 
 
+def report_text(summary: DataFrame, title: str = "") -> str:
+    """A one-row summary as lines of a console report: fractions in four digits, what is missing as n/a."""
+    row = summary.first().asDict()
+    shown = {k: "n/a" if v is None or v != v else f"{v:.4f}" if isinstance(v, float) else str(v) for k, v in row.items()}
+    width = max(map(len, shown), default=0)
+    return "\n".join([*([title] if title else []), *[f"{k.ljust(width)}  {v}" for k, v in shown.items()]])
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """A metrics row that replaces the one before; called again as results come in."""
     metrics.coalesce(1).write.mode("overwrite").json(path)

@@ -212,6 +212,38 @@ def test_confusability_takes_the_deepest_common_hypernym(spark):
     assert heights == {"top": 0, "mid": 1, "low": 2, "m": 3, "n": 3, "x": 4, "y": 4}
 
 
+def test_hardest_pairs_first(spark):
+    usages = pairs.usable_annotations(annotations(spark))
+    order = [("bank.0", "bank.1", "far"), ("bank.0", "bank.2", "siblings"), ("bank.0", "bank.3", "near"), ("bank.1", "bank.2", "unrelated"), ("bank.1", "bank.3", None), ("bank.2", "bank.3", "siblings")]
+    levels = spark.createDataFrame(order, "s1 string, s2 string, level string")
+    of = lambda cutoff, cap: {(r["synset1"], r["synset2"]) for r in pairs.different_pairs(usages, levels, cutoff, cap).collect()}
+    assert of(None, 2) == {("bank.0", "bank.2"), ("bank.2", "bank.3")} and of(None, 3) == of(None, 2) | {("bank.0", "bank.3")}
+    assert of("far", 9) == of(None, 9) - {("bank.1", "bank.2")} and len(of(None, 9)) == 5
+
+
+def test_files_round_trip(spark, tmp_path):
+    import gzip
+
+    rows = spark.createDataFrame([("a", "x\n\u00e9", 1), ("b", None, 2)], "k string, t string, n int")
+    for _ in range(2):
+        writers.write_lines(rows, str(tmp_path / "lines"))
+    back = readers.read_lines(spark, str(tmp_path / "lines"), "k string, t string, n int")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(2 * [tuple(r) for r in rows.collect()], key=str)
+    writers.write_split(rows.withColumn("split", F.when(F.col("n") == 1, "dev").otherwise("train")), str(tmp_path / "split"))
+    assert [r["k"] for r in spark.read.parquet(str(tmp_path / "split" / "split=dev")).collect()] == ["a"]
+    record = [{"text": "the bank", "sent_id": "s", "start": 4, "end": 8, "lemma": "bank", "pos": "NOUN", "synsets": ["b.1"]}]
+    for name, data in (("plain.json", json.dumps(record).encode()), ("packed.json.gz", gzip.compress(json.dumps(record).encode()))):
+        (tmp_path / name).write_bytes(data)
+        assert readers.read_annotations(spark, str(tmp_path / name)).first()["lemma"] == "bank"
+    teacher = {"lemma": "a", "pos": "n", "sentence1": "s", "sentence2": "t", "usage1": "u", "usage2": "v", "label": 1, "prediction": True, "votes": [True], "reasonings": [" why "], "answers": ['{"sense1": "p", "sense2": "q", "same_sense": true}']}
+    (tmp_path / "teacher.json").write_text(json.dumps([teacher, teacher | {"lemma": "b", "prediction": False}]))
+    got = readers.read_traces(spark, str(tmp_path / "teacher.json")).collect()
+    assert [(r["lemma"], r["think"], r["sense1"], r["label"]) for r in got] == [("a", "why", "p", True)]
+    with pytest.raises(FileNotFoundError, match="build them"):
+        readers.read_gold_pairs(spark, str(tmp_path / "none.json"))
+    assert writers.report_text(spark.sql("SELECT 0.5D AS f1, 3 AS n, CAST('nan' AS DOUBLE) AS cos"), "Glosses") == "Glosses\nf1   0.5000\nn    3\ncos  n/a"
+
+
 def test_null_keys_are_equal(spark):
     schema = "lemma string, pos string, sentence1 string, sentence2 string, label boolean, doc_id int, slots array<string>, error string"
     base = spark.createDataFrame([("a", None, "s", "t", True, 1, ["x"], None), ("b", "n", "s", "t", True, 2, ["x"], None)], schema)
