@@ -108,13 +108,14 @@ def final_messages(events: DataFrame) -> DataFrame:
     names = ["conv_id", "seq", "role", "text"]
     out = pa.schema(list(zip(names, (to_arrow_type(conv_type), to_arrow_type(seq_type), pa.string(), pa.string()), strict=True)))
     schema = f"conv_id {conv_type.simpleString()}, seq {seq_type.simpleString()}, role string, text string"
-    unknown = F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce("kind", F.lit("null"))))
-    checked = events.withColumn("kind", F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(unknown))
-    alone = checked.filter(F.col("message").isNull() & F.col("kind").isin("message", "delta"))
+    known = F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
+    alone = events.filter(F.col("message").isNull() & F.col("kind").isin("message", "delta"))
     alone = alone.select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # All of unknown kind go this way, so that one stage raises: of two that fail at once Spark tells neither's message.
+    unknown = F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce("kind", F.lit("null"))))
+    named = events.filter(F.col("message").isNotNull() | ~known).withColumn("kind", F.when(known, F.col("kind")).otherwise(unknown))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    named = checked.filter(F.col("message").isNotNull()).select("conv_id", "message", "seq", "kind", "role", "text")
-    named = named.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", rank, "role", "text")
+    named = named.select("conv_id", "message", "seq", "kind", "role", "text").repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", rank, "role", "text")
 
     def run(batches):
         rows, size = [], 0

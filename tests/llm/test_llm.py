@@ -206,6 +206,9 @@ def test_chat_log(spark):
     assert got[0].__fields__ and log.schema["conv_id"] == format_log(log).schema["conv_id"]
     with pytest.raises(PySparkException, match="unknown kind"):
         format_log(log.withColumn("kind", F.lit("other"))).collect()
+    for kind in (F.lit("other"), F.lit(None).cast("string")):  # events without a message id too
+        with pytest.raises(PySparkException, match="unknown kind"):
+            format_log(log.withColumns({"kind": F.when(F.col("seq") == 0, kind).otherwise(F.col("kind")), "message": F.when(F.col("seq") > 0, F.col("message"))})).collect()
     assert format_log(log.limit(0)).count() == 0
 
 
