@@ -36,7 +36,7 @@ def candidates(records: DataFrame) -> DataFrame:
     length = F.least(F.size("answers"), F.size("reasonings"))
     slots = F.slice(F.arrays_zip("answers", "reasonings"), F.lit(1), F.greatest(length, F.lit(0)))
     rows = records.select("*", F.posexplode(slots).alias("slot", "_s")).withColumns({"answer": F.col("_s.answers"), "think": T.strip_space(F.col("_s.reasonings"))}).drop("_s", "answers", "reasonings")
-    rows = rows.filter((F.col("think") != "") & F.col("answer").isNotNull()).withColumn("_a", A.parsed(F.col("answer")))
+    rows = rows.filter((F.col("think") != "") & F.col("answer").isNotNull()).withColumn("_a", A.parsed(F.col("answer"), whole=True))
     kept = rows.filter(F.col("_a.ok") & F.col("_a.truthy").isNotNull() & (F.col("_a.truthy") == F.col("prediction")))
     return kept.withColumns({"sense1": F.col("_a.sense1"), "sense2": F.col("_a.sense2")}).drop("_a", "answer")
 
