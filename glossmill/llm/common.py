@@ -57,6 +57,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df for the side of a join, materialised and counted: broadcast if it has at most `most` rows, else as Spark sees fit."""
+    held = cut(df)
+    return F.broadcast(held) if held.limit(most + 1).count() <= most else held
+
+
 #: Tables that a worker keeps from task to task, and every operator that keeps none may drop.
 KEPT: dict[tuple, object] = {}
 

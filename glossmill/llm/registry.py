@@ -96,8 +96,32 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Rules(read(spark, sf_dir, "documents")).score()
 
 
-QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op4_html_extract, op5_chat_format, op6_quality_rules, op7_lm_score, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup]
-SQL = {"op7_lm_score": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(words)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(words) AS term FROM d) JOIN k USING (lang, term) GROUP BY lang, source, term),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT f.lang, f.source, f.term, f.n, (1 + (1000000000 * (f.n + 5)::HUGEINT) // (f.total + 5 * v.v))::BIGINT AS p FROM f JOIN v ON f.lang = v.lang),
+l AS (SELECT c.lang, c.term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY c.lang) AS total FROM c GROUP BY c.lang, c.term),
+q AS (SELECT l.lang, l.term, (1 + (1000000000 * (l.n + 5)::HUGEINT) // (l.total + 5 * v.v))::BIGINT AS q FROM l JOIN v ON l.lang = v.lang),
+pp AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source AS s, b.source AS t, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY a.lang, a.source, b.source) x ON x.lang = a.lang AND x.s = a.source AND x.t = b.source),
+tt AS (SELECT p.lang, p.source, p.term AS item, p.p - q.q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pp
+UNION ALL SELECT lang, source, 'term', item, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM tt) WHERE rank <= 50
+"""
+
+
+QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op4_html_extract, op5_chat_format, op6_quality_rules, op7_lm_score, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup, op13_source_divergence]
+SQL = {"op7_lm_score": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op13_source_divergence": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
