@@ -96,6 +96,38 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Rules(read(spark, sf_dir, "documents")).score()
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import encode
+
+    return encode(read(spark, sf_dir, "embeddings"))
+
+
+def _codebook_rounds(rounds: int) -> str:
+    """CTEs of the rounds: w are the parts' nearest entries, c the codebooks after them."""
+    made = []
+    for k in range(rounds + 1):
+        made.append(
+            f"w{k} AS MATERIALIZED (SELECT x.vec_id, x.p, min(((x.s + c.s - 2 * list_inner_product(x.v, c.v)) * 256 + c.e)::BIGINT) AS key FROM x JOIN c{k} c ON x.p = c.p GROUP BY x.vec_id, x.p)"
+        )
+        if k < rounds:
+            made.append(
+                f"m{k} AS (SELECT p, e, list(y ORDER BY i) AS v FROM (SELECT x.p, w.key % 256 AS e, i, floor(sum(x.v[i]::HUGEINT)::DOUBLE / count(*))::DOUBLE AS y FROM x JOIN w{k} w ON x.vec_id = w.vec_id AND x.p = w.p, range(1, 17) r(i) GROUP BY x.p, w.key % 256, i) GROUP BY p, e)"
+            )
+            made.append(f"c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v, list_inner_product(coalesce(m.v, c.v), coalesce(m.v, c.v)) AS s FROM c{k} c LEFT JOIN m{k} m ON c.p = m.p AND c.e = m.e)")
+    return ",\n".join(made)
+
+
+OP11_SQL = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+x AS MATERIALIZED (SELECT vec_id, p, v, list_inner_product(v, v) AS s FROM (SELECT vec_id, p, list_slice(v, 16 * p + 1, 16 * p + 16) AS v FROM k, range(4) r(p))),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v, s FROM x QUALIFY e < 256),
+{_codebook_rounds(4)},
+h AS (SELECT sha256(string_agg(y::BIGINT, ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM c4)),
+o AS (SELECT vec_id, string_agg(lpad(to_hex(key % 256), 2, '0'), '' ORDER BY p) AS code, sum(key // 256)::BIGINT AS error FROM w4 GROUP BY vec_id)
+SELECT o.vec_id, lower(o.code) AS code, o.error, sum(o.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, h.h AS codebooks_sha256 FROM o JOIN k ON o.vec_id = k.vec_id, h
+"""
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit
 
@@ -120,8 +152,8 @@ UNION ALL SELECT lang, source, 'term', item, value, rank FROM (SELECT *, row_num
 """
 
 
-QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op4_html_extract, op5_chat_format, op6_quality_rules, op7_lm_score, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup, op13_source_divergence]
-SQL = {"op7_lm_score": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op13_source_divergence": OP13_SQL}
+QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op4_html_extract, op5_chat_format, op6_quality_rules, op7_lm_score, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup, op11_vector_codes, op13_source_divergence]
+SQL = {"op7_lm_score": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_vector_codes": OP11_SQL, "op13_source_divergence": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
