@@ -128,6 +128,28 @@ SELECT o.vec_id, lower(o.code) AS code, o.error, sum(o.error) OVER (PARTITION BY
 """
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dm AS MATERIALIZED (SELECT * FROM d),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS n, list_slice(w, s, s + least(len(w), 10) - 1) AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+f AS (SELECT DISTINCT n, win[1] AS head FROM p),
+s AS (SELECT k, w, pos, w[pos] AS head FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS pos FROM dm)),
+c AS (SELECT s.k, s.pos, f.n, list_slice(s.w, s.pos, s.pos + f.n - 1) AS win FROM s JOIN f ON s.head = f.head),
+m AS MATERIALIZED (SELECT c.k, c.pos, p.n, p.item_id FROM c JOIN p ON c.n = p.n AND c.win = p.win),
+h AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(pos, pos + n)) AS q FROM m) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item_id::VARCHAR AS item FROM m) GROUP BY k)
+SELECT dm.doc_id, len(dm.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM dm LEFT JOIN h ON dm.k = h.k LEFT JOIN t ON dm.k = t.k
+"""
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit
 
@@ -152,8 +174,8 @@ UNION ALL SELECT lang, source, 'term', item, value, rank FROM (SELECT *, row_num
 """
 
 
-QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op4_html_extract, op5_chat_format, op6_quality_rules, op7_lm_score, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup, op11_vector_codes, op13_source_divergence]
-SQL = {"op7_lm_score": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_vector_codes": OP11_SQL, "op13_source_divergence": OP13_SQL}
+QUERIES = [op1_quality_knn, op2_best_fit_packing, op3_language_id, op4_html_extract, op5_chat_format, op6_quality_rules, op7_lm_score, op8_simhash_dedup, op9_piece_codec, op10_exact_dedup, op11_vector_codes, op12_decontaminate, op13_source_divergence]
+SQL = {"op7_lm_score": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_decontaminate": OP12_SQL, "op13_source_divergence": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
