@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.prompts import FILLER_USAGE, FILLER_WORD
+from .choice import by_tokens, by_vectors, vector_of
 from .traces import messages
 
 SAME_GLOSS_F1, ECHO_EXCLUDE_F1 = 0.8, 0.4
@@ -57,30 +58,44 @@ def summary(scored: DataFrame, cos: str | None = None) -> DataFrame:
     )
 
 
-def full_summary(rows: DataFrame, by: list[str], order: str, cos: str | None = None) -> DataFrame:
-    """`summary`, corpus BLEU and sense accuracy of one gloss file, in one row."""
+def full_summary(rows: DataFrame, by: list[str], order: str, cos: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """`summary`, corpus BLEU and sense accuracy of one gloss file, in one row. With vectors(text, embedding), of glosses and
+    definitions (`choice.encode_distinct` makes them), cosines are computed, and senses are chosen by them."""
     scored = score_rows(rows)
-    sense = sense_accuracy(rows, by, order).select(F.col("accuracy").alias("sense_acc"), F.col("n").alias("n_sense_scored"))
+    if vectors is not None and cos is None:
+        scored, cos = own_cosine(scored, vectors), "cos"
+    sense = sense_accuracy(rows, by, order, vectors).select(F.col("accuracy").alias("sense_acc"), F.col("n").alias("n_sense_scored"))
     bleu = corpus_bleu(rows.filter(F.coalesce("gloss", F.lit("")) != "")).select(F.col("bleu").alias("bleu_corpus"))
     return summary(scored, cos).join(F.broadcast(bleu)).join(F.broadcast(sense))  # three tables of one row
 
 
-def sense_choice(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+def sense_choice(rows: DataFrame, by: list[str], order: str, vectors: DataFrame | None = None) -> DataFrame:
     """rows(*by, lemma, pos, gloss, definition, order) -> *by, sense_correct, for lemmas with two definitions or more.
 
-    The choice is the definition most like the gloss, first seen on ties; rows with an empty gloss have none.
+    The choice is the definition most like the gloss, first seen on ties; rows with an empty gloss have none. Likeness is token
+    F1, or, with vectors(text, embedding) of glosses and definitions, their cosine.
     """
-    definitions = rows.groupBy("lemma", "pos", "definition").agg(F.min(order).alias("_seen"))
-    many = definitions.groupBy("lemma", "pos").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("lemma", "pos")
-    options = definitions.join(many, ["lemma", "pos"], "left_semi").select("lemma", "pos", "_seen", F.col("definition").alias("_option"), T.content_set(F.col("definition"), T.SHORT_STOPLIST).alias("_sense"))
-    asked = rows.filter(F.coalesce("gloss", F.lit("")) != "").select(*by, "lemma", "pos", "definition", T.content_set(F.col("gloss"), T.SHORT_STOPLIST).alias("_asked"))
-    scored = asked.join(options, ["lemma", "pos"]).withColumn("_s", -T.set_f1(F.col("_asked"), F.col("_sense")))
-    best = scored.groupBy(*by).agg(F.min(F.struct("_s", "_seen", "_option")).alias("b"), F.first("definition").alias("d"))
-    return best.select(*by, (F.col("b._option") == F.col("d")).alias("sense_correct"))
-
-
-def sense_accuracy(rows: DataFrame, by: list[str], order: str) -> DataFrame:
-    return sense_choice(rows, by, order).agg(F.count(F.lit(1)).alias("n"), mean(F.col("sense_correct").cast("double")).alias("accuracy"))
+    group = ["lemma", "pos"]
+    definitions = rows.groupBy(*group, "definition").agg(F.min(order).alias("_seen"))
+    many = definitions.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select(*group)
+    options = definitions.join(many, group, "left_semi").withColumnRenamed("definition", "_option")
+    asked = rows.filter(F.coalesce("gloss", F.lit("")) != "").select(*by, *group, "gloss", F.col("definition").alias("_own"))
+    if vectors is None:
+        sets = {c: T.content_set(F.col(c), T.SHORT_STOPLIST) for c in ("_option", "gloss")}
+        best = by_tokens(asked.withColumn("_tokens", sets["gloss"]), options.withColumn("_tokens", sets["_option"]), [*by, "_own"], group, ["_seen", "_option"])
+    else:
+        best = by_vectors(vector_of(asked, "gloss", vectors, "_vector"), vector_of(options, "_option", vectors, "_vector"), [*by, "_own"], group, ["_seen", "_option"])
+    return best.select(*by, (F.col("_option") == F.col("_own")).alias("sense_correct"))
+
+
+def sense_accuracy(rows: DataFrame, by: list[str], order: str, vectors: DataFrame | None = None) -> DataFrame:
+    return sense_choice(rows, by, order, vectors).agg(F.count(F.lit(1)).alias("n"), mean(F.col("sense_correct").cast("double")).alias("accuracy"))
+
+
+def own_cosine(rows: DataFrame, vectors: DataFrame, into: str = "cos") -> DataFrame:
+    """rows(gloss, definition, ...) with the cosine of each gloss and its own definition; null for rows with an empty gloss."""
+    met = vector_of(vector_of(rows, "gloss", vectors, "_a"), "definition", vectors, "_b")
+    return met.withColumn(into, F.when(F.coalesce("gloss", F.lit("")) != "", cosine(F.col("_a"), F.col("_b")))).drop("_a", "_b")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import cut
+from .choice import by_tokens
 
 LEVELS = ("siblings", "near", "far", "unrelated", "cross-pos")
 
@@ -38,11 +39,9 @@ def snap(glosses: DataFrame, lexicon: DataFrame, by: list[str]) -> DataFrame:
 
     As specified, a gloss without any common token snaps to the first sense with score 0.
     """
-    asked = glosses.select(*by, "lemma", "pos", T.content_set(F.col("gloss"), T.SHORT_STOPLIST).alias("_asked"))
-    senses = lexicon.select("lemma", "pos", "rank", "synset_id", T.content_set(F.col("definition"), T.SHORT_STOPLIST).alias("_sense"))
-    joined = asked.join(senses, ["lemma", "pos"]).withColumn("score", T.set_f1(F.col("_asked"), F.col("_sense")))
-    best = joined.groupBy(*by).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("rank"), F.col("synset_id"))).alias("b"), F.count(F.lit(1)).alias("n_synsets"))
-    return best.select(*by, F.col("b.synset_id").alias("synset_id"), (-F.col("b.s")).alias("score"), "n_synsets")
+    asked = glosses.select(*by, "lemma", "pos", T.content_set(F.col("gloss"), T.SHORT_STOPLIST).alias("_tokens"))
+    senses = lexicon.select("lemma", "pos", "rank", "synset_id", T.content_set(F.col("definition"), T.SHORT_STOPLIST).alias("_tokens"))
+    return by_tokens(asked, senses, by, ["lemma", "pos"], ["rank", "synset_id"]).select(*by, "synset_id", "score", F.col("n_options").alias("n_synsets"))
 
 
 def check_glosses(rows: DataFrame, lexicon: DataFrame, by: list[str], min_anchor: float = 0.0, strict: bool = False) -> DataFrame:
@@ -93,6 +92,29 @@ def depths(edges: DataFrame, most: int = 40) -> DataFrame:
     return all_of.groupBy("synset_id").agg(F.max("height").alias("height"))
 
 
+def _common_hypernyms(pairs: DataFrame, closure: DataFrame, heights: DataFrame) -> DataFrame:
+    """pairs(s1, s2) -> s1, s2, lowest(h, ancestor, d1, d2), distance; no row for pairs without a common hypernym.
+
+    The lowest is the one deepest in the hierarchy, of several the smallest id.
+    """
+    one = closure.select(F.col("synset_id").alias("s1"), "ancestor", F.col("depth").alias("d1"))
+    two = closure.select(F.col("synset_id").alias("s2"), "ancestor", F.col("depth").alias("d2"))
+    deep = heights.select(F.col("synset_id").alias("ancestor"), "height")
+    both = pairs.join(one, "s1").join(two, ["s2", "ancestor"]).join(deep, "ancestor", "left")
+    lowest = F.min(F.struct((-F.coalesce("height", F.lit(0))).alias("h"), "ancestor", "d1", "d2")).alias("lowest")
+    return both.groupBy("s1", "s2").agg(lowest, F.min(F.col("d1") + F.col("d2")).alias("distance"))
+
+
+def genus(pairs: DataFrame, closure: DataFrame, heights: DataFrame, pos_of: DataFrame, names: DataFrame) -> DataFrame:
+    """pairs(s1, s2) -> s1, s2, genus: the name of their lowest common hypernym; null if they have none, or if their parts of
+    speech differ or aren't known. names(synset_id, name) holds each synset's first lemma."""
+    p = pairs.select("s1", "s2").distinct()
+    known = p.join(pos_of.select(F.col("synset_id").alias("s1"), F.col("pos").alias("pos1")), "s1").join(pos_of.select(F.col("synset_id").alias("s2"), F.col("pos").alias("pos2")), "s2")
+    found = _common_hypernyms(known.filter("pos1 = pos2").select("s1", "s2"), closure, heights).select("s1", "s2", F.col("lowest.ancestor").alias("synset_id"))
+    named = found.join(names.select("synset_id", F.replace("name", F.lit("_"), F.lit(" ")).alias("genus")), "synset_id", "left").select("s1", "s2", "genus")
+    return p.join(named, ["s1", "s2"], "left")
+
+
 def confusability(pairs: DataFrame, closure: DataFrame, pos_of: DataFrame, heights: DataFrame) -> DataFrame:
     """pairs(s1, s2) -> level: null if unresolved, cross-pos, siblings, near (distance up to 4), far or unrelated.
 
@@ -101,12 +123,7 @@ def confusability(pairs: DataFrame, closure: DataFrame, pos_of: DataFrame, heigh
     """
     p = pairs.select("s1", "s2").distinct()
     p = p.join(pos_of.select(F.col("synset_id").alias("s1"), F.col("pos").alias("pos1")), "s1", "left").join(pos_of.select(F.col("synset_id").alias("s2"), F.col("pos").alias("pos2")), "s2", "left")
-    one = closure.select(F.col("synset_id").alias("s1"), "ancestor", F.col("depth").alias("d1"))
-    two = closure.select(F.col("synset_id").alias("s2"), "ancestor", F.col("depth").alias("d2"))
-    deep = heights.select(F.col("synset_id").alias("ancestor"), "height")
-    both = p.join(one, "s1").join(two, ["s2", "ancestor"]).join(deep, "ancestor", "left")
-    lowest = F.min(F.struct((-F.coalesce("height", F.lit(0))).alias("h"), "ancestor", "d1", "d2")).alias("c")
-    common = both.groupBy("s1", "s2").agg(lowest, F.min(F.col("d1") + F.col("d2")).alias("distance"))
+    common = _common_hypernyms(p, closure, heights).withColumnRenamed("lowest", "c")
     level = (
         F.when(F.col("pos1").isNull() | F.col("pos2").isNull(), None).when(F.col("pos1") != F.col("pos2"), "cross-pos").when(F.col("c").isNull(), "unrelated")
         .when((F.col("c.d1") == 1) & (F.col("c.d2") == 1), "siblings").when(F.col("distance") <= 4, "near").otherwise("far")

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text as T
-from ..operators import corpus, evaluate, lexicon, pairs, quality, rewards, rollouts, traces, votes
+from ..operators import choice, corpus, evaluate, lexicon, pairs, quality, rewards, rollouts, traces, votes
 from ..session import cut
 from .prompts import NO_MENTION, STUDENT_TAIL, SYSTEM, TEACHER_TAIL
 
@@ -566,6 +567,34 @@ def sense_accuracy(spark, d):
     return evaluate.sense_accuracy(view(spark, d, GLOSSES), ["p_partkey"], "p_partkey").withColumn("accuracy", F.round("accuracy", 9))
 
 
+VECTORS = """
+SELECT t.text, e.embedding FROM (SELECT u.text, (length(u.text) * 31 + ascii(substr(u.text, 3, 1)) * 17 + ascii(substr(u.text, 8, 1)) * 5) % k.n AS vec_id
+  FROM (SELECT p_name AS text FROM part UNION SELECT p_type AS text FROM part) u CROSS JOIN (SELECT count(*) AS n FROM embeddings) k) t JOIN embeddings e ON e.vec_id = t.vec_id"""
+_COS = "round(list_inner_product({0}::DOUBLE[], {1}::DOUBLE[]) / sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[]) * list_inner_product({1}::DOUBLE[], {1}::DOUBLE[])), 9)"
+
+
+@query(f"""WITH g AS ({GLOSSES}), v AS ({VECTORS}), o AS (SELECT lemma, pos, definition AS d, min(p_partkey) AS seen FROM g GROUP BY 1, 2, 3),
+j AS (SELECT g.p_partkey, g.definition, o.d, o.seen, {_COS.format('a.embedding', 'b.embedding')} AS f FROM g JOIN o ON g.lemma = o.lemma AND g.pos = o.pos JOIN v a ON a.text = g.gloss JOIN v b ON b.text = o.d WHERE g.gloss <> ''),
+c AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY f DESC, seen) = 1) SELECT p_partkey, d = definition AS sense_correct FROM c""")
+def sense_choice_vectors(spark, d):
+    return evaluate.sense_choice(view(spark, d, GLOSSES), ["p_partkey"], "p_partkey", view(spark, d, VECTORS))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_encoder():
+    return lambda texts: np.array([[t.count(c) for c in _LETTERS] for t in texts])
+
+
+@query(f"""WITH g AS ({GLOSSES}), n AS (SELECT p_partkey, list_transform(string_split('{_LETTERS}', ''), lambda c: length(gloss) - length(replace(gloss, c, ''))) AS a, list_transform(string_split('{_LETTERS}', ''), lambda c: length(definition) - length(replace(definition, c, ''))) AS b
+FROM g WHERE gloss <> '') SELECT p_partkey, CASE WHEN list_sum(a) > 0 AND list_sum(b) > 0 THEN {_COS.format('a', 'b')} END AS cos FROM n""")
+def encoded_cosine(spark, d):
+    rows = view(spark, d, GLOSSES).filter("gloss <> ''")
+    vectors = cut(choice.encode_distinct(rows, ["gloss", "definition"], _letter_encoder))
+    return evaluate.own_cosine(rows, vectors).select("p_partkey", F.round("cos", 9).alias("cos"))
+
+
 SCORED = f"""g AS ({GLOSSES}), z AS (SELECT *, CASE WHEN gloss <> '' THEN {_duck_f1(_duck_set('definition'), _duck_set('gloss'))} END AS f1, CASE WHEN gloss <> '' THEN {_duck_f1(_duck_set('gloss'), _duck_set('filler_gloss'))} END AS ff,
  {_duck_f1(_duck_set('definition'), _duck_set('filler_gloss'))} < 0.4 AS may FROM g)"""
 
@@ -809,6 +838,27 @@ def gloss_feedback(spark, d):
     return _pairs(spark, d).select("doc_id", rollouts.gloss_feedback(F.col("lemma"), F.col("label"), F.col("gloss1"), F.col("usage2"), genus).alias("hint"))
 
 
+_LOWEST = f"""e AS ({TAXONOMY}), p AS (SELECT DISTINCT s1, s2 FROM ({CLOSE_PAIRS})), q AS ({TAXONOMY_POS}),
+up(s, a, k) AS (SELECT synset_id, synset_id, 0 FROM e UNION SELECT hypernym_id, hypernym_id, 0 FROM e UNION SELECT up.s, e.hypernym_id, up.k + 1 FROM up JOIN e ON up.a = e.synset_id),
+deep AS (SELECT s, max(k) AS h FROM up GROUP BY s), near AS (SELECT DISTINCT s, a FROM up),
+low AS (SELECT p.s1, p.s2, arg_min(x.a, [-d.h, x.a]) AS a FROM p JOIN near x ON x.s = p.s1 JOIN near y ON y.s = p.s2 AND y.a = x.a JOIN deep d ON d.s = x.a GROUP BY p.s1, p.s2)"""
+_NAMED = "SELECT p_partkey AS synset_id, replace(p_name, ' ', '_') AS name, p_type AS definition FROM part"
+
+
+@query(f"""WITH RECURSIVE {_LOWEST}, n AS ({_NAMED}), z AS (SELECT p.s1, p.s2, a.name AS lemma, a.definition AS g1, b.definition AS g2, CASE WHEN x.pos = y.pos THEN replace(m.name, '_', ' ') END AS genus
+ FROM p LEFT JOIN n a ON a.synset_id = p.s1 LEFT JOIN n b ON b.synset_id = p.s2 LEFT JOIN q x ON x.synset_id = p.s1 LEFT JOIN q y ON y.synset_id = p.s2 LEFT JOIN low ON low.s1 = p.s1 AND low.s2 = p.s2 LEFT JOIN n m ON m.synset_id = low.a)
+SELECT s1, s2, concat(CASE WHEN g1 IS NULL OR g2 IS NULL THEN concat('Hint: the two sentences use "', lemma, '" in different senses.')
+ ELSE concat('Hint: in sentence 1, "', lemma, '" means "', g1, '"; in sentence 2 it means "', g2, '".', CASE WHEN genus IS NULL THEN '' ELSE concat(' Both are kinds of ', genus, ', so the contrast is fine-grained.') END) END,
+ {_q(' The correct verdict is "same_sense": false. ' + NO_MENTION)}) AS hint FROM z""")
+def genus_feedback(spark, d):
+    edges, named = cut(view(spark, d, TAXONOMY)), view(spark, d, _NAMED)
+    pairs_ = view(spark, d, CLOSE_PAIRS).distinct()
+    kinds = lexicon.genus(pairs_, lexicon.ancestors(edges), lexicon.depths(edges), view(spark, d, TAXONOMY_POS), named)
+    for k in (1, 2):
+        kinds = kinds.join(named.select(F.col("synset_id").alias(f"s{k}"), F.col("name").alias(f"name{k}"), F.col("definition").alias(f"gloss{k}")), f"s{k}", "left")
+    return kinds.select("s1", "s2", rollouts.gloss_feedback(F.col("name1"), F.lit(False), F.col("gloss1"), F.col("gloss2"), F.col("genus")).alias("hint"))
+
+
 @query("SELECT event_id, CASE WHEN value < 100 THEN (event_id % 2)::INT ELSE 0 END AS mask FROM events")
 def failure_mask(spark, d):
     return view(spark, d, "SELECT event_id, value, CAST(event_id % 2 AS INT) AS m FROM events").select("event_id", rollouts.failure_mask(F.col("m"), F.col("value"), 100.0).alias("mask"))
