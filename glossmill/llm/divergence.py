@@ -1,4 +1,4 @@
-"""Operator 13, source divergence audit by a baseline-correction inverted index (DataFrame functions only).
+"""Operator 13, source divergence audit by a baseline-correction inverted index.
 
 Every document's terms are counted by language and source; a language keeps the terms that enough of its documents hold. Two
 sources of a language differ by the sum, over all kept terms, of the distance of their smoothed shares. That sum isn't taken
@@ -19,23 +19,57 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, lower_az
+from .common import bounded, cut, tidy
+
+#: Bytes of terms (letters, A-Z lowered, and anything beyond ASCII); all others part them.
+_TERMS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: A run of letters, or of anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
+def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", entries: int = 400_000) -> DataFrame:
+    """(lang, source, term, n, d): occurrences and documents. The term '' stands for the documents themselves.
 
-def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(lang, source, term, n, d): occurrences and documents. The term '' stands for the documents themselves."""
+    Tasks count in tables of at most about `entries` terms, which they hand over as they fill up; Spark adds the counts.
+    """
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    words = F.regexp_extract_all(lower_az(empty(text_col)), F.lit(TERM), F.lit(0))
-    split = docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), words.alias("words"))
-    every = F.concat("words", F.array_distinct("words"), F.array(F.lit("")))
-    rows = split.select("lang", "source", F.size("words").alias("size"), F.posexplode(every).alias("pos", "term"))
-    return rows.groupBy("lang", "source", "term").agg(F.count_if(F.col("pos") < F.col("size")).alias("n"), F.count_if(F.col("pos") >= F.col("size")).alias("d"))
+    rows = docs.select(empty(lang_col).cast("string").alias("lang"), empty(source_col).cast("string").alias("source"), empty(text_col).cast("binary").alias("text"))
+
+    def counted(found: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
+        langs, sources, terms, n, d = ([] for _ in range(5))
+        for (lang, source), (times, documents) in found.items():
+            langs.append(pa.repeat(lang, len(documents)))
+            sources.append(pa.repeat(source, len(documents)))
+            terms.append(pa.array(documents.keys(), pa.binary()).cast(pa.string()))
+            n.append(pa.array([times[t] for t in documents], pa.int64()))
+            d.append(pa.array(documents.values(), pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in (langs, sources, terms, n, d)], names=["lang", "source", "term", "n", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                times, documents = found.setdefault((lang, source), (Counter(), Counter()))
+                size -= len(documents)
+                split = text.as_py().translate(_TERMS).split()
+                times.update(split)
+                documents.update(set(split))
+                documents[b""] += 1
+                size += len(documents)
+                if size > entries:
+                    yield counted(found)
+                    found, size = {}, 0
+        if found:
+            yield counted(found)
+
+    made = rows.mapInArrow(tidy(run), "lang string, source string, term string, n bigint, d bigint")
+    return made.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def share(n: Column, total: Column, terms: Column, smooth: int, scale: int) -> Column:
