@@ -89,5 +89,12 @@ def dump_answer(sense1: Column, sense2: Column, label: Column) -> Column:
 
 
 def judge_scores(raw: Column) -> Column:
-    """map<string, boolean> of a judge's reply; null if it doesn't parse."""
-    return F.from_json(raw, "map<string,boolean>")
+    """map<string, boolean> of a judge's reply: the truthiness of every value of a JSON object, whatever its keys. Null for a
+    null reply, and for one that isn't an object of strict JSON from end to end."""
+
+    @F.pandas_udf("map<string,boolean>")
+    def scores(replies: pd.Series) -> pd.Series:
+        made = (parse_answer(r, whole=True) for r in replies)
+        return pd.Series([None if m is None else {k: bool(v) for k, v in m.items()} for m in made], dtype=object)
+
+    return scores(strip_space(raw))

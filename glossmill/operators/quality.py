@@ -49,8 +49,8 @@ def check_slots(slots: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def count_reasons(checked: DataFrame) -> DataFrame:
-    """Rejected slots by reason, most first."""
-    return checked.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")
+    """Rejected slots by reason, most first. A filter on the reason itself would be pushed down, and run the rules a second time."""
+    return checked.groupBy("reason").agg(F.count("reason").alias("n")).filter("n > 0").orderBy(F.desc("n"), "reason")
 
 
 def judge_prompt(lemma: Column, pos: Column, sentence1: Column, sentence2: Column, label: Column, answer: Column, reasoning: Column, past_end: Column | None = None) -> Column:
@@ -75,7 +75,7 @@ def keep_by_axes(scores: Column, require: tuple[str, ...] = JUDGE_AXES) -> Colum
     return kept
 
 
-def final_verdicts(checked: DataFrame, judged: DataFrame | None, on: list[str]) -> DataFrame:
+def final_verdicts(checked: DataFrame, judged: DataFrame | None, on: list[str], require: tuple[str, ...] = JUDGE_AXES) -> DataFrame:
     """stage, keep, reason, scores of every slot: rules first, then the judge; slots that no judge saw are rejected as such.
 
     Without a judge, slots that pass the rules are kept. Extra judgements of one slot must already be reduced to one.
@@ -85,19 +85,19 @@ def final_verdicts(checked: DataFrame, judged: DataFrame | None, on: list[str])
         passed = F.col("reason").isNull()
         return checked.select(*on, F.lit("rule").alias("stage"), passed.alias("keep"), F.coalesce("reason", F.lit("passed_rules")).alias("reason"), none.alias("scores"))
     both = checked.select(*on, "reason").join(judged.select(*on, "scores", F.lit(True).alias("_seen")), on, "left")
-    by_rule, good = F.col("reason").isNotNull(), keep_by_axes(F.col("scores"))
+    by_rule, good = F.col("reason").isNotNull(), keep_by_axes(F.col("scores"), require)
     return both.select(
         *on,
         F.when(by_rule, "rule").otherwise("judge").alias("stage"),
         (~by_rule & F.coalesce("_seen", F.lit(False)) & good).alias("keep"),
-        F.when(by_rule, F.col("reason")).when(F.col("_seen").isNull(), "not_judged").when(F.col("scores").isNull(), "unparseable").when(good, "passed").otherwise("judge").alias("reason"),
+        F.when(by_rule, F.col("reason")).when(F.col("_seen").isNull(), "not_judged").when(F.col("scores").isNull(), "unparseable_verdict").otherwise("judged").alias("reason"),
         F.when(~by_rule, F.col("scores")).alias("scores"),
     )
 
 
 def axis_failures(judged: DataFrame, axes: tuple[str, ...] = JUDGE_AXES) -> DataFrame:
-    """Failures by axis and the kept rate, one row; rates of an empty table are null."""
-    failed = [F.count_if(~F.coalesce(F.try_element_at("scores", F.lit(a)), F.lit(False))).alias(f"failed_{a}") for a in axes]
+    """Failures by axis among verdicts that parsed, and the kept rate among all, one row; rates of an empty table are null."""
+    failed = [F.count_if(F.col("scores").isNotNull() & ~F.coalesce(F.try_element_at("scores", F.lit(a)), F.lit(False))).alias(f"failed_{a}") for a in axes]
     return judged.agg(*failed, F.try_divide(F.count_if(keep_by_axes(F.col("scores"), axes)).cast("double"), F.count(F.lit(1)).cast("double")).alias("kept_rate"))
 
 

@@ -15,7 +15,7 @@ from ..functions import answers as A
 from ..functions import text as T
 from ..operators import choice, corpus, evaluate, lexicon, pairs, quality, rewards, rollouts, traces, votes
 from ..session import cut
-from .prompts import NO_MENTION, STUDENT_TAIL, SYSTEM, TEACHER_TAIL
+from .prompts import JUDGE_AXES, NO_MENTION, STUDENT_TAIL, SYSTEM, TEACHER_TAIL
 
 SLOTS = """
 SELECT doc_id, CAST(floor(doc_id / 3.0) AS BIGINT) AS record, CAST(doc_id % 3 AS INT) AS slot,
@@ -168,7 +168,7 @@ def _judged(checked):
 
 
 VERDICT = """v AS (SELECT *, reason IS NULL AND doc_id % 11 <> 5 AND doc_id % 7 <> 3 AND doc_id % 4 <> 1 AS keep,
-  CASE WHEN reason IS NOT NULL THEN reason WHEN doc_id % 11 = 5 THEN 'not_judged' WHEN doc_id % 7 = 3 THEN 'unparseable' WHEN doc_id % 4 = 1 THEN 'judge' ELSE 'passed' END AS final,
+  CASE WHEN reason IS NOT NULL THEN reason WHEN doc_id % 11 = 5 THEN 'not_judged' WHEN doc_id % 7 = 3 THEN 'unparseable_verdict' ELSE 'judged' END AS final,
   CASE WHEN reason IS NULL THEN 'judge' ELSE 'rule' END AS stage FROM c)"""
 
 
@@ -201,15 +201,33 @@ def pruned_records(spark, d):
 
 
 @query(f"""WITH {CHECKED}, j AS (SELECT *, doc_id % 7 <> 3 AS ok FROM c WHERE reason IS NULL AND doc_id % 11 <> 5)
-SELECT count(*) FILTER (WHERE NOT ok) AS failed_english, count(*) FILTER (WHERE NOT ok) AS failed_coherent, count(*) FILTER (WHERE NOT ok OR doc_id % 4 = 1) AS failed_faithful,
- count(*) FILTER (WHERE NOT ok) AS failed_consistent, round(count(*) FILTER (WHERE ok AND doc_id % 4 <> 1) / count(*), 9) AS kept_rate FROM j""")
+SELECT count(*) FILTER (WHERE doc_id < 0) AS failed_english, count(*) FILTER (WHERE doc_id < 0) AS failed_coherent, count(*) FILTER (WHERE ok AND doc_id % 4 = 1) AS failed_faithful,
+ count(*) FILTER (WHERE doc_id < 0) AS failed_consistent, round(count(*) FILTER (WHERE ok AND doc_id % 4 <> 1) / count(*), 9) AS kept_rate FROM j""")
 def axis_failures(spark, d):
-    return quality.axis_failures(_judged(_checked(spark, d))).withColumn("kept_rate", F.round("kept_rate", 9))
+    checked = cut(_checked(spark, d).select("doc_id", "record", "slot", "reason"))
+    return quality.axis_failures(_judged(checked)).withColumn("kept_rate", F.round("kept_rate", 9))
+
+
+REPLIES = """
+SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN NULL WHEN 1 THEN 'no object' WHEN 2 THEN '{"english": true, "coherent": true, "faithful": true, "consistent": true}'
+  WHEN 3 THEN ' {"english": 1, "coherent": "yes", "faithful": [0], "consistent": {"a": null}, "note": "further keys are allowed"} ' WHEN 4 THEN '{"english": true, "coherent": true, "faithful": true}'
+  WHEN 5 THEN '{"english": true, "coherent": true, "faithful": true, "consistent": true} and more' WHEN 6 THEN '[true]' WHEN 7 THEN '{"english": 0, "coherent": "", "faithful": [], "consistent": {}}'
+  WHEN 8 THEN '{"english": null, "coherent": true, "faithful": true, "consistent": true}' WHEN 9 THEN '{"english": 0.0, "coherent": 2.5, "faithful": "false", "consistent": true}' WHEN 10 THEN '{"english": true,}' ELSE concat('{"english": "', lang, '", "coherent": 1, "faithful": 1, "consistent": 1}') END AS raw
+FROM documents"""
+_TRUE = """CASE json_type(j, '$.{0}') WHEN 'BOOLEAN' THEN (j->>'$.{0}') = 'true' WHEN 'VARCHAR' THEN (j->>'$.{0}') <> '' WHEN 'ARRAY' THEN json_array_length(j, '$.{0}') > 0 WHEN 'OBJECT' THEN len(json_keys(j, '$.{0}')) > 0
+ WHEN 'NULL' THEN false ELSE coalesce((j->>'$.{0}')::DOUBLE <> 0, false) END"""
+
+
+@query(f"""WITH r AS ({REPLIES}), t AS (SELECT doc_id, CASE WHEN json_valid(raw) AND raw LIKE '%{{%' AND raw NOT LIKE '%,}}' THEN raw::JSON END AS j FROM r)
+SELECT doc_id, CASE WHEN j IS NULL THEN 'unparseable_verdict' ELSE 'judged' END AS reason, j IS NOT NULL AND {' AND '.join(_TRUE.format(a) for a in JUDGE_AXES)} AS keep FROM t""")
+def judge_verdicts(spark, d):
+    scored = view(spark, d, REPLIES).withColumn("scores", A.judge_scores(F.col("raw")))
+    return scored.select("doc_id", F.when(F.col("scores").isNull(), "unparseable_verdict").otherwise("judged").alias("reason"), quality.keep_by_axes(F.col("scores")).alias("keep"))
 
 
 @query(f"WITH {CHECKED} SELECT record, slot FROM c WHERE reason IS NULL AND doc_id % 11 = 5")
 def checkpoint_anti(spark, d):
-    checked = _checked(spark, d)
+    checked = cut(_checked(spark, d).select("doc_id", "record", "slot", "reason"))
     return checked.filter("reason IS NULL").select("record", "slot").join(_judged(checked), ["record", "slot"], "left_anti")
 
 

@@ -25,6 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it; harmless where it is installed or shipped."""
     root = str(Path(__file__).resolve().parent.parent)

@@ -1,18 +1,26 @@
-"""Readers. JSON arrays are read with multiLine, JSON lines split by line; gz files are told by their suffix."""
+"""Readers. JSON arrays are read in byte ranges, JSON lines by line; gz files, which have one range, are told by their suffix."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.traces import as_bool, candidates, select_one, teacher_correct
 from ..plans import schemas
+from ..session import exists
+from . import json_ranges
 
 
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file holding one JSON array. A file of this form isn't splittable: repartition after it where that pays."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files holding one JSON array of objects each, in ranges that many tasks read. Other forms, JSON lines among them, raise."""
+    return _parsed(json_ranges.records(spark, path), schema)
+
+
+def _parsed(found: DataFrame, schema: str) -> DataFrame:
+    return found.select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,8 +52,7 @@ def read_traces(spark: SparkSession, path: str, strategy: str = "first") -> Data
 
 def read_gold_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Gold-sense pairs; files written before glosses existed get empty ones."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, path):
         raise FileNotFoundError(f"{path}: there are no gold pairs yet; build them from the sense annotations first (operators.pairs.build)")
     empty = {c: F.coalesce(c, F.lit("")) for c in ("synset1", "synset2", "gloss1", "gloss2")}
     return read_array(spark, path, schemas.GOLD_PAIR).withColumns(empty | {"senses": F.coalesce("senses", F.array().cast("array<string>"))})
@@ -62,13 +69,19 @@ def gloss_records(raw: DataFrame, default_pos: str = "noun") -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """An exclusion manifest, arrays of four strings, as key columns."""
-    rows = spark.read.text(path).select(F.from_json("value", "array<string>").alias("k")).filter(F.col("k").isNotNull())
-    return rows.select(*[F.get("k", i).alias(c) for i, c in enumerate(schemas.PAIR_KEY)])
+    """An exclusion manifest as key columns: one array of arrays of four strings, or such arrays one after the other."""
+    nested = json_ranges.beginning(spark, path).replace(" ", "").replace("\n", "").startswith(("[[", "[]"))
+    rows = json_ranges.records(spark, path, depth=1 if nested else 0, close="]").select(F.from_json("record", "array<string>").alias("k"))
+    wrong = F.raise_error(F.lit(f"{path}: an entry isn't an array of {len(schemas.PAIR_KEY)} strings"))
+    checked = rows.select(F.when(F.size("k") == len(schemas.PAIR_KEY), F.col("k")).otherwise(wrong).alias("k"))
+    return checked.select(*[F.get("k", i).alias(c) for i, c in enumerate(schemas.PAIR_KEY)])
 
 
 def read_eval(spark: SparkSession, path: str) -> DataFrame:
-    """Saved evaluation output: either {"summary", "records"} or a bare array of records."""
-    both = spark.read.schema(f"records array<struct<{schemas.GLOSS_ROW.replace(' ', ':').replace(',:', ',')}>>, {schemas.GLOSS_ROW}").option("multiLine", True).json(path)
-    nested = both.filter(F.col("records").isNotNull()).select(F.inline("records"))
-    return nested.unionByName(both.filter(F.col("records").isNull()).drop("records"))
+    """Saved evaluation output: {"summary", "records"}, a bare array of records, or JSON lines."""
+    head = json_ranges.beginning(spark, path)
+    if head.startswith("["):
+        return read_array(spark, path, schemas.GLOSS_ROW)
+    if re.match(r'\{\s*"(summary|records)"', head):
+        return _parsed(json_ranges.records(spark, path, depth=2, key="records"), schemas.GLOSS_ROW)
+    return read_lines(spark, path, schemas.GLOSS_ROW)

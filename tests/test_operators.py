@@ -457,7 +457,7 @@ def test_small_rewards(spark):
 def test_reports_and_guards(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.0)], "name string, f1 double")
     writers.write_report(rows.select("f1"), rows, str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report" / "records")).first()["name"] == "a"
+    assert json.loads((tmp_path / "report").read_text()) == {"summary": {"f1": 1.0}, "records": [{"name": "a", "f1": 1.0}]}
     for f1 in (0.5, 0.75):
         writers.write_metrics(rows.withColumn("f1", F.lit(f1)), str(tmp_path / "metrics"))
     assert spark.read.json(str(tmp_path / "metrics")).first()["f1"] == 0.75
