@@ -13,9 +13,10 @@ on pages with an article or main element the unmarked lines outside it stay only
 A class, id or role names a region only as a whole token, or as a compound all of whose parts are names of regions or of
 positions (``site-footer``, but not ``has-sidebar`` or ``share-price``).
 
-Pages are range-partitioned by host and path, so that a host of any size spreads over tasks, and each is parsed once, in
-order; the first and last page of every partition are compared across its edges in a table of two rows a partition, so the
-result doesn't depend on how rows are partitioned.
+Pages are dealt into parts by host and path, so that a host of any size spreads over tasks, and each is parsed once, in order.
+Where parts begin is read off a bounded sample of keys once, and stands in the plan as literals: a page's part is a function of
+the page, however often Spark reads or deals out the table. The first and last page of every part are compared across its
+edges in a table of a row a part, so the result doesn't depend on where parts begin.
 
 Defined results: null html gives the empty text; pages without a host form one group; equal paths are ordered by page_id;
 repeated rows are copies of each other; very long pages are read whole; an element that is never closed ends with the page,
@@ -30,10 +31,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import shuffles, tidy
+from .common import cut, shuffles, tidy
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -199,79 +200,114 @@ def judged(own: tuple, *neighbours: tuple | None) -> tuple[str, int, int]:
     return "\n\n".join(kept), len(gone), len(own[1]) - len(gone) - len(kept)
 
 
+def boundaries(keys: DataFrame, parts: int, each: int = 20, most: int = 100_000) -> list[Row]:
+    """At most parts - 1 keys that cut the keys' order into parts of about one size, from a sample of bounded size. They decide
+    where pages are worked on, and never what comes out."""
+    order = keys.columns
+    sample = keys.withColumn("chance", F.xxhash64(F.monotonically_increasing_id())).orderBy("chance").limit(min(each * parts, most)).drop("chance")
+    rows = sample.orderBy(*order).collect()
+    cuts = [rows[len(rows) * k // parts] for k in range(1, parts)] if rows else []
+    return [r for k, r in enumerate(cuts) if not k or r != cuts[k - 1]]
+
+
+def part_number(keys: DataFrame, cuts: list[Row]) -> Column:
+    """How many of the sorted cuts are at most the row's key: first among every so many of them, then among those after it."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    fields = keys.schema.fields
+    one = lambda r: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields, strict=True)])
+    groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    own = F.struct(*[f.name for f in fields])
+    at_most = lambda column: F.size(F.filter(column, lambda x: x <= own))
+    group = at_most(F.array(*[one(g[0]) for g in groups]))
+    within = F.get(F.array(*[F.array(*[one(r) for r in g]) for g in groups]), F.greatest(group - 1, F.lit(0)))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + at_most(within)).cast("int")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars, n_shared (lines deleted by differencing), n_marked (by markup alone)."""
-    kind = pages.schema[id_col].dataType.simpleString()
     address = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
     url = F.coalesce(F.col(url_col), F.lit(""))
     path = F.rtrim(F.when(url.rlike(address), F.regexp_extract(url, address, 2)).otherwise(url), F.lit("/"))
     path = F.regexp_replace(F.regexp_replace(path, r"(\d+)", "000000000000$1"), r"\d*(\d{12})(?!\d)", "$1")  # near numbers are near
-    own = pages.select(
+    named = pages.select(
         F.lower(F.regexp_extract(url, address, 1)).alias("host"), path.alias("path"), F.col(id_col).alias("page_id"), F.xxhash64(id_col, url_col, html_col).alias("key"), F.col(url_col).alias("url"),
         F.col(html_col).alias("html"),
     )
-    order = ["host", "path", "page_id", "key"]
-    ordered = own.repartitionByRange(max(1, shuffles(pages)), *order).sortWithinPartitions(*order).select("host", "page_id", "url", "html", F.spark_partition_id().alias("part"))
-    id_type = _arrow(own.schema["page_id"].dataType)
+    order, parts = ["host", "path", "page_id", "key"], max(1, shuffles(pages))
+    keys = named.select(*order)
+    own = named.withColumn("part", part_number(keys, boundaries(keys, parts)))
+    kind, id_type = named.schema["page_id"].dataType.simpleString(), _arrow(named.schema["page_id"].dataType)
     result = pa.schema([("page_id", id_type), ("url", pa.string()), ("text", pa.string()), ("n_shared", pa.int64()), ("n_marked", pa.int64())])
     schema = f"page_id {kind}, url string, text string, n_shared bigint, n_marked bigint"
 
-    def rows(batches) -> Iterator[tuple]:
-        for batch in batches:
-            columns = [batch.column(c) for c in ("host", "page_id", "url", "html", "part")]
-            for k in range(batch.num_rows):
-                yield tuple(c[k].as_py() for c in columns)
-
     def inner(batches):
-        """All pages of a partition but the first and the last, each held against the pages beside it."""
-        before = now = None
+        """All pages of a part but the first and the last, each held against the pages beside it."""
+        part = before = now = None
         out: list[tuple] = []
         size = 0
-        for host, page_id, address, page, _ in rows(batches):
-            after = (page_id, address, (host, *lines(page)))
-            if before is not None:
-                out.append((*now[:2], *judged(now[2], before[2], after[2])))
-                size += len(out[-1][2])
-                if size > 1_000_000:
-                    yield _batch(out, result)
-                    out, size = [], 0
-            before, now = now, after
+        for batch in batches:
+            columns = [batch.column(c) for c in ("part", "host", "page_id", "url", "html")]
+            for k in range(batch.num_rows):
+                at, host, page_id, address, page = (c[k].as_py() for c in columns)
+                if at != part:
+                    part, before, now = at, None, None
+                after = (page_id, address, (host, *lines(page)))
+                if before is not None:
+                    out.append((*now[:2], *judged(now[2], before[2], after[2])))
+                    size += len(out[-1][2])
+                    if size > 1_000_000:
+                        yield _batch(out, result)
+                        out, size = [], 0
+                before, now = now, after
         if out:
             yield _batch(out, result)
 
-    page_type = pa.struct([("host", pa.string()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int32()))])
-    edge = pa.schema([("part", pa.int32()), ("last", pa.int32()), ("alone", pa.bool_()), ("page_id", id_type), ("url", pa.string()), ("page", page_type), ("beside", page_type)])
-    edge_schema = f"part int, last int, alone boolean, page_id {kind}, url string, page struct<host:string,texts:array<string>,places:array<int>>, beside struct<host:string,texts:array<string>,places:array<int>>"
-
-    def edges(batches):
-        """The first and the last page of a partition, each with the page beside it in the partition."""
-        ends: list[tuple] = []  # the first two and the last two
-        n = 0
-        for row in rows(batches):
-            n += 1
-            ends = [*ends, row] if len(ends) < 4 else [*ends[:2], ends[3], row]
-        whole = [(*r[1:3], dict(zip(("host", "texts", "places"), (r[0], *lines(r[3])), strict=True))) for r in ends]
-        found = []
-        if n:
-            found.append((row[4], 0, n == 1, *whole[0], whole[1][2] if n > 1 else None))
-        if n > 1:
-            found.append((row[4], 1, False, *whole[-1], whole[-2][2]))
-        if found:
-            yield _batch(found, edge)
+    page_type = pa.struct([("page_id", id_type), ("url", pa.string()), ("host", pa.string()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int32()))])
+    page_schema = f"struct<page_id:{kind},url:string,host:string,texts:array<string>,places:array<int>>"
+
+    def parsed(batches):
+        """Pages at the edges of parts, as lines."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                texts, places = lines(r["html"])
+                page = {"page_id": r["page_id"], "url": r["url"], "host": r["host"], "texts": texts, "places": places}
+                yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([r["up"]], pa.int32()), pa.array([r["down"]], pa.int32()), pa.array([page], page_type)], names=["part", "up", "down", "page"])
 
     def outer(batches):
-        """First and last pages, held against the page beside them and the one across the partition's edge."""
+        """The first and the last page of each part, held against the pages beside them, in their part or in the next one."""
         page = lambda x: x and (x["host"], x["texts"], x["places"])
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                left, right = (page(r["before"]), page(r["after"])) if r["alone"] else (page(r["beside"]), page(r["after"])) if r["last"] else (page(r["before"]), page(r["beside"]))
-                out.append((r["page_id"], r["url"], *judged(page(r["page"]), left, right)))
+                alone = r["second"] is None
+                out.append((r["first"]["page_id"], r["first"]["url"], *judged(page(r["first"]), page(r["before"]), page(r["after"] if alone else r["second"]))))
+                if not alone:
+                    out.append((r["last"]["page_id"], r["last"]["url"], *judged(page(r["last"]), page(r["last_but_one"]), page(r["after"]))))
             yield _batch(out, result)
 
-    across = Window.orderBy("part", "last")  # two rows a partition
-    met = ordered.mapInArrow(tidy(edges), edge_schema).withColumns({"before": F.lag("page").over(across), "after": F.lead("page").over(across)})
-    found = ordered.mapInArrow(tidy(inner), schema).unionByName(met.mapInArrow(tidy(outer), schema))
+    # The first two and the last two pages of every part: their keys, then their texts. Four rows a part.
+    up, down = (F.row_number().over(Window.partitionBy("part").orderBy(*[f(c) for c in order])) for f in (F.asc, F.desc))
+    keyed = own.select("part", *order)
+    ends = [keyed.withColumn("nth", n).filter("nth <= 2") for n in (up, down)]
+    none = F.lit(None).cast("int")
+    edge = ends[0].select("part", *order, F.col("nth").alias("up"), none.alias("down")).unionByName(ends[1].select("part", *order, none.alias("up"), F.col("nth").alias("down")))
+    edge = cut(edge.groupBy("part", *order).agg(F.collect_set("up").alias("up"), F.collect_set("down").alias("down")))
+    hits = own.alias("a").join(F.broadcast(edge.alias("b")), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("part", *order)])
+    hits = hits.select("a.*", "b.up", "b.down").dropDuplicates(["part", *order])  # equal keys are one page's copies
+    places = hits.select("page_id", "url", "host", "html", "part", F.explode(F.concat(F.transform("up", lambda n: F.struct(n.alias("up"), none.alias("down"))), F.transform("down", lambda n: F.struct(none.alias("up"), n.alias("down"))))).alias("at"))
+    pages_at = cut(places.select("page_id", "url", "host", "html", "part", "at.*").mapInArrow(tidy(parsed), f"part int, up int, down int, page {page_schema}"))
+    where = lambda c, n: F.max_by("page", F.when(F.col(c) == n, 1)).alias
+    sides = pages_at.groupBy("part").agg(where("up", 1)("first"), where("up", 2)("second"), where("down", 2)("last_but_one"), where("down", 1)("last"))
+    sides = cut(sides)
+    filled = sorted(r[0] for r in sides.select("part").collect())  # at most a number for each part
+    next_to = pages.sparkSession.createDataFrame(list(zip(filled, [None, *filled], [*filled[1:], None], strict=False)), "part int, before_part int, after_part int")
+    met = sides.join(F.broadcast(next_to), "part")
+    for side, page in (("before", "last"), ("after", "first")):
+        met = met.join(sides.select(F.col("part").alias(f"{side}_part"), F.col(page).alias(side)), f"{side}_part", "left")
+    found = own.repartitionById(parts, "part").sortWithinPartitions("part", *order).select("part", "host", "page_id", "url", "html").mapInArrow(tidy(inner), schema)
+    found = found.unionByName(met.select("first", "second", "last_but_one", "last", "before", "after").mapInArrow(tidy(outer), schema))
     return found.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_shared", "n_marked")
 
 
