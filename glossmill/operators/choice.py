@@ -97,7 +97,7 @@ def by_vectors(asked: DataFrame, options: DataFrame, by: list[str], group: list[
     )
     key = [*group, "_block", "_salt"]
     rows = one.unionByName(two)
-    sorted_rows = rows.withColumn("_key", F.struct(*key)).repartition(*key).sortWithinPartitions("_key", "_kind").select("_key", "_kind", "_order", "_v", "_by")
+    sorted_rows = rows.withColumn("_key", F.struct(*key)).repartition(*key).sortWithinPartitions("_key", "_kind", "_order").select("_key", "_kind", "_order", "_v", "_by")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, names = None, [], []
