@@ -93,9 +93,30 @@ def split(df: DataFrame, ties: list[str], share: float = 0.05, seed: int = 42) -
     return every.join(F.broadcast(total)).withColumn("split", F.when(F.col("_rank") <= F.col("_dev"), "dev").otherwise("train")).drop("_rank", "_dev")
 
 
-def capped(df: DataFrame, cap: int, ties: list[str], seed: int = 42) -> DataFrame:
-    """At most `cap` rows in hash order (the sampling operator)."""
-    return df.withColumn("_h", hash_order(*ties, seed=seed)).orderBy("_h", *ties).limit(cap).drop("_h")
+def capped(df: DataFrame, cap: int, ties: list[str], seed: int = 42, few: int = 10_000) -> DataFrame:
+    """At most `cap` rows in hash order (the sampling operator).
+
+    Up to `few` rows are a top-k. Beyond that no task holds them: rows are counted by the first digits of their hash, all of
+    the prefixes below the one that the cap falls into are kept, and only that one's rows are ranked.
+    """
+    hashed = df.withColumn("_h", hash_order(*ties, seed=seed))
+    if cap <= few:
+        return hashed.orderBy("_h", *ties).limit(cap).drop("_h")
+    prefix, left = "", cap
+    for digits in (3, 6):  # at most 4,096 counts each time
+        place = F.substring("_h", 1, digits)
+        counts = hashed.filter(F.startswith("_h", F.lit(prefix))).groupBy(place.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(counts):
+            if r["n"] > left:
+                prefix = r["p"]
+                break
+            left -= r["n"]
+        else:  # there are no more rows than the cap
+            return hashed.orderBy("_h", *ties).drop("_h")
+    own = F.substring("_h", 1, len(prefix))
+    first = Window.partitionBy(own).orderBy("_h", *ties)
+    edge = hashed.filter(own == prefix).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= left).drop("_n")
+    return hashed.filter(own < prefix).unionByName(edge).orderBy("_h", *ties).drop("_h")
 
 
 def preview(df: DataFrame, n: int, order: list[str]) -> DataFrame:

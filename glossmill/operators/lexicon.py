@@ -13,6 +13,18 @@ from ..functions import text as T
 from ..session import cut
 from .choice import by_tokens
 
+def one_lexicon(*tables: DataFrame) -> None:
+    """Raise if rows of two lexicons meet, in one table or in several. Tables without a column `lexicon` say nothing."""
+    found = None
+    for table in tables:
+        if "lexicon" in table.columns:
+            names = table.select("lexicon").distinct()
+            found = names if found is None else found.unionByName(names).distinct()
+    names = [] if found is None else sorted(str(r[0]) for r in found.limit(2).collect())
+    if len(names) > 1:
+        raise ValueError(f"two lexicons meet: {', '.join(names)}")
+
+
 LEVELS = ("siblings", "near", "far", "unrelated", "cross-pos")
 
 
@@ -24,12 +36,14 @@ def normal_lexicon(lexicon: DataFrame) -> DataFrame:
 
 def inventory(lexicon: DataFrame) -> DataFrame:
     """lemma, pos, senses: distinct definitions in order."""
+    one_lexicon(lexicon)
     pairs = F.array_sort(F.collect_list(F.struct("rank", "definition")))
     return lexicon.groupBy("lemma", "pos").agg(F.array_distinct(F.transform(pairs, lambda x: x["definition"])).alias("senses"))
 
 
 def definition_of(df: DataFrame, lexicon: DataFrame, synset: str, into: str) -> DataFrame:
     """The definition of a synset column; null for synsets that don't resolve."""
+    one_lexicon(lexicon)
     known = lexicon.groupBy(F.col("synset_id").alias(synset)).agg(F.min_by("definition", "rank").alias(into))
     return df.join(known, synset, "left")
 
@@ -39,6 +53,7 @@ def snap(glosses: DataFrame, lexicon: DataFrame, by: list[str]) -> DataFrame:
 
     As specified, a gloss without any common token snaps to the first sense with score 0.
     """
+    one_lexicon(lexicon)
     asked = glosses.select(*by, "lemma", "pos", T.content_set(F.col("gloss"), T.SHORT_STOPLIST).alias("_tokens"))
     senses = lexicon.select("lemma", "pos", "rank", "synset_id", T.content_set(F.col("definition"), T.SHORT_STOPLIST).alias("_tokens"))
     return by_tokens(asked, senses, by, ["lemma", "pos"], ["rank", "synset_id"]).select(*by, "synset_id", "score", F.col("n_options").alias("n_synsets"))
@@ -67,6 +82,7 @@ def check_glosses(rows: DataFrame, lexicon: DataFrame, by: list[str], min_anchor
 
 def ancestors(edges: DataFrame, most: int = 40) -> DataFrame:
     """edges(synset_id, hypernym_id) -> synset_id, ancestor, depth (shortest, 0 for itself), by iterated joins."""
+    one_lexicon(edges)
     known = edges.select("synset_id").union(edges.select("hypernym_id")).distinct().select("synset_id", F.col("synset_id").alias("ancestor"), F.lit(0).alias("depth"))
     front, all_of = known, known
     for depth in range(1, most):
@@ -108,6 +124,7 @@ def _common_hypernyms(pairs: DataFrame, closure: DataFrame, heights: DataFrame)
 def genus(pairs: DataFrame, closure: DataFrame, heights: DataFrame, pos_of: DataFrame, names: DataFrame) -> DataFrame:
     """pairs(s1, s2) -> s1, s2, genus: the name of their lowest common hypernym; null if they have none, or if their parts of
     speech differ or aren't known. names(synset_id, name) holds each synset's first lemma."""
+    one_lexicon(pos_of, names)
     p = pairs.select("s1", "s2").distinct()
     known = p.join(pos_of.select(F.col("synset_id").alias("s1"), F.col("pos").alias("pos1")), "s1").join(pos_of.select(F.col("synset_id").alias("s2"), F.col("pos").alias("pos2")), "s2")
     found = _common_hypernyms(known.filter("pos1 = pos2").select("s1", "s2"), closure, heights).select("s1", "s2", F.col("lowest.ancestor").alias("synset_id"))

@@ -104,6 +104,27 @@ def coverage(pairs: DataFrame) -> DataFrame:
     )
 
 
+def coverage_report(pairs: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """part, value, n, same_share, scoreable_share, mean_senses, most_senses: one aggregation over all pairs (part `all`), by part of
+    speech, by label, and by confusability of different pairs (levels(s1, s2, level), `unresolved` where it has none)."""
+    rows = pairs
+    if levels is not None:
+        named = levels.select(F.col("s1").alias("synset1"), F.col("s2").alias("synset2"), "level").dropDuplicates(["synset1", "synset2"])
+        rows = rows.join(named, ["synset1", "synset2"], "left")
+    level = F.coalesce("level", F.lit("unresolved")) if levels is not None else F.lit("unresolved")
+    scoreable = (F.col("gloss1") != "") & (F.col("gloss2") != "") & (F.size("senses") > 1)
+    shaped = rows.select(
+        F.coalesce("pos", F.lit("?")).alias("pos"), F.coalesce(F.col("label").cast("string"), F.lit("?")).alias("label"), F.when(F.col("label"), F.lit("same")).otherwise(level).alias("level"),
+        F.coalesce(F.col("label"), F.lit(False)).cast("int").alias("same"), F.coalesce(scoreable, F.lit(False)).cast("int").alias("scoreable"), F.size("senses").alias("k"),
+    )
+    sets = [[], *[[F.col(c)] for c in ("pos", "label", "level")]]
+    part = F.when(F.grouping("pos") == 0, "pos").when(F.grouping("label") == 0, "label").when(F.grouping("level") == 0, "level").otherwise("all")
+    table = shaped.groupingSets(sets, "pos", "label", "level").agg(
+        part.alias("part"), F.count(F.lit(1)).alias("n"), F.avg("same").alias("same_share"), F.avg("scoreable").alias("scoreable_share"), F.avg("k").alias("mean_senses"), F.max("k").alias("most_senses")
+    )
+    return table.select("part", F.coalesce("pos", "label", "level", F.lit("")).alias("value"), "n", "same_share", "scoreable_share", "mean_senses", "most_senses").filter("part <> 'level' OR value <> 'same'")
+
+
 def leaked(pairs: DataFrame, held_out: DataFrame) -> DataFrame:
     """Lemmas of a pair set that are held out: must be empty."""
     return pairs.select(F.lower("lemma").alias("lemma")).intersect(held_out.select(F.lower("lemma").alias("lemma")))

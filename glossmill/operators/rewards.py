@@ -101,7 +101,17 @@ def overlong(length: Column, most: int, cache: int = 128, weight: float = 0.2) -
     return weight * F.when(length <= most - cache, 0.0).when(length > most, -1.0).otherwise((most - cache - length) / float(cache))
 
 
-def advantage(rows: DataFrame, group: list[str], reward: str = "reward", scale: bool = False) -> DataFrame:
+def advantage(rows: DataFrame, group: list[str], reward: str = "reward", scale: str | bool = "none") -> DataFrame:
+    """Rewards less their group's mean. scale: `none`, `group` (over the group's standard deviation) or `batch` (over that of all
+    rewards, one row that is joined on); a deviation of 0, or of a single reward, gives 0."""
+    scale = {True: "group", False: "none"}.get(scale, scale)
+    if scale not in ("none", "group", "batch"):
+        raise ValueError(f"unknown scaling: {scale}")
     w = Window.partitionBy(*group)
     centred = F.col(reward) - F.avg(reward).over(w)
-    return rows.withColumn("advantage", F.coalesce(F.try_divide(centred, F.stddev_samp(reward).over(w)), F.lit(0.0)) if scale else centred)
+    if scale == "none":
+        return rows.withColumn("advantage", centred)
+    if scale == "group":
+        return rows.withColumn("advantage", F.coalesce(F.try_divide(centred, F.stddev_samp(reward).over(w)), F.lit(0.0)))
+    spread = rows.agg(F.stddev_samp(reward).alias("_spread"))  # one row
+    return rows.join(F.broadcast(spread)).withColumn("advantage", F.coalesce(F.try_divide(centred, F.col("_spread")), F.lit(0.0))).drop("_spread")

@@ -24,18 +24,26 @@ def vote_rows(rows: DataFrame, by: list[str], ballot: Column) -> DataFrame:
     return rows.groupBy(*by).agg(_decided(yes, no).alias("v"), F.count(F.lit(1)).alias("n_votes")).select(*by, "v.prediction", "v.confidence", "n_votes")
 
 
-def metrics(rows: DataFrame, by: list[str] | None = None, prediction: str = "prediction", label: str = "label") -> DataFrame:
-    """Counts, accuracy, precision, recall and F1 of the positive class; rows without prediction or label are skipped."""
+COUNTS = ("n_scored", "n_skipped", "tp", "fp", "fn", "tn")
+
+
+def counted(rows: DataFrame, by: list[str] | None = None, prediction: str = "prediction", label: str = "label") -> DataFrame:
+    """The counts that metrics are made of; rows without prediction or label are skipped. Counts of parts of a table add up."""
     p, y = F.col(prediction), F.col(label)
     both = p.isNotNull() & y.isNotNull()
-    counts = [
-        F.count_if(both).alias("n_scored"), F.count_if(~both).alias("n_skipped"), F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"),
-        F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"),
-    ]
-    table = rows.groupBy(*by).agg(*counts) if by else rows.agg(*counts)
+    counts = [F.count_if(x).alias(c) for c, x in zip(COUNTS, (both, ~both, p & y, p & ~y, ~p & y, ~p & ~y), strict=True)]
+    return rows.groupBy(*by).agg(*counts) if by else rows.agg(*counts)
+
+
+def rated(counts: DataFrame) -> DataFrame:
+    """Accuracy, and precision, recall and F1 of the positive class, beside the counts."""
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return table.withColumns({"accuracy": ratio(tp + tn, F.col("n_scored")), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+    return counts.withColumns({"accuracy": ratio(tp + tn, F.col("n_scored")), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+
+
+def metrics(rows: DataFrame, by: list[str] | None = None, prediction: str = "prediction", label: str = "label") -> DataFrame:
+    return rated(counted(rows, by, prediction, label))
 
 
 def metrics_by_pos(rows: DataFrame, pos: str = "pos") -> DataFrame:

@@ -365,6 +365,11 @@ def sample_cap(spark, d):
     return corpus.capped(view(spark, d, "SELECT doc_id FROM documents"), 100, ["doc_id"])
 
 
+@query(f"SELECT doc_id FROM documents ORDER BY {HASH.format(salt='', key='doc_id::VARCHAR')}, doc_id LIMIT 700")
+def sample_cap_large(spark, d):
+    return corpus.capped(view(spark, d, "SELECT doc_id FROM documents"), 700, ["doc_id"], few=100)
+
+
 @query(f"WITH {SFT} SELECT lemma, pos, s1 AS sentence1, 't' AS sentence2 FROM t")
 def sft_manifest(spark, d):
     return _sft(spark, d).filter(F.col("task") == "wic").select("lemma", "pos", "sentence1", "sentence2")
@@ -493,6 +498,23 @@ def pair_coverage(spark, d):
     return got.withColumns({c: F.round(c, 9) for c in ("same_share", "scoreable_share", "mean_senses")})
 
 
+CLOSE_SENSES = """
+SELECT DISTINCT concat(source, '.en') AS s1, concat(source, '.fr') AS s2, 'siblings' AS level FROM documents UNION ALL SELECT DISTINCT concat(source, '.de') AS s1, concat(source, '.es') AS s2, 'far' AS level FROM documents"""
+
+
+@query(f"""WITH {USABLE}, {SAME}, {DIFF}, z AS (SELECT lemma, pos, synset, synset2 FROM same UNION ALL SELECT lemma, pos, synset, synset2 FROM diff), c AS ({CLOSE_SENSES}),
+i AS (SELECT lemma, 'noun' AS pos, count(DISTINCT concat('sense of ', lemma, ' in ', l)) AS k FROM (SELECT source AS lemma, lang AS l FROM documents) GROUP BY lemma),
+q AS (SELECT z.*, CASE WHEN synset = synset2 THEN 'same' ELSE coalesce(c.level, 'unresolved') END AS level, coalesce(i.k, 0) AS base, CASE WHEN synset = synset2 THEN 1 ELSE 2 END AS own FROM z LEFT JOIN i ON z.lemma = i.lemma AND z.pos = i.pos LEFT JOIN c ON c.s1 = synset AND c.s2 = synset2),
+w AS (SELECT pos, (synset = synset2)::VARCHAR AS label, level, synset = synset2 AS same, CASE WHEN base > 0 THEN base ELSE own END AS k FROM q)
+SELECT CASE WHEN grouping(pos) = 0 THEN 'pos' WHEN grouping(label) = 0 THEN 'label' WHEN grouping(level) = 0 THEN 'level' ELSE 'all' END AS part, coalesce(pos, label, level, '') AS value, count(*) AS n, round(count(*) FILTER (WHERE same) / count(*), 9) AS same_share,
+ round(count(*) FILTER (WHERE k > 1) / count(*), 9) AS scoreable_share, round(avg(k), 9) AS mean_senses, max(k)::INT AS most_senses FROM w GROUP BY GROUPING SETS ((), (pos), (label), (level)) HAVING grouping(level) = 1 OR level <> 'same'""")
+def coverage_report(spark, d):
+    table = view(spark, d, SENSE_TABLE).withColumn("rank", F.lit(1))
+    senses = table.groupBy("lemma", "pos").agg(F.array_sort(F.collect_set("definition")).alias("senses"))
+    got = pairs.coverage_report(pairs.build(_annotations(spark, d), table, senses, balanced=False), view(spark, d, CLOSE_SENSES))
+    return got.withColumns({c: F.round(c, 9) for c in ("same_share", "scoreable_share", "mean_senses")})
+
+
 #: A taxonomy over the parts: keys in base three hang under their quotient, in two trees, with second hypernyms here and there.
 TAXONOMY = """
 SELECT DISTINCT n AS synset_id, h AS hypernym_id FROM (
@@ -813,6 +835,21 @@ def reward_total(spark, d):
     return _scored(spark, d).select("doc_id", F.round("reward_total", 9).alias("reward"))
 
 
+def _advantage(spark, d, scale):
+    rows = view(spark, d, "SELECT user_id, event_id, value AS reward FROM events")
+    return rewards.advantage(rows, ["user_id"], scale=scale).select("user_id", "event_id", F.round("advantage", 6).alias("advantage"))
+
+
+@query("SELECT user_id, event_id, round(coalesce((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 0), 6) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)")
+def advantage_group(spark, d):
+    return _advantage(spark, d, "group")
+
+
+@query("SELECT user_id, event_id, round(coalesce((value - avg(value) OVER (PARTITION BY user_id)) / nullif(stddev_samp(value) OVER (), 0), 0), 6) AS advantage FROM events")
+def advantage_batch(spark, d):
+    return _advantage(spark, d, "batch")
+
+
 @query("SELECT user_id, event_id, round(value - avg(value) OVER (PARTITION BY user_id), 9) AS advantage FROM events")
 def advantage(spark, d):
     return rewards.advantage(view(spark, d, "SELECT user_id, event_id, value AS reward FROM events"), ["user_id"]).select("user_id", "event_id", F.round("advantage", 9).alias("advantage"))
