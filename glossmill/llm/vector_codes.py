@@ -68,8 +68,7 @@ class Codebook:
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each part the nearest entry's index and squared distance."""
-        most = float(np.abs(parts).max()) if parts.size else 0.0
-        if parts.dtype == object or self.most >= 1 << 26 or parts.shape[1] * (most + self.most) ** 2 * 256 >= _EXACT:
+        if not self._fits(parts):
             found = [self._nearest_exact([int(x) for x in p]) for p in parts]
             return np.array([i for i, _ in found], np.int64), np.array([d for _, d in found], object)
         own2 = (parts * parts).sum(1)
@@ -94,6 +93,13 @@ class Codebook:
             key[rows] = np.where(inside, away * 256 + self.order[a:b], _EXACT).min(1).astype(np.int64)
         return key & 255, key >> 8
 
+    def _fits(self, parts: np.ndarray) -> bool:
+        """Whether floats hold all sums of products exactly, times the 256 that the key has for the index."""
+        if parts.dtype == object or self.most >= 1 << 26:
+            return False
+        most = float(np.abs(parts).max()) if parts.size else 0.0
+        return parts.shape[1] * (most + self.most) ** 2 * 256 < _EXACT
+
     def _nearest_exact(self, part: list[int]) -> tuple[int, int]:
         """The same with Python's integers, outward from the part's norm until no norm can be within the best distance."""
         own2, best = sum(x * x for x in part), None
