@@ -4,7 +4,8 @@ Texts become token ids (a distinct-chunk table, see chunk_table), only documents
 histogram of piece lengths has at most ``capacity`` bins whatever the corpus, so the rest of the plan is made on the driver:
 multiplicative weights price lengths, a knapsack dynamic program finds the best configurations under those prices, full or
 not, their use is averaged into a fractional solution, that is rounded, and what is left is placed by best fit, for whole
-groups of alike sequences at a time; this goes on until the plan is near the program's lower bound. The plan is a table of at most a few thousand
+groups of alike sequences at a time; this goes on until the plan is near the program's lower bound and no longer than best
+fit's own. The plan is a table of at most a few thousand
 configurations; each piece finds its sequence and offset from its rank among pieces of its length, a rank taken in salted
 groups, so that one length may hold any share of the rows.
 
@@ -137,41 +138,61 @@ def plan(histogram: np.ndarray, capacity: int, rounds: int = 300, gap: float = 0
     """Configurations and how many sequences use each: together they hold exactly the histogram (index: length).
 
     rounds: knapsacks solved at most; gap: the program ends when the plan has at most this share, or one sequence, more than
-    the program's lower bound. Of the plans made till then, best fit alone among them, the one with the fewest sequences is
-    taken, the program's where they are equal.
+    the program's lower bound, and no more than best fit alone. Its best plan is taken, unless best fit alone has fewer
+    sequences after all rounds.
     """
     left = histogram.astype(np.int64).copy()
     full = [(int(left[capacity]), {capacity: 1})] if left[capacity] else []
     left[capacity] = 0
     if not left.any():
         return full
-    result = _rounded({}, left, capacity)
+    fit, best = _best_fit(left.copy(), capacity), None
     for fractional, bound in covering(left, capacity, rounds):
-        made = _rounded(fractional, left, capacity)
-        if _sequences(made) <= _sequences(result):
-            result = made
+        made = _rounded(fractional, left, capacity, _sequences(fit))
+        if best is None or _sequences(made) < _sequences(best):
+            best = made
         least = np.ceil(bound - 1e-6)
-        if _sequences(result) <= least + max(1, gap * least):
+        if _sequences(best) <= min(_sequences(fit), least + max(1, gap * least)):
             break
-    return full + result
+    return full + (best if best is not None and _sequences(best) <= _sequences(fit) else fit)
 
 
 def _sequences(made: list[tuple[int, dict[int, int]]]) -> int:
     return sum(times for times, _ in made)
 
 
-def _rounded(fractional: dict[tuple, float], histogram: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """A whole plan from a fractional one: rounded down, then one more each where the pieces are there, then best fit."""
-    left = histogram.copy()
-    result: list[tuple[int, dict[int, int]]] = []
-    for whole in (True, False):
+def _rounded(fractional: dict[tuple, float], histogram: np.ndarray, capacity: int, enough: int = 0) -> list[tuple[int, dict[int, int]]]:
+    """A whole plan from a fractional one: rounded down, then one more each where the pieces are there, and best fit for what is
+    left. Pieces that rounding leaves are few and alike, which wastes a sequence or two; so, until the plan has at most
+    `enough` sequences, configurations with slack and a larger part of the others' use are left to best fit."""
+    best = None
+    for kept in (1.0, 0.98, 0.95, 0.9, 0.8, 0.6) if fractional else (1.0,):
+        left = histogram.copy()
+        used = {key: amount * kept for key, amount in fractional.items() if kept == 1 or sum(x * n for x, n in key) == capacity}
+        made = _taken(used, left, kept == 1) + _best_fit(left, capacity)
+        if best is None or _sequences(made) < _sequences(best):
+            best = made
+        if _sequences(best) <= enough:
+            break
+    return best
+
+
+def _taken(fractional: dict[tuple, float], left: np.ndarray, up: bool = True) -> list[tuple[int, dict[int, int]]]:
+    """Configurations as often as the fractional solution uses them, as far as the pieces go, which leave the histogram. up:
+    then each once more."""
+    result = []
+    for whole in (True, False) if up else (True,):
         for key, amount in sorted(fractional.items(), key=lambda x: (-(x[1] % 1), x[0])):
             times = min(int(amount + 1e-9) if whole else 1, *(int(left[length]) // n for length, n in key))
             if times > 0:
                 result.append((times, dict(key)))
                 for length, n in key:
                     left[length] -= times * n
-    # What rounding leaves goes by best fit, longest first, for whole groups of sequences that are alike.
+    return result
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Longest first, for whole groups of sequences that are alike."""
     spare: dict[int, list[list]] = {}  # room left: groups of (sequences, configuration)
     rooms: list[int] = []
     for length in np.flatnonzero(left)[::-1].tolist():
@@ -192,7 +213,7 @@ def _rounded(fractional: dict[tuple, float], histogram: np.ndarray, capacity: in
             config = config | {length: config.get(length, 0) + 1}
             _put(spare, rooms, room - length, used, config)
             n -= used
-    return result + [(times, config) for groups_ in spare.values() for times, config in groups_]
+    return [(times, config) for groups_ in spare.values() for times, config in groups_]
 
 
 def _put(spare: dict[int, list[list]], rooms: list[int], room: int, times: int, config: dict[int, int]) -> None:
@@ -224,7 +245,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, paths: tuple[st
     for row in found.groupBy("length").count().collect():  # at most `capacity` rows
         histogram[row["length"]] = row["count"]
     slots = _slots(plan(histogram, capacity))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(16, shuffles(docs))))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(max(16, shuffles(docs))))  # found lies in files: its partitions are fixed
     group = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     salted = found.withColumn("salt", salt)

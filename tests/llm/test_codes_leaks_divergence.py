@@ -1,21 +1,13 @@
-"""Operators 11 to 13 against brute force, their SQL and edge cases."""
+"""Operators 11 to 13 against brute force and at their edges, and operator 2's plans."""
 
-import glob
 import hashlib
 import math
-import os
 import random
 import re
 from collections import Counter, defaultdict
 
-import duckdb
 import pytest
-from conftest import SF
-from test_queries import TABLES, rows
 
-from glossmill.llm import registry
-
-NEW = ("op11_vector_codes", "op12_decontaminate", "op13_source_divergence")
 DOCS = "doc_id bigint, text string, lang string, source string"
 
 
@@ -23,18 +15,6 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
-@pytest.mark.parametrize("name", NEW)
-def test_against_sql(spark, name):
-    con = duckdb.connect()
-    for t in TABLES:
-        if glob.glob(f"{SF}/{t}.parquet"):
-            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df, want = registry.queries()[name](spark, SF), con.sql(registry.oracle_sql()[name])
-    assert sorted(df.columns) == sorted(want.columns)
-    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
-
-
 # --- operator 11
 
 
@@ -244,3 +224,44 @@ def test_audit(spark, monkeypatch, few):
     for least, top in ((30, 50), (3, 4)):
         assert sorted(tuple(r) for r in divergence.audit(df, least, top).select("lang", "source", "part", "item", "value", "rank").collect()) == brute_audit(docs, least, top)
     assert divergence.audit(df.limit(0)).count() == 0
+
+
+# --- operator 2: the program's plan, and many repeated rows
+
+
+@pytest.mark.parametrize("case", ["lognormal", "short", "long", "steps"])
+def test_the_programs_plan_stands(case):
+    import numpy as np
+
+    from glossmill.llm.packing import _best_fit, _sequences, plan
+
+    rng = np.random.default_rng(7)
+    lengths = {
+        "lognormal": rng.lognormal(6.1, 1.0, 40_000), "short": rng.integers(1, 300, 40_000), "long": rng.integers(600, 1500, 20_000), "steps": rng.choice([300, 500, 700, 900, 1200], 20_000),
+    }[case]
+    histogram = np.bincount(lengths.astype(int).clip(1, 2048), minlength=2049)
+    made = plan(histogram, 2048)
+    held = np.zeros(2049, int)
+    for times, config in made:
+        assert sum(length * n for length, n in config.items()) <= 2048
+        for length, n in config.items():
+            held[length] += times * n
+    alone = _best_fit(histogram.copy(), 2048)
+    assert (held == histogram).all() and _sequences(made) <= _sequences(alone) and (made != alone or case == "long")  # hardly any two long pieces meet
+
+
+def test_packing_repeated_rows(spark):
+    """Half of the rows are one document, and one length holds nearly all."""
+    from glossmill.llm.packing import pack
+
+    docs = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 2 = 0 THEN NULL WHEN id % 100 = 1 THEN repeat('word ', 300) ELSE '' END AS text").repartition(5)
+    placed = {}
+    for r in pack(docs).collect():
+        placed.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(map(len, placed.values())) == 4000
+    for spans in placed.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
