@@ -31,10 +31,11 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round over edges (u, v), u > v: each vertex ties its larger (or its smaller) neighbours to its smallest one.
 
-    The smallest neighbour comes from a pre-aggregated count-free minimum, so no vertex's neighbours meet in one task.
+    The smallest neighbour comes from a minimum that is aggregated before the shuffle. It is materialised, so that both sides of
+    the join are plain exchanges: Spark then splits a hub's edges over several tasks (adaptive skew joins).
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     joined = both.join(least, "u")
     if large:
         made = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -207,7 +207,7 @@ def _classes(rows: DataFrame, radius: int, pivots: int, most: int) -> DataFrame:
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp"), radius, pivots, most))
     member = cut(distinct.join(roots, distinct["fp"] == roots["vertex"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = cut(member.groupBy("root").agg(F.min("least").alias("component_id")))  # a plain side of the join, so that a large component is split
     return member.join(ids, "root").select("fp", "root", "component_id")
 
 
