@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -195,6 +196,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D
 _BACK = pow(_BASE, -1, 1 << 64)
+_LONG = 512
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -211,12 +213,19 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from one running sum over the whole array."""
+    """A 64-bit hash of each span's bytes, from one running sum over the whole array.
+
+    A sum of powers modulo 2^64 can't tell some texts of a thousand characters apart whatever its base, so long spans, which are
+    few, are hashed one by one.
+    """
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), dtype=np.uint64, out=total[1:])
         got = (total[stops] - total[starts]) * _powers(_BACK, len(data) + 1)[starts]
-        return mix(got + (stops - starts).astype(np.uint64))
+        found = mix(got + (stops - starts).astype(np.uint64))
+    for i in np.flatnonzero(stops - starts >= _LONG).tolist():
+        found[i] = xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]])
+    return found
 
 
 def per_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
