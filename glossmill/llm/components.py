@@ -49,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v")).distinct())
     state = None
     while True:  # a round shortens every path; the number of rounds is about the logarithm of the longest one
-        now = cut(_star(_star(now, True), False))
+        now = cut(_star(cut(_star(now, True)), False))
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
