@@ -991,6 +991,9 @@ def distinct_lemmas(spark, d):
     return view(spark, d, "SELECT l.quality, lower(d.lang) AS lemma FROM labels l JOIN documents d ON l.doc_id = d.doc_id").distinct()
 
 
+from . import file_queries as _files  # noqa: E402, F401  registers its queries in the tables above
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -8,13 +8,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that later stages outlive lost executors.
-
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local one is made if Spark runs on one machine
-    (tests, a laptop); on a cluster this raises.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a local folder is made if Spark runs on one machine (tests, a
+    laptop); on a cluster this raises."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -22,6 +19,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="glossmill-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that later stages outlive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -24,7 +24,7 @@ def write_split(df: DataFrame, path: str) -> None:
 def write_manifest(df: DataFrame, path: str) -> None:
     """Pair keys of all records of the task: one file holding one array of arrays of four strings."""
     keys = df.filter(F.col("task") == "wic").select(F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in PAIR_KEY])).alias("value"))
-    _one_file(keys, path)
+    one_file(keys, path)
 
 
 def array_text(df: DataFrame, order: list[str]) -> str:
@@ -35,27 +35,27 @@ def array_text(df: DataFrame, order: list[str]) -> str:
 def write_array(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """One file holding one JSON array, a record a line, in the given order; for tables of any size."""
     rows = df if order is None else df.orderBy(*order)
-    _one_file(rows.select(_record(rows).alias("value")), path)
+    one_file(rows.select(_record(rows).alias("value")), path)
 
 
 def write_report(summary: DataFrame, records: DataFrame, path: str, order: list[str] | None = None) -> None:
     """One file of {"summary", "records"}: a one-row summary and records of any size. Numbers that aren't are written as NaN."""
     head = json.dumps(summary.first().asDict(recursive=True), ensure_ascii=False, default=str)
     rows = records if order is None else records.orderBy(*order)
-    _one_file(rows.select(_record(rows).alias("value")), path, f'{{"summary": {head}, "records": [', "]}")
+    one_file(rows.select(_record(rows).alias("value")), path, f'{{"summary": {head}, "records": [', "]}")
 
 
 def _record(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
 
 
-def _one_file(values: DataFrame, path: str, head: str = "[", tail: str = "]") -> None:
-    """Values joined by commas in one file. Tasks write parts, each value behind a comma; the parts are then copied one after the
-    other, as a stream of small buffers, without the first comma. The file appears when it is whole."""
+def one_file(values: DataFrame, path: str, head: str = "[", tail: str = "]", between: str = ",") -> None:
+    """Values joined by commas (or another character of ASCII) in one file. Tasks write parts, each value behind a comma; the parts
+    are then copied one after the other, as a stream of small buffers, without the first comma. The file appears when it is whole."""
     spark = values.sparkSession
     hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
     made = f"{path}.{uuid.uuid4().hex}"
-    values.select(F.concat(F.lit(","), "value")).write.text(f"{made}.parts")
+    values.select(F.concat(F.lit(between), "value")).write.text(f"{made}.parts")
     place = hadoop.fs.Path(path)
     system = place.getFileSystem(conf)
     out = system.create(hadoop.fs.Path(f"{made}.whole"))
