@@ -17,9 +17,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+#: Of a block, about.
 OPTIONS, QUESTIONS = 512, 8192
 
 
@@ -35,7 +38,7 @@ def by_tokens(asked: DataFrame, options: DataFrame, by: list[str], group: list[s
     Questions without a token in common with any option get the first one, with score 0; those of an unknown group have no row.
     """
     place = F.struct(*order)
-    first = options.groupBy(*group).agg(F.min(place).alias("_o"), F.count(F.lit(1)).alias("_n"))
+    first = cut(options.groupBy(*group).agg(F.min(place).alias("_o"), F.count(F.lit(1)).alias("_n")))  # a plain side of the join: a frequent group is split
     nothing = asked.join(first, group).select(*by, F.lit(0.0).alias("_s"), "_o", "_n")
     have, want = _filled(tokens), _filled(tokens)
     postings = options.select(*group, place.alias("_o"), F.size(have).alias("_b"), F.explode(have).alias("_t"))
@@ -81,11 +84,10 @@ def by_vectors(asked: DataFrame, options: DataFrame, by: list[str], group: list[
     Cosines are rounded before they are compared, so that block sizes don't decide ties. A null or zero vector is at cosine 0 of
     all others, and so are vectors of another length.
     """
-    own = Window.partitionBy(*group)
     counted = asked.groupBy(*group).agg(F.count(F.lit(1)).alias("_asked"))
     sized = options.groupBy(*group).agg(F.count(F.lit(1)).alias("_options")).join(counted, group)  # groups that have both
-    sized = sized.select(*group, F.ceil(F.col("_asked") / QUESTIONS).cast("int").alias("_salts"), F.ceil(F.col("_options") / OPTIONS).cast("int").alias("_blocks"))
-    held = options.withColumn("_block", ((F.row_number().over(own.orderBy(*order)) - 1) / OPTIONS).cast("int")).join(sized.drop("_blocks"), group)
+    sized = cut(sized.select(*group, F.ceil(F.col("_asked") / QUESTIONS).cast("int").alias("_salts"), F.ceil(F.col("_options") / OPTIONS).cast("int").alias("_blocks")))
+    held = options.join(sized, group).withColumn("_block", F.pmod(F.xxhash64(*order), F.col("_blocks")).cast("int"))
     one = held.select(
         *group, "_block", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(0).alias("_kind"), F.struct(*order).alias("_order"), F.col(vector).alias("_v"),
         F.lit(None).cast(asked.select(F.struct(*by)).schema[0].dataType).alias("_by"),

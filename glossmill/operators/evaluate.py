@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.prompts import FILLER_USAGE, FILLER_WORD
+from ..session import cut
 from .choice import by_tokens, by_vectors, vector_of
 from .traces import messages
 
@@ -77,7 +78,7 @@ def sense_choice(rows: DataFrame, by: list[str], order: str, vectors: DataFrame
     """
     group = ["lemma", "pos"]
     definitions = rows.groupBy(*group, "definition").agg(F.min(order).alias("_seen"))
-    many = definitions.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select(*group)
+    many = cut(definitions.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select(*group))
     options = definitions.join(many, group, "left_semi").withColumnRenamed("definition", "_option")
     asked = rows.filter(F.coalesce("gloss", F.lit("")) != "").select(*by, *group, "gloss", F.col("definition").alias("_own"))
     if vectors is None:

@@ -148,3 +148,24 @@ def test_genus(spark):
     got = {(r["s1"], r["s2"]): r["genus"] for r in lexicon.genus(asked, lexicon.ancestors(edges), lexicon.depths(edges), kinds, names).collect()}
     # pet and carnivore are equally deep: the smaller id
     assert got == {("dog", "wolf"): "canine name", ("dog", "cat"): "carnivore name", ("wolf", "cat"): "carnivore name", ("dog", "canine"): "canine name", ("dog", "run"): None, ("dog", "nowhere"): None}
+
+
+def test_a_frequent_lemma_is_split(spark):
+    """Spark deals a lemma that holds nearly all glosses to several tasks, and each of its words' postings too."""
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        asked = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") % 20 > 0, "hot").otherwise(F.concat(F.lit("l"), F.col("id").cast("string"))).alias("lemma"), F.array(F.lit("money"), F.col("id").cast("string")).alias("_tokens")).repartition(12)
+        options = asked.select("lemma").distinct().select("lemma", F.explode(F.array(F.lit(0), F.lit(1))).alias("o"), F.array(F.lit("money"), F.lit("bank")).alias("_tokens"))
+        got = choice.by_tokens(asked, options, ["k"], ["lemma"], ["o"])
+        assert {(r["score"], r["o"]) for r in got.collect()} == {(0.5, 0)}
+        assert got._jdf.queryExecution().executedPlan().toString().count("skew=true") >= 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
