@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from glossmill.llm.common import crc_mod, drop_folder, shared_folder
 
 
+def batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most 2,000: long documents, twice in memory on either side, make the batches large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(2_000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language can't be told, go."""
+    batches(spark)
     from glossmill.llm.language_id import Languages
 
     return Languages(docs, crc_mod(F.col("doc_id"), 4) != 2).keep_known(docs)
@@ -23,6 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or lie outside their language's perplexity band go."""
+    batches(spark)
     from glossmill.llm.quality_rules import Rules
 
     return Rules(docs).keep_clean(docs)
@@ -37,6 +44,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (SimHash of three-word shingles, up to three bits apart) the one with the smallest id stays."""
+    batches(spark)
     from glossmill.llm.simhash_dedup import one_of_each
 
     return one_of_each(docs)
@@ -44,6 +52,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in training sequences."""
+    batches(spark)
     from glossmill.llm.packing import pack
 
     return pack(docs)
