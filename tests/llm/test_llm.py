@@ -735,7 +735,8 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = registry.queries()[name](spark, SF)
     want = con.sql(registry.oracle_sql()[name])
     order = sorted(df.columns)
