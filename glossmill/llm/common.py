@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_folder
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,24 +26,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: ``spark.checkpoint.dir``; a local one is made where that is unset and Spark runs on
-    one machine (tests, a laptop). On a cluster without that setting this raises: no folder of one machine will do there."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="glossmill-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that later stages outlive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def small_batches(spark: SparkSession, most: int = 2_000) -> None:
+    """From now on, rows go to Python in batches of at most `most`, unless the session has a lower limit: long documents, twice in
+    memory on either side, make batches large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, min(most, int(spark.conf.get(name))))
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read
+from .common import crc_mod, read, small_batches
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import score
 
+    small_batches(spark)
     mean = F.col("log_score") / F.greatest("n_words", F.lit(1))
     return score(read(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round(mean, 5).alias("mean_log_score"))
 
