@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results, over whole texts of any length: a null text has no letters and goes in the first stage, as an empty one does; null
+ids, languages and sources are values like any others, and rows that repeat an id stay as long as their texts differ; rows
+that repeat a text stay once; further columns, whatever their names, are kept up to the packing, which returns its own; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,17 +16,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import crc_mod, drop_folder, shared_folder
-
-
-def batches(spark: SparkSession) -> None:
-    """Rows go to Python in batches of at most 2,000: long documents, twice in memory on either side, make the batches large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(2_000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+from glossmill.llm.common import crc_mod, drop_folder, shared_folder, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language can't be told, go."""
-    batches(spark)
+    small_batches(spark)
     from glossmill.llm.language_id import Languages
 
     return Languages(docs, crc_mod(F.col("doc_id"), 4) != 2).keep_known(docs)
@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or lie outside their language's perplexity band go."""
-    batches(spark)
+    small_batches(spark)
     from glossmill.llm.quality_rules import Rules
 
     return Rules(docs).keep_clean(docs)
@@ -44,7 +44,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (SimHash of three-word shingles, up to three bits apart) the one with the smallest id stays."""
-    batches(spark)
+    small_batches(spark)
     from glossmill.llm.simhash_dedup import one_of_each
 
     return one_of_each(docs)
@@ -52,7 +52,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in training sequences."""
-    batches(spark)
+    small_batches(spark)
     from glossmill.llm.packing import pack
 
     return pack(docs)
