@@ -123,7 +123,7 @@ def _partitioned_once(spark: SparkSession) -> Iterator[None]:
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, back_off: float = 0.4, share: float = 1e-6, block: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, back_off: float = 0.4, share: float = 1e-6, block: int = 400_000
 ) -> DataFrame:
     """Per document: doc_id, n_words, log_score (natural log, summed over words).
 
