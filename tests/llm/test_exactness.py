@@ -90,3 +90,15 @@ def test_skewed_joins_are_split(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
         spark.conf.set("spark.sql.shuffle.partitions", "3")
+
+
+def test_grams_outside_the_arrays_count_in_full(spark):
+    """However few grams are broadcast, no score differs (a model without its rare grams had others)."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None), (-1, "", "en"), (-2, "qzx vvk " * 40 + "é中", None), (-2, "qzx vvk " * 40 + "é中", None)], "doc_id bigint, text string, lang string")
+    docs = docs.select("doc_id", "text", "lang").unionByName(odd)
+    whole, few, fewer = (Rules(docs, most=n) for n in (1 << 20, 3000, 1))
+    assert whole.tables is None and few.tables is not None and 0 < len(few.model.value["gram", 5][0]) <= 3000
+    rows = [sorted(map(repr, r.score().collect())) for r in (whole, few, fewer)]
+    assert rows[0] == rows[1] == rows[2]
+    assert sorted(map(repr, few.keep_clean(docs).collect())) == sorted(map(repr, whole.keep_clean(docs).collect()))
