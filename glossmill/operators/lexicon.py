@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut
+from ..session import cut, never_broadcast, spread
 from .choice import by_tokens
 
+
 def one_lexicon(*tables: DataFrame) -> None:
     """Raise if rows of two lexicons meet, in one table or in several. Tables without a column `lexicon` say nothing."""
     found = None
@@ -73,7 +74,7 @@ def check_glosses(rows: DataFrame, lexicon: DataFrame, by: list[str], min_anchor
         F.max("n_synsets").alias("n_synsets"), F.max(F.when(F.col("side") == 1, F.col("synset_id"))).alias("synset1"), F.max(F.when(F.col("side") == 2, F.col("synset_id"))).alias("synset2"),
         F.min("score").alias("anchored"),
     )
-    out = rows.select(*by, "label").join(found, by, "left").withColumn("wn_same", F.col("synset1") == F.col("synset2"))
+    out = spread(rows.select(*by, "label"), *by).join(never_broadcast(found), by, "left").withColumn("wn_same", F.col("synset1") == F.col("synset2"))
     reason = F.when(F.col("anchored") < min_anchor, "gloss_unanchored").when(F.col("wn_same") & ~F.col("label"), "wn_merged_diff_label")
     if strict:
         reason = reason.when(~F.col("wn_same") & F.col("label"), "wn_split_same_label")

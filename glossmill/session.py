@@ -28,6 +28,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str, rows: int = 50_000) -> DataFrame:
+    """df dealt out to tasks of about that many rows, by its keys (all columns if there are none): a small compressed file is read
+    by one task, however many rows it has and whatever they cost."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(parts, *(keys or df.columns))
+
+
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """df for the side of a join by shuffles alone. Sizes that Spark estimates from compressed files are too small by far, and a
+    broadcast goes through the driver whole."""
+    return df.hint("merge")
+
+
+def small_or_shuffled(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """df, materialised and counted, for the side of a join: broadcast if it has at most `most` rows, else shuffled."""
+    held = cut(df)
+    return held.hint("broadcast") if held.limit(most + 1).count() <= most else never_broadcast(held)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder, in any file system that Spark reads."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

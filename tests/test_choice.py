@@ -169,3 +169,21 @@ def test_a_frequent_lemma_is_split(spark):
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
         spark.conf.set("spark.sql.shuffle.partitions", "3")
+
+
+def test_a_set_of_tokens_meets_the_options_once(spark, tmp_path):
+    """Work and broadcasts don't grow with questions that repeat; nulls, empty sets and repeated ids stay as they were."""
+    from glossmill.session import cut
+
+    options = spark.createDataFrame([("a", 1, ["x", "y"]), ("a", 2, ["x"]), ("a", 3, []), ("b", 1, ["z"]), (None, 1, ["x"])], "g string, o int, _tokens array<string>")
+    sets = [["x"], ["y", "x"], ["x", "y"], [], None, ["q"]]
+    asked = cut(spark.range(6000).selectExpr("id", "CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS g", "CAST(id % 18 / 3 AS INT) AS k"))
+    asked = asked.withColumn("_tokens", F.array(*[F.lit(x) if x is None else F.array(*[F.lit(t) for t in x]).cast("array<string>") for x in sets])[F.col("k")])
+    found = choice.by_tokens(asked, options, ["id"], ["g"], ["o"])
+    got = {(r["id"] % 18): (r["score"], r["o"], r["n_options"]) for r in found.collect()}
+    assert found.count() == 4000 and found.select("id").distinct().count() == 4000
+    assert [got[k] for k in (0, 3, 6, 9, 12, 15)] == [(1.0, 2, 3), (1.0, 1, 3), (1.0, 1, 3), (1.0, 3, 3), (0.0, 1, 3), (0.0, 1, 3)]
+    assert [got[k] for k in (1, 4, 7, 10, 13, 16)] == [(0.0, 1, 1)] * 6
+    merged = spark.createDataFrame([(i, "a", ["x"]) for i in range(50)], "id int, g string, _tokens array<string>")
+    plan = choice.by_tokens(merged, options, ["id"], ["g"], ["o"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "RepartitionByExpression" in plan  # sets, which are counted, are broadcast; rows are dealt out
