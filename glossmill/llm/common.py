@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_folder
+from ..session import cut, shared_folder, small_batches  # noqa: F401
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WHITE = np.zeros(256, bool)
@@ -26,13 +26,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, most: int = 2_000) -> None:
-    """From now on, rows go to Python in batches of at most `most`, unless the session has a lower limit: long documents, twice in
-    memory on either side, make batches large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(name, min(most, int(spark.conf.get(name))))
-
-
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of a file system that Spark reads."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

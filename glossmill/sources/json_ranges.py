@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 _TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+"|["\[\]{}]', re.S)
 _STRING_END = re.compile(r'(?:[^"\\]++|\\.)*+"', re.S)
 _OPEN = {"}": "{", "]": "["}
@@ -59,8 +61,15 @@ def _moved(text: str, in_string: bool, depth: int) -> tuple[bool, int]:
     return left_open, depth
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], list[str], bool]]:
-    """The values of a batch by file and range, and whether the range is the whole file."""
+def _runs(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[tuple[str, int], list[str], bool]]:
+    """The values of a batch by file and range, and whether the range is the whole file; about `most` bytes at a time, because
+    texts are in memory several times on their way."""
+    step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield from _runs_of(batch.slice(at, step))
+
+
+def _runs_of(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], list[str], bool]]:
     files, starts, values, alone = (batch.column(c).to_pylist() for c in ("file", "start", "value", "alone"))
     first = 0
     for k in range(1, len(files) + 1):
@@ -170,6 +179,7 @@ def records(spark: SparkSession, path: str, depth: int = 1, close: str = "}", ke
     depth: brackets around a record: 1 in an array, 2 in an array that an object holds under `key`, 0 for values one after the
     other. Files that end inside a value, and text between records that doesn't belong there, raise.
     """
+    small_batches(spark)
     rows = fragments(spark, path, close)
     state = _beginnings(rows, close, _top(depth, key))
 

@@ -133,3 +133,17 @@ def test_tokens_and_states():
     assert [t for t, _ in json_ranges.tokens('a "b\\\\" } c', False)] == ["}"]
     assert [t for t, _ in json_ranges.tokens('still in it \\" } ", {', True)] == ["{"]
     assert [t for t, _ in json_ranges.tokens('never ends }', True)] == ['"']
+
+
+def test_values_are_read_a_megabyte_at_a_time():
+    import pyarrow as pa
+
+    from glossmill.sources import json_ranges
+
+    values = ["x" * 1000 + str(k) for k in range(5000)]
+    starts = [0] * 3000 + [77] * 2000
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * 5000, "start": starts, "value": values, "alone": [False] * 5000})
+    runs = list(json_ranges._runs(batch))
+    assert max(sum(map(len, part)) for _, part, _ in runs) <= 1_100_000
+    assert [v for _, part, _ in runs for v in part] == values and [key[1] for key, part, _ in runs for _ in part] == starts
+    assert [len(p) for _, p, _ in json_ranges._runs(batch.slice(0, 3), 10)] == [1, 1, 1]  # a longer value is whole
