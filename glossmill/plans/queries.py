@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import text as T
 from ..operators import choice, corpus, evaluate, lexicon, pairs, quality, rewards, rollouts, traces, votes
-from ..session import cut
+from ..session import cut, spread
 from .prompts import JUDGE_AXES, NO_MENTION, STUDENT_TAIL, SYSTEM, TEACHER_TAIL
 
 SLOTS = """
@@ -674,7 +674,7 @@ CASED = GLOSSES.replace("p_type ELSE", "lower(p_type) ELSE").replace("concat(p_t
 
 @query(f"WITH g AS ({CASED}), {GRAMS.format(h='filler_gloss')} SELECT p_partkey, round({_sql_bleu(_M, _T, 'c', 'rr')}, 9) AS bleu FROM b")
 def gloss_bleu_rows(spark, d):
-    rows = view(spark, d, CASED).filter("filler_gloss <> ''")
+    rows = spread(view(spark, d, CASED).filter("filler_gloss <> ''"))
     return rows.select("p_partkey", F.round(evaluate.sentence_bleu(F.col("filler_gloss"), F.col("definition")), 9).alias("bleu"))
 
 
@@ -688,7 +688,7 @@ def gloss_bleu(spark, d):
 
 @query(f"WITH g AS ({CASED}), {CHRF.format(h='filler_gloss')} SELECT p_partkey, round(chrf, 9) AS chrf FROM z")
 def gloss_chrf(spark, d):
-    return view(spark, d, CASED).select("p_partkey", F.round(evaluate.chrf(F.col("filler_gloss"), F.col("definition")), 9).alias("chrf"))
+    return spread(view(spark, d, CASED)).select("p_partkey", F.round(evaluate.chrf(F.col("filler_gloss"), F.col("definition")), 9).alias("chrf"))
 
 
 @query(f"""WITH g AS ({CASED}), {GRAMS.format(h='gloss')}, rows_ AS (SELECT p_partkey, {_sql_bleu(_M, _T, 'c', 'rr')} AS bleu FROM b), s AS (SELECT {TOTALS} FROM b),

@@ -477,3 +477,15 @@ def test_gold_pairs_keep_their_gloss_in_the_inventory(spark):
     assert got["b.0", "b.1"] == ("", "", ["only this"])
     assert got["b.0", "b.2"] == ("same words", "other", ["only this", "same words", "other"])
     assert got["b.9", "b.2"] == ("", "other", ["only this", "other"])
+
+
+def test_scores_of_a_small_file_are_made_by_many_tasks(spark):
+    from glossmill.operators import evaluate
+    from glossmill.plans import queries as Q
+
+    one = spark.createDataFrame([(k, f"a b {k}", "a b c, d", "") for k in range(40)], "id int, gloss string, definition string, filler_gloss string").coalesce(1)
+    assert evaluate.score_rows(one).rdd.getNumPartitions() >= 4
+    for name in ("gloss_bleu_rows", "gloss_chrf"):
+        assert Q.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+    got = one.limit(1).select(evaluate.sentence_bleu(F.lit("a b b, d"), F.lit("a b c, d")).alias("x"), evaluate.sentence_bleu(F.lit(None).cast("string"), F.lit("a")).alias("none"), evaluate.sentence_bleu(F.lit(""), F.lit("a")).alias("empty")).first()
+    assert got["x"] == pytest.approx(100 * (4 / 5 * 2 / 4 / 6 / 8) ** 0.25) and got["none"] == got["empty"] == 0.0
