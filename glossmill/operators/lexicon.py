@@ -87,8 +87,8 @@ def ancestors(edges: DataFrame, most: int = 40) -> DataFrame:
     known = edges.select("synset_id").union(edges.select("hypernym_id")).distinct().select("synset_id", F.col("synset_id").alias("ancestor"), F.lit(0).alias("depth"))
     front, all_of = known, known
     for depth in range(1, most):
-        step = front.join(edges.select(F.col("synset_id").alias("ancestor"), "hypernym_id"), "ancestor").select("synset_id", F.col("hypernym_id").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = cut(step.join(all_of.select("synset_id", "ancestor"), ["synset_id", "ancestor"], "left_anti"))
+        step = front.join(never_broadcast(edges.select(F.col("synset_id").alias("ancestor"), "hypernym_id")), "ancestor").select("synset_id", F.col("hypernym_id").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
+        front = cut(step.join(never_broadcast(all_of.select("synset_id", "ancestor")), ["synset_id", "ancestor"], "left_anti"))
         if front.isEmpty():
             break
         all_of = all_of.unionByName(front)
@@ -97,11 +97,11 @@ def ancestors(edges: DataFrame, most: int = 40) -> DataFrame:
 
 def depths(edges: DataFrame, most: int = 40) -> DataFrame:
     """edges(synset_id, hypernym_id) -> synset_id, height: the longest way down to it from a synset without hypernyms."""
-    roots = edges.select(F.col("hypernym_id").alias("synset_id")).distinct().join(edges.select("synset_id").distinct(), "synset_id", "left_anti")
+    roots = edges.select(F.col("hypernym_id").alias("synset_id")).distinct().join(never_broadcast(edges.select("synset_id").distinct()), "synset_id", "left_anti")
     front = roots.withColumn("height", F.lit(0))
     all_of = front
     for height in range(1, most):
-        step = edges.join(front.select(F.col("synset_id").alias("hypernym_id")), "hypernym_id", "left_semi").select("synset_id").distinct()
+        step = edges.join(never_broadcast(front.select(F.col("synset_id").alias("hypernym_id"))), "hypernym_id", "left_semi").select("synset_id").distinct()
         front = cut(step.withColumn("height", F.lit(height)))
         if front.isEmpty():
             break
@@ -117,7 +117,7 @@ def _common_hypernyms(pairs: DataFrame, closure: DataFrame, heights: DataFrame)
     one = closure.select(F.col("synset_id").alias("s1"), "ancestor", F.col("depth").alias("d1"))
     two = closure.select(F.col("synset_id").alias("s2"), "ancestor", F.col("depth").alias("d2"))
     deep = heights.select(F.col("synset_id").alias("ancestor"), "height")
-    both = pairs.join(one, "s1").join(two, ["s2", "ancestor"]).join(deep, "ancestor", "left")
+    both = pairs.join(never_broadcast(one), "s1").join(never_broadcast(two), ["s2", "ancestor"]).join(never_broadcast(deep), "ancestor", "left")
     lowest = F.min(F.struct((-F.coalesce("height", F.lit(0))).alias("h"), "ancestor", "d1", "d2")).alias("lowest")
     return both.groupBy("s1", "s2").agg(lowest, F.min(F.col("d1") + F.col("d2")).alias("distance"))
 
@@ -127,10 +127,10 @@ def genus(pairs: DataFrame, closure: DataFrame, heights: DataFrame, pos_of: Data
     speech differ or aren't known. names(synset_id, name) holds each synset's first lemma."""
     one_lexicon(pos_of, names)
     p = pairs.select("s1", "s2").distinct()
-    known = p.join(pos_of.select(F.col("synset_id").alias("s1"), F.col("pos").alias("pos1")), "s1").join(pos_of.select(F.col("synset_id").alias("s2"), F.col("pos").alias("pos2")), "s2")
+    known = p.join(never_broadcast(pos_of.select(F.col("synset_id").alias("s1"), F.col("pos").alias("pos1"))), "s1").join(never_broadcast(pos_of.select(F.col("synset_id").alias("s2"), F.col("pos").alias("pos2"))), "s2")
     found = _common_hypernyms(known.filter("pos1 = pos2").select("s1", "s2"), closure, heights).select("s1", "s2", F.col("lowest.ancestor").alias("synset_id"))
-    named = found.join(names.select("synset_id", F.replace("name", F.lit("_"), F.lit(" ")).alias("genus")), "synset_id", "left").select("s1", "s2", "genus")
-    return p.join(named, ["s1", "s2"], "left")
+    named = found.join(never_broadcast(names.select("synset_id", F.replace("name", F.lit("_"), F.lit(" ")).alias("genus"))), "synset_id", "left").select("s1", "s2", "genus")
+    return p.join(never_broadcast(named), ["s1", "s2"], "left")
 
 
 def confusability(pairs: DataFrame, closure: DataFrame, pos_of: DataFrame, heights: DataFrame) -> DataFrame:
@@ -140,13 +140,13 @@ def confusability(pairs: DataFrame, closure: DataFrame, pos_of: DataFrame, heigh
     hierarchy, by `depths`; of several the smallest id counts. The distance is that by the nearest common hypernym.
     """
     p = pairs.select("s1", "s2").distinct()
-    p = p.join(pos_of.select(F.col("synset_id").alias("s1"), F.col("pos").alias("pos1")), "s1", "left").join(pos_of.select(F.col("synset_id").alias("s2"), F.col("pos").alias("pos2")), "s2", "left")
+    p = p.join(never_broadcast(pos_of.select(F.col("synset_id").alias("s1"), F.col("pos").alias("pos1"))), "s1", "left").join(never_broadcast(pos_of.select(F.col("synset_id").alias("s2"), F.col("pos").alias("pos2"))), "s2", "left")
     common = _common_hypernyms(p, closure, heights).withColumnRenamed("lowest", "c")
     level = (
         F.when(F.col("pos1").isNull() | F.col("pos2").isNull(), None).when(F.col("pos1") != F.col("pos2"), "cross-pos").when(F.col("c").isNull(), "unrelated")
         .when((F.col("c.d1") == 1) & (F.col("c.d2") == 1), "siblings").when(F.col("distance") <= 4, "near").otherwise("far")
     )
-    return p.join(common, ["s1", "s2"], "left").select("s1", "s2", level.alias("level"))
+    return p.join(never_broadcast(common), ["s1", "s2"], "left").select("s1", "s2", level.alias("level"))
 
 
 def level_rank(level: Column) -> Column:

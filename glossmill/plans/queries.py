@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import text as T
 from ..operators import choice, corpus, evaluate, lexicon, pairs, quality, rewards, rollouts, traces, votes
-from ..session import cut, spread
+from ..session import cut, never_broadcast, spread
 from .prompts import JUDGE_AXES, NO_MENTION, STUDENT_TAIL, SYSTEM, TEACHER_TAIL
 
 SLOTS = """
@@ -910,7 +910,7 @@ def genus_feedback(spark, d):
     pairs_ = view(spark, d, CLOSE_PAIRS).distinct()
     kinds = lexicon.genus(pairs_, lexicon.ancestors(edges), lexicon.depths(edges), view(spark, d, TAXONOMY_POS), named)
     for k in (1, 2):
-        kinds = kinds.join(named.select(F.col("synset_id").alias(f"s{k}"), F.col("name").alias(f"name{k}"), F.col("definition").alias(f"gloss{k}")), f"s{k}", "left")
+        kinds = kinds.join(never_broadcast(named.select(F.col("synset_id").alias(f"s{k}"), F.col("name").alias(f"name{k}"), F.col("definition").alias(f"gloss{k}"))), f"s{k}", "left")
     return kinds.select("s1", "s2", rollouts.gloss_feedback(F.col("name1"), F.lit(False), F.col("gloss1"), F.col("gloss2"), F.col("genus")).alias("hint"))
 
 

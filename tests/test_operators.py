@@ -489,3 +489,21 @@ def test_scores_of_a_small_file_are_made_by_many_tasks(spark):
         assert Q.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
     got = one.limit(1).select(evaluate.sentence_bleu(F.lit("a b b, d"), F.lit("a b c, d")).alias("x"), evaluate.sentence_bleu(F.lit(None).cast("string"), F.lit("a")).alias("none"), evaluate.sentence_bleu(F.lit(""), F.lit("a")).alias("empty")).first()
     assert got["x"] == pytest.approx(100 * (4 / 5 * 2 / 4 / 6 / 8) ** 0.25) and got["none"] == got["empty"] == 0.0
+
+
+def test_no_part_of_a_taxonomy_is_broadcast(spark, monkeypatch):
+    """Estimated sizes of compressed files are small; none of these tables may go through the driver."""
+    from glossmill.operators import lexicon
+
+    plans = []
+    real = lexicon.cut
+    monkeypatch.setattr(lexicon, "cut", lambda df: (plans.append(df), real(df))[1])
+    edges = spark.createDataFrame([(2, 1), (3, 1), (4, 2)], "synset_id long, hypernym_id long")
+    pos = spark.createDataFrame([(k, "noun") for k in range(1, 5)], "synset_id long, pos string")
+    names = spark.createDataFrame([(k, f"n_{k}") for k in range(1, 5)], "synset_id long, name string")
+    asked = spark.createDataFrame([(2, 3), (4, 3), (4, 9)], "s1 long, s2 long")
+    up, down = lexicon.ancestors(edges), lexicon.depths(edges)
+    levels, kinds = lexicon.confusability(asked, up, pos, down), lexicon.genus(asked, up, down, pos, names)
+    assert {(r["s1"], r["s2"]): r["level"] for r in levels.collect()} == {(2, 3): "siblings", (4, 3): "near", (4, 9): None}
+    assert {(r["s1"], r["s2"]): r["genus"] for r in kinds.collect()} == {(2, 3): "n 1", (4, 3): "n 1", (4, 9): None}
+    assert len(plans) > 4 and not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in [*plans, levels, kinds])
