@@ -187,3 +187,16 @@ def test_a_set_of_tokens_meets_the_options_once(spark, tmp_path):
     merged = spark.createDataFrame([(i, "a", ["x"]) for i in range(50)], "id int, g string, _tokens array<string>")
     plan = choice.by_tokens(merged, options, ["id"], ["g"], ["o"])._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan and "RepartitionByExpression" in plan  # sets, which are counted, are broadcast; rows are dealt out
+
+
+def test_a_gloss_that_many_rows_have_is_snapped_once(spark, monkeypatch):
+    """What meets the senses are a lemma's different sets of tokens, not its rows; every row gets its sense."""
+    held, real = [], choice.cut
+    monkeypatch.setattr(choice, "cut", lambda df: (held.append(real(df)), held[-1])[1])
+    table = spark.createDataFrame([("bank", "noun", 1, "b.1", "money institution"), ("bank", "noun", 2, "b.2", "river slope"), ("bank", "noun", 3, "b.3", "row of seats")], "lemma string, pos string, rank int, synset_id string, definition string")
+    asked = spark.range(3000).selectExpr("id AS k", "'bank' AS lemma", "'noun' AS pos", "CASE id % 3 WHEN 0 THEN 'a slope' WHEN 1 THEN 'slope, a river' ELSE '' END AS gloss")
+    found = lexicon.snap(asked, table, ["k"])
+    assert [df.count() for df in held] == [3]
+    want = {0: ("b.2", round(2 / 3, 9)), 1: ("b.2", 1.0), 2: ("b.1", 0.0)}
+    got = found.groupBy((F.col("k") % 3).alias("kind"), "synset_id", F.round("score", 9).alias("score"), "n_synsets").count().collect()
+    assert {(r["kind"], (r["synset_id"], r["score"]), r["n_synsets"], r["count"]) for r in got} == {(kind, x, 3, 1000) for kind, x in want.items()}
