@@ -161,10 +161,11 @@ def sentence_bleu(hypothesis: Column, reference: Column, order: int = 4) -> Colu
 
 def corpus_bleu(rows: DataFrame, hypothesis: str = "gloss", reference: str = "definition", order: int = 4) -> DataFrame:
     """Corpus BLEU (Papineni et al., 2002), in percent; NaN over nothing."""
-    split = spread(rows.select(hypothesis, reference)).select(_matches(bleu_tokens(F.col(hypothesis)), bleu_tokens(F.col(reference)), order).alias("x"))
-    c = F.get("x", order)
-    sums = [F.sum(F.get("x", n - 1)).alias(f"m{n}") for n in range(1, order + 1)] + [F.sum(F.greatest(c - n + 1, F.lit(0))).alias(f"t{n}") for n in range(1, order + 1)]
-    total = split.agg(*sums, F.sum(c).alias("c"), F.sum(F.get("x", order + 1)).alias("r"))
+    pairs = spread(rows.groupBy(hypothesis, reference).agg(F.count(F.lit(1)).alias("k")))  # a pair that many rows have is scored once
+    split = pairs.select("k", _matches(bleu_tokens(F.col(hypothesis)), bleu_tokens(F.col(reference)), order).alias("x"))
+    c, k = F.get("x", order), F.col("k")
+    sums = [F.sum(k * F.get("x", n - 1)).alias(f"m{n}") for n in range(1, order + 1)] + [F.sum(k * F.greatest(c - n + 1, F.lit(0))).alias(f"t{n}") for n in range(1, order + 1)]
+    total = split.agg(*sums, F.sum(k * c).alias("c"), F.sum(k * F.get("x", order + 1)).alias("r"))
     score = _bleu([F.col(f"m{n}") for n in range(1, order + 1)], [F.col(f"t{n}") for n in range(1, order + 1)], F.col("c"), F.col("r"))
     return total.select(F.when(F.col("c").isNull(), float("nan")).otherwise(score).alias("bleu"))
 

@@ -507,3 +507,20 @@ def test_no_part_of_a_taxonomy_is_broadcast(spark, monkeypatch):
     assert {(r["s1"], r["s2"]): r["level"] for r in levels.collect()} == {(2, 3): "siblings", (4, 3): "near", (4, 9): None}
     assert {(r["s1"], r["s2"]): r["genus"] for r in kinds.collect()} == {(2, 3): "n 1", (4, 3): "n 1", (4, 9): None}
     assert len(plans) > 4 and not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in [*plans, levels, kinds])
+
+
+def test_tasks_of_chrf_grow_with_the_rows(spark):
+    """However many rows one task reads, those that score them have a bounded share each; a pair that many rows have is scored once."""
+    from glossmill.operators import evaluate
+    from glossmill.session import spread
+
+    one = spark.range(4000).selectExpr("id", "IF(id < 0, '', 'the bank of a river') AS gloss", "IF(id < 0, '', 'a bank of a river') AS definition").coalesce(1)
+    dealt = spread(one, rows=100)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert dealt.rdd.getNumPartitions() == 40 and len(sizes) == 40 and max(sizes) < 200
+    scores = dealt.select(evaluate.chrf(F.col("gloss"), F.col("definition")).alias("x")).distinct().collect()
+    assert len(scores) == 1 and scores[0]["x"] == one.limit(1).select(evaluate.chrf(F.col("gloss"), F.col("definition")).alias("x")).first()["x"] > 0
+    many, few = evaluate.corpus_bleu(one), evaluate.corpus_bleu(one.limit(1))
+    assert many.first()["bleu"] == few.first()["bleu"] > 0
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate [gloss")
