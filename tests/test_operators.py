@@ -524,3 +524,16 @@ def test_tasks_of_chrf_grow_with_the_rows(spark):
     assert many.first()["bleu"] == few.first()["bleu"] > 0
     plan = many._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Aggregate [gloss")
+
+
+def test_the_confusability_query_broadcasts_nothing(spark, monkeypatch):
+    from glossmill.operators import lexicon
+    from glossmill.plans import queries as Q
+
+    plans, real = [], lexicon.cut
+    monkeypatch.setattr(lexicon, "cut", lambda df: (plans.append(df), real(df))[1])
+    levels = Q.queries()["confusability"](spark, "/root/testdata/sf0.001")
+    assert len(plans) > 4 and not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in [*plans, levels])
+    asked = {(r["s1"], r["s2"]) for r in Q.view(spark, "/root/testdata/sf0.001", Q.CLOSE_PAIRS).collect()}
+    got = levels.collect()
+    assert len(got) == len(asked) and {(r["s1"], r["s2"]) for r in got} == asked and {r["level"] for r in got} >= {"siblings", "near", "cross-pos"}
