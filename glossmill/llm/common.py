@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_folder, small_batches  # noqa: F401
+from ..session import cut, gathered, shared_folder, small_batches  # noqa: F401
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WHITE = np.zeros(256, bool)
@@ -61,15 +61,20 @@ def tidy(run: Callable, keeps: bool = False) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass  # another C library; it keeps what it has
+            give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Hand memory that isn't used any more back to the system, in a worker or, after a fit, in the driver's Python."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library; it keeps what it has
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of df has, in either case."""
     taken = {c.lower() for c in df.columns}

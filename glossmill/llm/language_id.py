@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy
+from .common import give_back, slices, tidy
 from .hashed import folded, gram_counts, sampled
 
 WIDTH = 2048
@@ -89,6 +89,8 @@ class Languages:
         self.bias = -(self.mean @ self.weights)
         right = ((x @ self.weights + self.bias) * y > 0).mean(axis=0)
         self.bit_weight = np.clip(2 * right - 1, 0.05, 1)
+        del x, gram, order
+        give_back()
 
     def _predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         rows = len(offsets) - 1

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BACK, _WHITE, _powers, bounded, cut, mix, per_row, settle, slices, span_hashes, tidy, words
+from .common import _BASE, _BACK, _WHITE, _powers, bounded, cut, gathered, give_back, mix, per_row, settle, slices, span_hashes, tidy, words
 
 ORDER = 5
 _SYMBOL = np.zeros(256, bool)
@@ -174,23 +174,27 @@ def log_tables(counted: DataFrame, share: float = 0.0) -> dict[tuple[str, int],
     ("context", m) code, v: log weights of what lies below, for the contexts of grams of that order.
 
     n is the occurrence count at the highest order and the number of different bytes before a gram below it; `often` is the
-    occurrence count at every order. A stored gram's suffix is at least as frequent, so it is stored too.
+    occurrence count at every order. A stored gram's suffix is at least as frequent, so it is stored too. Every table has as many
+    partitions as its rows ask for, low orders one: the driver keeps a record of every task of some hundred stages.
     """
     levels = {ORDER: counted.withColumn("often", F.col("n"))}
     for m in range(ORDER - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND((1 << 8 * m) - 1)
-        levels[m] = cut(levels[m + 1].groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n"), F.sum("often").alias("often")))
+        held = cut(levels[m + 1].groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n"), F.sum("often").alias("often")))
+        levels[m] = gathered(held, 256**m)  # rows at most, whatever the corpus
     tallies = None
     for m, table in levels.items():
-        one = table.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)], F.sum("often").alias("all")).withColumn("level", F.lit(m))
+        one = table.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count(F.lit(1)).alias("rows"), F.sum("often").alias("all")).withColumn("level", F.lit(m))
         tallies = one if tallies is None else tallies.unionByName(one)
-    discounts, least = {}, 0.0
+    discounts, rows, least = {}, {}, 0.0
     for r in tallies.collect():  # one row an order
+        rows[r["level"]] = r["rows"]
         n1, n2, n3, n4 = (r[f"n{k}"] for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         ratio = lambda a, b: a / b if b else 0.5
         discounts[r["level"]] = tuple(min(max(d, 0.05), k) for k, d in ((0.95, 1 - 2 * y * ratio(n2, n1)), (1.95, 2 - 3 * y * ratio(n3, n2)), (2.95, 3 - 4 * y * ratio(n4, n3))))
         least = share * (r["all"] or 0)
+        levels[r["level"]] = gathered(levels[r["level"]], rows[r["level"]])
     model, lower = {}, None
     for m in range(1, ORDER + 1):
         d1, d2, d3 = discounts[m]
@@ -205,7 +209,7 @@ def log_tables(counted: DataFrame, share: float = 0.0) -> dict[tuple[str, int],
             own = own.withColumn("lower", F.lit(1 / 256))
         else:
             own = own.withColumn("shorter", F.col("gram").bitwiseAND((1 << 8 * (m - 1)) - 1)).join(lower, "shorter")
-        stored = cut(own.select("gram", "context", "lower", "often", (F.col("own") + F.col("weight") * F.col("lower")).alias("p")))
+        stored = gathered(cut(own.select("gram", "context", "lower", "often", (F.col("own") + F.col("weight") * F.col("lower")).alias("p"))), rows[m])
         model["gram", m] = stored.select(F.col("gram").alias("code"), _grains(F.log("p")).alias("v"), "often")
         rest = context.select("context", F.col("weight").alias("rest"))  # what the stored leave, if they are all
         if share:
@@ -336,6 +340,8 @@ class Rules:
         usable = lambda lang, data, offsets, code: ~base_failed(repeats(data, len(offsets) - 1, words(data, offsets)))
         arrays, first_tables = fitted(cut(count_grams(docs, text_col, lang_col, usable)), most)
         first = context.broadcast(arrays)
+        del arrays
+        give_back()
         self.scored = self._whole(self._score(docs, first, False, first_tables is not None), first_tables)
         self.bands = self._bands(least)
         self.limits = tuple((core * a, core * b) for a, b in self.limits)
@@ -356,6 +362,8 @@ class Rules:
         self.scored = self._whole(self._score(docs, self.model, partly=self.tables is not None), self.tables)
         self.limits = (by_byte, by_word)
         self.bands = self._bands(least)
+        del arrays
+        give_back()
 
     def _whole(self, scored: DataFrame, tables: dict | None) -> DataFrame:
         """Scores, materialised, with what grams outside the arrays add."""
@@ -395,6 +403,8 @@ class Rules:
         kinds = ("byte", "word")
         found = medians(used.select(F.lit(None).cast("string").alias("lang"), *kinds), used.filter("lang IS NOT NULL"), columns=kinds)
         by_lang = cut(found.select("lang", "n", *[F.col(c).alias(f"{c}_mid") for c in kinds]))
+        languages = by_lang.count()
+        by_lang = gathered(by_lang, languages)
         whole = by_lang.filter("lang IS NULL").first()
         if whole is None:
             return {None: ((0.0, 0.0), (0.0, 0.0))}
@@ -404,6 +414,7 @@ class Rules:
         bands: dict[str | None, tuple] = {None: tuple((float(whole[f"{c}_mid"]), float(spread[c])) for c in kinds)}
         own = used.join(bounded(by_lang.filter("lang IS NOT NULL").drop("n")), "lang").select("lang", *[(away(c) / F.greatest(F.abs(f"{c}_mid"), F.lit(1e-9))).alias(c) for c in kinds])
         shares = cut(medians(own, own.withColumn("lang", F.lit(None).cast("string")), columns=kinds, grain=1e-5).drop("n"))
+        shares = gathered(shares, languages)
         pooled = shares.filter("lang IS NULL").first()
         for r in by_lang.join(shares, "lang").collect():  # one row a language
             drawn = [(r["n"] * r[c] + least * pooled[c]) / (r["n"] + least) for c in ("byte", "word")]

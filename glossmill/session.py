@@ -47,6 +47,12 @@ def small_or_shuffled(df: DataFrame, most: int = 20_000) -> DataFrame:
     return held.hint("broadcast") if held.limit(most + 1).count() <= most else never_broadcast(held)
 
 
+def gathered(held: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """A materialised table of that many rows in as few partitions as leave about `each` rows in one: hundreds of tasks that read
+    a few rows each cost the driver more memory than the tasks do work."""
+    return held.coalesce(max(1, -(-rows // each)))
+
+
 def small_batches(spark: SparkSession, most: int = 2_000) -> None:
     """From now on, rows go to Python in batches of at most `most`, unless the session has a lower limit: long documents, twice in
     memory on either side, make batches large."""

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import span_hashes
-from glossmill.llm.quality_rules import Rules, features, medians
+from glossmill.llm.common import cut, span_hashes
+from glossmill.llm.quality_rules import Rules, count_grams, features, log_tables, medians
 
 
 def thue_morse(n):
@@ -102,3 +102,28 @@ def test_grams_outside_the_arrays_count_in_full(spark):
     rows = [sorted(map(repr, r.score().collect())) for r in (whole, few, fewer)]
     assert rows[0] == rows[1] == rows[2]
     assert sorted(map(repr, few.keep_clean(docs).collect())) == sorted(map(repr, whole.keep_clean(docs).collect()))
+
+
+def test_small_count_tables_dont_lie_in_hundreds_of_partitions(spark):
+    """However many shuffle partitions a session has, the fit runs tasks by the rows of its tables: the driver records each."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    few = sorted(map(repr, Rules(docs).score().collect()))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    context = spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        counted = cut(count_grams(docs, "text", "lang", lambda lang, data, offsets, code: np.ones(len(lang), bool)))
+        context.setJobGroup("fit of many partitions", "fit")
+        tables = log_tables(counted)
+        assert {k: t.rdd.getNumPartitions() for k, t in tables.items() if k[1] < 3} == {(kind, m): 1 for kind in ("gram", "context") for m in (1, 2)}
+        assert all(tables["gram", m].rdd.getNumPartitions() <= 1 + tables["gram", m].count() // 100_000 for m in range(1, 6))
+        tracker = context.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("fit of many partitions") for s in tracker.getJobInfo(j).stageIds]
+        assert (n := sum(s.numCompletedTasks for s in stages if s is not None)) < 500, n
+        assert sorted(map(repr, Rules(docs).score().collect())) == few
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
